@@ -25,9 +25,10 @@ def ring(spark: SparkSession, n_shards: int, virtual_nodes: int = VIRTUAL_NODES)
         F.xxhash64(F.lit("node"), F.col("id") % n_shards, F.floor(F.col("id") / n_shards)).alias("hi"),
     )
     clockwise = Window.orderBy("hi", "shard")
-    arcs = nodes.select("shard", "hi", F.lag("hi").over(clockwise).alias("lo"), (F.row_number().over(clockwise) - 1).alias("arc"))
-    first = arcs.where("arc = 0").select("shard", "arc")
-    top = arcs.agg(F.max("hi").alias("lo")).join(F.broadcast(first), F.lit(True)).select("arc", "lo", F.lit(2**63 - 1).alias("hi"), "shard")
+    arcs = nodes.select(
+        "shard", "hi", F.lag("hi").over(clockwise).alias("lo"), (F.row_number().over(clockwise) - 1).alias("arc"), F.max("hi").over(Window.partitionBy()).alias("last")
+    )
+    top = arcs.where("arc = 0").select("arc", F.col("last").alias("lo"), F.lit(2**63 - 1).alias("hi"), "shard")
     return arcs.select("arc", F.coalesce("lo", F.lit(-(2**63))).alias("lo"), "hi", "shard").unionByName(top)
 
 
