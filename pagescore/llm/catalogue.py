@@ -11,6 +11,7 @@ from pagescore.llm.decontaminate import OP6_SQL, op6_prefix_decontamination
 from pagescore.llm.jaccard import OP9_SQL, op9_set_relation_join
 from pagescore.llm.mixing import OP4_SQL, op4_curriculum_mix
 from pagescore.llm.quality import op5_quality_ftrl
+from pagescore.llm.repeats import OP8_SQL, op8_run_length_dedup
 from pagescore.llm.sharding import op1_ring_shards
 from pagescore.llm.tokencount import op10_viterbi_counts
 from pagescore.llm.toxicity import op2_gru_toxicity
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_ftrl": op5_quality_ftrl,
     "op6_prefix_decontamination": op6_prefix_decontamination,
     "op7_warc_round_trip": op7_warc_round_trip,
+    "op8_run_length_dedup": op8_run_length_dedup,
     "op9_set_relation_join": op9_set_relation_join,
     "op10_viterbi_counts": op10_viterbi_counts,
 }
@@ -32,5 +34,6 @@ SQL: dict[str, str] = {
     "op4_curriculum_mix": OP4_SQL,
     "op6_prefix_decontamination": OP6_SQL,
     "op7_warc_round_trip": OP7_SQL,
+    "op8_run_length_dedup": OP8_SQL,
     "op9_set_relation_join": OP9_SQL,
 }

@@ -132,3 +132,8 @@ def pieces(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndar
         data[here] = body[own[0] : own[-1]]
         yield first, data, at
         first = last
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
+    spark.sparkContext._jvm.System.gc()

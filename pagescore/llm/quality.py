@@ -115,6 +115,17 @@ def scored(docs: DataFrame, model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows whose text's score is at least `least`, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(at)) >= least)) if batch.num_rows else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document, by a model of the labelled ones outside the fold crc32(doc_id) mod 3 = 1.
 
