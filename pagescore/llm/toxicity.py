@@ -13,7 +13,7 @@ from pagescore.llm.common import LOWER, learnable, mix64, pieces, runs, span_has
 from pagescore.llm.quality import _CLASS, sample, scored
 
 #: Most labelled rows that the network is fitted on, the first in order of their doc_id's hash.
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 3000
 #: Words of a window and from one window's start to the next: every word but the first and last few is in two windows.
 WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS, INPUT, HIDDEN, ATTEND = 13, 12, 12, 8, 8
@@ -58,6 +58,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _sum_rows(size: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows added up by index."""
+    return np.stack([np.bincount(index, rows[:, c], size) for c in range(rows.shape[1])], axis=1).astype(rows.dtype)
+
+
 @dataclass
 class Network:
     """Parameters by name; forward passes run over batches of windows, all windows of a batch a step at a time."""
@@ -137,13 +142,12 @@ class Network:
                 d_gates[t] = d_in
                 d_gates[t][:, 2 * n :] = d_new
             flat = d_gates.reshape(-1, 3 * n)
-            per_word = np.zeros((len(vocab), 3 * n), np.float32)
-            np.add.at(per_word, at.ravel(), flat)
+            per_word = _sum_rows(len(vocab), at.ravel(), flat)
             g[f"W{way}"], g[f"c{way}"] = vocab.T @ per_word, flat.sum(axis=0)
             d_vocab += per_word @ p[f"W{way}"].T
         length = np.diff(np.concatenate((begin, [len(grams)])))
-        np.add.at(g["words"], words, d_vocab * mask)
-        np.add.at(g["grams"], grams, np.repeat(d_vocab / length[:, None], length, axis=0))
+        g["words"] = _sum_rows(len(p["words"]), words, d_vocab * mask)
+        g["grams"] = _sum_rows(len(p["grams"]), grams, np.repeat(d_vocab / length[:, None], length, axis=0))
         return g
 
     def window_logits(self, vocab: np.ndarray, index: np.ndarray, first: np.ndarray, words: np.ndarray, batch: int = 4096) -> np.ndarray:
@@ -174,8 +178,8 @@ def spread(index: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.
     return index[np.where(seen, at, first[None, :])], seen.astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 4, rate: float = 0.01, batch: int = 64, seed: int = 3) -> Network:
-    """Adam on cross-entropy. All windows of a text of label 0 are of label 0 (a few are drawn, and the highest one);
+def fit(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.01, batch: int = 64, seed: int = 3) -> Network:
+    """Adam on cross-entropy, for more epochs (40 at most) where there are so few texts that these make under 350 steps. All windows of a text of label 0 are of label 0 (a few are drawn, and the highest one);
     of a text of label 1, the window that scores highest. Without texts of both labels the network is left at its bias."""
     net, rng = Network.new(), np.random.default_rng(seed)
     if len(set(labels)) < 2:
@@ -184,6 +188,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, rate: float = 0.01
         return net
     y = np.array(labels, np.float32)
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
+    epochs = max(epochs, min(40, -(-350 * batch // len(texts))))
     weight = np.where(y == 1, min(4.0, (1 - y).sum() / y.sum()), 1.0).astype(np.float32)
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
