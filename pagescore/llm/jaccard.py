@@ -166,8 +166,7 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 def leaders(sorted_postings: DataFrame) -> DataFrame:
     """Rows of two kinds. pair: a, b, size_a, size_b of a set and its leader. entry: token, a (a set), size_a, at.
 
-    In each list, sorted by size and position, a set's leader is the first one of a linkable size and position; lists
-    with one set are passed over.
+    A set's leader in a list is the first one of a linkable size and position; lists with one set are passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,23 +191,25 @@ def leaders(sorted_postings: DataFrame) -> DataFrame:
     return sorted_postings.mapInArrow(run, "token long, a long, b long, size_a long, size_b long, at long")
 
 
-def fits(size: int, at: int, other: int, other_at: int) -> bool:
-    """Whether two sets can still be linked if these positions hold their first common shingle."""
-    return 100 * other >= THRESHOLD * size and 1 + min(size - at, other - other_at) - 1 >= -(-THRESHOLD * (size + other) // (100 + THRESHOLD))
-
-
 def lead(size: list[int], at: list[int]) -> list[tuple[int, int]]:
-    """(leader, follower) index pairs of one list, sorted by (size, at). Sets that no leader fits lead themselves."""
-    out, heads = [], []
-    for k in range(len(size)):
-        while heads and 100 * size[heads[0]] < THRESHOLD * size[k]:
-            heads.pop(0)
+    """(leader, follower) index pairs of one list. Sets that no leader fits lead themselves.
+
+    The sets are taken by position: the fewer rarer shingles stand before the common one, the more of its shingles a set
+    shares with others, so that of many copies with changes the original comes before its copies. Sets at a position at
+    which none of the same size can be linked by this shingle don't lead, so leaders differ in size.
+    """
+    out: list[tuple[int, int]] = []
+    heads: list[int] = []
+    for k in sorted(range(len(size)), key=lambda k: (at[k], size[k])):
+        own, left = size[k], size[k] - at[k]
         for h in heads:
-            if fits(size[k], at[k], size[h], at[h]):
+            other = size[h]
+            need = -(-THRESHOLD * (own + other) // (100 + THRESHOLD))
+            if need <= left and need <= other - at[h] and 100 * min(own, other) >= THRESHOLD * max(own, other):
                 out.append((h, k))
                 break
         else:
-            if size[k] - at[k] >= -(-THRESHOLD * 2 * size[k] // (100 + THRESHOLD)):  # else no set as large can be linked by this shingle
+            if left >= -(-THRESHOLD * 2 * own // (100 + THRESHOLD)):
                 heads.append(k)
     return out
 
@@ -296,11 +297,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     pairs = led.where("token is null").select("a", "b", "size_a", "size_b").distinct()
     first_doc = rows.where("size > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    def members(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+
+    def fetched(ids: DataFrame) -> DataFrame:
         return written(sets_of(docs, first_doc.join(ids, "set_id").select("doc_id", "set_id")), "tokens")
 
-    answers = written(overlaps(pairs, sets_for(pairs)), "answers")
+    sets = fetched(members(pairs))
+    answers = written(overlaps(pairs, sets), "answers")
     # what the leader x tells of followers y and z: |y & z| >= |x & y| + |x & z| - |x|, and <= |x & y| + |z| - |x & z|
     links = answers.where(_LINKED).select("a", "b")
     known = components(links)
@@ -321,7 +325,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     bounded = written(bounded.select("a", "b", "size_a", "size_b", "most", "least"), "bounded")
     sure = bounded.where(_LINKED.replace("overlap", "least"))
     compare = bounded.where(f"not coalesce({_LINKED.replace('overlap', 'least')}, false) and coalesce({_LINKED.replace('overlap', 'most')}, true)").select("a", "b", "size_a", "size_b")
-    more = overlaps(compare, sets_for(compare)).where(_LINKED).select("a", "b").unionByName(sure.select("a", "b"))
+    missing = members(compare).join(sets.select("set_id"), "set_id", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.unionByName(fetched(missing))
+    more = overlaps(compare, sets).where(_LINKED).select("a", "b").unionByName(sure.select("a", "b"))
     found = components(links.unionByName(more))
     own = first_doc.join(found, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
