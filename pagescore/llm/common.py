@@ -35,11 +35,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Whether the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read them back."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write the rows as a table in the shared folder and read them back. The shuffle files of the query,
+    which nothing reads again, go when it ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -133,7 +143,3 @@ def pieces(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndar
         yield first, data, at
         first = last
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
-    spark.sparkContext._jvm.System.gc()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescore.llm.common import mix64, pieces, powers, release, span_hashes, table, written
+from pagescore.llm.common import mix64, pieces, powers, span_hashes, table, written
 from pagescore.llm.runindex import END, RunIndex
 
 LENGTH, GRAM = 50, 16
@@ -278,9 +278,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     real = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     shared = written(shared_seeds(real), "seeds")
-    release(spark)
     found = written(matched(segments(real, shared).repartition("seed").sortWithinPartitions("seed", "whole", "doc_id")), "ranges")
-    release(spark)
     hot = found.where("w1 is not null")
     least = hot.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     ranges = found.where("w1 is null").select("doc_id", "place", "start", "end").unionByName(
