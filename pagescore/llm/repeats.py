@@ -2,7 +2,7 @@
 
 Every LENGTH-byte window has a seed: the least hash of its GRAM-byte grams. Equal windows have equal seeds, so windows
 are brought together by seed, a run of neighbouring windows of one seed as one segment. First only seeds are dealt out,
-to find those that several documents have; then the segments of these. Segments that are equal as a whole need no
+to find those that several documents have; then the segments of these, but for texts that are copies as a whole. Segments that are equal as a whole need no
 index. The others of a seed are indexed (all but the latest), and streamed through the index (all but the earliest).
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescore.llm.common import mix64, pieces, powers, span_hashes, table, written
@@ -97,12 +97,25 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(several, "doc_id long, seed long").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
 
 
+def mark_of(text: str) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, start, end): the whole range of each text that a smaller doc_id has too."""
+    keyed = docs.select("doc_id", F.md5("text").alias("md5"), mark_of("text").alias("place"), F.octet_length("text").cast("long").alias("end"))
+    first = keyed.groupBy("md5").agg(F.min("doc_id").alias("least"))
+    return keyed.join(first, "md5").where("doc_id > least").select("doc_id", "place", F.lit(0).cast("long").alias("start"), "end")
+
+
 SEGMENT = "seed long, whole long, doc_id long, place long, bytes binary"
 
 
 def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The segments of shared seeds. place holds the first byte's offset and 32 bits of the text's hash, for texts whose
-    doc_id repeats; whole is a hash of the bytes."""
+    """The segments of shared seeds, of all texts but later copies of others, whose marks are in shared's column gone.
+
+    place holds the first byte's offset and 32 bits of the text's hash, for texts whose doc_id repeats; whole is a hash
+    of the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +139,7 @@ def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 place = ((first - bounds[text]) << 32) | mark[row : row + n][text]
                 yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(whole.view(np.int64)), b.column("doc_id").slice(row, n).take(pa.array(text)), pa.array(place), body], names=["seed", "whole", "doc_id", "place", "bytes"])
 
-    joined = docs.withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).join(shared, "doc_id")
+    joined = docs.withColumn("mark", mark_of("text")).join(shared, "doc_id").where("gone is null or not array_contains(gone, mark)")
     return joined.select("doc_id", "text", "mark", "seeds").mapInArrow(run, SEGMENT)
 
 
@@ -277,16 +290,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     real = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
-    shared = written(shared_seeds(real), "seeds")
+    copies = written(later_copies(real), "copies")
+    gone = copies.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
+    shared = written(shared_seeds(real).join(gone, "doc_id", "left"), "seeds")
     found = written(matched(segments(real, shared).repartition("seed").sortWithinPartitions("seed", "whole", "doc_id")), "ranges")
     hot = found.where("w1 is not null")
     least = hot.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
-    ranges = found.where("w1 is null").select("doc_id", "place", "start", "end").unionByName(
+    ranges = copies.unionByName(found.where("w1 is null").select("doc_id", "place", "start", "end")).unionByName(
         hot.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", "place", "start", "end")
     )
     by_doc = ranges.groupBy("doc_id", "place").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).withColumnRenamed("doc_id", "_d").withColumnRenamed("place", "_p")
-    mark = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
-    joined = docs.withColumn("_mark", mark).join(by_doc, (F.col("doc_id") == F.col("_d")) & (F.col("_mark") == F.col("_p")), "left").select("doc_id", "text", "ranges")
+    joined = docs.withColumn("_mark", mark_of("text")).join(by_doc, (F.col("doc_id") == F.col("_d")) & (F.col("_mark") == F.col("_p")), "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
