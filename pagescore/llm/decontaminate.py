@@ -70,8 +70,10 @@ def hits(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item
     if found is None:
         found = keyed.select("_doc", "_text_hash", F.struct(F.lit(0).alias("start"), F.lit(0).alias("n")).alias("_span")).where("false")
     spans = found.groupBy("_doc", "_text_hash").agg(F.collect_set("_span").alias("_spans")).withColumnRenamed("_doc", "_d").withColumnRenamed("_text_hash", "_h")
-    candidates = keyed.join(spans, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")))
-    claims = candidates.select(
+    # only texts are dealt out; words are taken of those that have a candidate
+    whole = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
+    candidates = whole.join(spans, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")))
+    claims = candidates.withColumn("_words", words_of(F.col("_text"))).select(
         "_doc", "_text_hash", F.explode(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), F.slice("_words", s["start"] + 1, s["n"]).alias("win")))).alias("_c")
     ).select("_doc", "_text_hash", F.col("_c.start").alias("_start"), F.col("_c.win").alias("_win"))
     known = tokens.select("_win", "_n", "_items")
