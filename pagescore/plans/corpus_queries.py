@@ -134,7 +134,7 @@ def log_duplicates(spark, sf_dir):
 
 def _as_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full event log made from events: delegations, dispositions, reviews and interventions by event type."""
-    e = _table(spark, sf_dir, "events").where("event_id < 4000")
+    e = _table(spark, sf_dir, "events")
     ref = F.concat(F.lit("D-"), F.col("user_id").cast("string"))
     tier = lambda k: F.struct(F.element_at(F.array(*map(F.lit, eventlog.MODELS)), (k % 3 + 1).cast("int")).alias("model"), F.element_at(F.array(*map(F.lit, eventlog.EFFORTS)), (k % 5 + 1).cast("int")).alias("effort"))
     i = F.col("event_id")
