@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,13 +238,31 @@ def windows(rows: tuple[np.ndarray, ...], known: int | None) -> tuple[pa.RecordB
     )
 
 
+def earliest(b: pa.RecordBatch, last: tuple[int, int, int] | None) -> tuple[pa.RecordBatch, pa.RecordBatch, tuple[int, int, int]]:
+    """Of rows sorted by seed, whole and document: the ranges of those that an earlier document has as a whole, the other
+    rows, and (seed, whole, earliest document) of the last kind. last: that of the rows before."""
+    seed, whole, doc, place = (b.column(c).to_numpy() for c in ("seed", "whole", "doc_id", "place"))
+    new = np.concatenate(([last is None or (seed[0], whole[0]) != last[:2]], (seed[1:] != seed[:-1]) | (whole[1:] != whole[:-1])))
+    least = np.append(doc[0] if last is None else last[2], doc[new])[np.cumsum(new)]
+    copy, start = doc > least, place >> 32
+    end = start + pc.binary_length(b.column("bytes")).to_numpy()
+    return _found(doc[copy], place[copy], start[copy], end[copy]), b.filter(pa.array(~copy)), (seed[-1], whole[-1], least[-1])
+
+
 def matched(sorted_segments: DataFrame) -> DataFrame:
-    """Removed ranges, and hashed windows of very frequent seeds (with w1, w2), from rows sorted by seed, whole, document."""
+    """Removed ranges, and hashed windows of very frequent seeds (with w1, w2), from rows sorted by seed, whole, document.
+
+    Copies of a whole segment leave as they come; held are only the rows of each kind's earliest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, hot, known = 0, None, None
+        size, limit, hot, known, last = 0, INDEX_BYTES, None, None, None
         for b in batches:
+            if not b.num_rows:
+                continue
+            out, b, last = earliest(b, last)
+            if out.num_rows:
+                yield out
             if not b.num_rows:
                 continue
             if hot is not None:  # the seed that is matched by windows goes on
@@ -257,7 +276,7 @@ def matched(sorted_segments: DataFrame) -> DataFrame:
                 hot, known, b = None, None, b.slice(n)
             held.append(b)
             size += b.column("bytes").nbytes
-            if size < INDEX_BYTES:
+            if size < limit:
                 continue
             seed = np.concatenate([x.column("seed").to_numpy() for x in held])
             cut = int(np.searchsorted(seed, seed[-1]))
@@ -268,10 +287,10 @@ def matched(sorted_segments: DataFrame) -> DataFrame:
             if len(np.unique(rest.column("whole").to_numpy())) > MOST_SEGMENTS:
                 *out, known = windows(_rows(rest.to_batches()), None)
                 yield from out
-                hot, held, size = seed[-1], [], 0
+                hot, held, size, limit = seed[-1], [], 0, INDEX_BYTES
             else:
-                held = rest.to_batches()
-                size = 0 if cut else size // 2  # a seed that goes on is looked at again when it has grown
+                held, size = rest.to_batches(), 0
+                limit = max(INDEX_BYTES, rest.column("bytes").nbytes)  # a seed that goes on is looked at again when it has doubled
         if held:
             yield from match(_rows(held))
 
