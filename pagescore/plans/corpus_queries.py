@@ -60,8 +60,8 @@ def baseline_delta(spark, sf_dir):
 
 
 def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Elements made from conversations: a document of each, turns of 12 words; predictions lose, change, shift and add some."""
-    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.array_join(F.slice(F.split(collapse(F.col("text")), " "), 1, 12), " ").alias("text"))
+    """Elements made from conversations: a document of each, whole turns; predictions lose, change, shift and add some."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", collapse(F.col("text")).alias("text"))
     base = turns.select(
         "doc_id", F.col("role").alias("element_type"), F.col("turn").cast("int").alias("pos"), F.concat(F.lit("e"), F.col("turn").cast("string")).alias("element_id"),
         F.array((F.col("turn") % 3).cast("int")).alias("pages"), "text", (F.col("turn") * 40).cast("int").alias("char_offset"),

@@ -41,3 +41,17 @@ def test_logs_are_read_whole(spark, tmp_path):
     assert got["overshoot_rate"] == sum(a < b for a, b in judged) / len(judged) and got["undershoot_rate"] == sum(a > b for a, b in judged) / len(judged)
     assert got["rework_rate"] == sum(p % 3 == 0 for _, p in bought) / len(bought)
     assert got["token_prediction_calibration"] == sum(p % 5 * 1000 + 500 for _, p in bought) / sum(i % 7 * 1000 + 1000 for i, _ in bought)
+
+
+def test_elements_are_whole_turns(spark, tmp_path):
+    same = " ".join(f"w{k}" for k in range(12))
+    turns = [same + " " + " ".join(["ease"] * 40), same, " a  b\n" + same, None]
+    put(spark, tmp_path, "conversations", [(4, k, "user", t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    gt, pred = Q.elements(spark, str(tmp_path))
+    want = [None if t is None else " ".join(t.split()) for t in turns]
+    assert [r["text"] for r in gt.orderBy("pos").collect()] == want
+    got = {r["element_id"]: r["text"] for r in pred.collect()}
+    assert got == {f"e{k}": t and (t.translate(str.maketrans("eo", "xy")) if (124 + k) % 4 == 0 else t) for k, t in enumerate(want) if (124 + k) % 9}
+    # equal in 12 words, different after them: not an exact match
+    first = {r["gt_id"]: r for r in Q.element_matches(spark, str(tmp_path)).collect()}["e0"]
+    assert (first["match_type"], first["pred_id"]) == ("partial", "e0") and '"first_diff_pos":"%d"' % (len(same) + 1) in first["error_details"]
