@@ -31,6 +31,12 @@ def normalize_any_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield folded.map(lambda t: None if t is None else " ".join("".join(c if c.isalpha() or c.isdecimal() else " " for c in t).split()))
 
 
+def normalize(text: Column) -> Column:
+    """normalize_any_text, by the plain expression where a text is all ASCII."""
+    other = normalize_any_text(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+    return F.coalesce(other, normalize_text(text))
+
+
 def tokens(normalized: Column) -> Column:
     """The words of a normalised text; none for an empty or null one."""
     return F.coalesce(F.filter(F.split(normalized, " "), lambda w: w != ""), F.array().cast("array<string>"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagescore.functions.geometry import ratio
-from pagescore.functions.text import backed_off, edit_similarity, ngrams, normalize_text, tokens
+from pagescore.functions.text import backed_off, edit_similarity, ngrams, normalize, tokens
 
 #: Thresholds of the gate. Fixed values.
 N, MIN_CONTAINMENT, MIN_RETENTION, GROSS_RETENTION, MINOR_RATE, MAX_FOREIGN, MAX_MISPLACED = 3, 0.95, 0.95, 0.6, 0.05, 0.5, 0
@@ -14,7 +14,7 @@ N, MIN_CONTAINMENT, MIN_RETENTION, GROSS_RETENTION, MINOR_RATE, MAX_FOREIGN, MAX
 
 def worded(regions: DataFrame) -> DataFrame:
     """Add norm and words to regions (page_id, region_id, text)."""
-    return regions.withColumn("norm", normalize_text(F.coalesce("text", F.lit("")))).withColumn("words", tokens(F.col("norm")))
+    return regions.withColumn("norm", normalize(F.coalesce("text", F.lit("")))).withColumn("words", tokens(F.col("norm")))
 
 
 def page_n(gt: DataFrame, n: int = N) -> DataFrame:

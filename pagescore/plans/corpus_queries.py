@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescore.functions.geometry import ratio
-from pagescore.functions.text import collapse, ngrams, normalize_text, tokens
+from pagescore.functions.text import collapse, ngrams, normalize, tokens
 from pagescore.operators import contract, eventlog, matching, metrics, regions
 from pagescore.operators.alignment import resolve, viable_pairs
 from pagescore.streaming.scorecards import event_windows
@@ -25,13 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def normalize_tokens(spark, sf_dir):
     """Of every document: normalised length, tokens and distinct tokens."""
-    words = _table(spark, sf_dir, "documents").select("doc_id", normalize_text(F.col("text")).alias("norm")).withColumn("words", tokens(F.col("norm")))
+    words = _table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("norm")).withColumn("words", tokens(F.col("norm")))
     return words.select("doc_id", F.length("norm").alias("n_chars"), F.size("words").alias("n_tokens"), F.size(F.array_distinct("words")).alias("n_distinct"))
 
 
 def benchmark_in_documents(spark, sf_dir):
     """For each benchmark item: its trigrams, and how many of them some document has."""
-    words = lambda name: _table(spark, sf_dir, name).withColumn("words", tokens(normalize_text(F.col("text"))))
+    words = lambda name: _table(spark, sf_dir, name).withColumn("words", tokens(normalize(F.col("text"))))
     grams = lambda name, key: words(name).select(key, F.explode(ngrams(F.col("words"), F.lit(3))).alias("gram"))
     items = grams("benchmark", "item_id").groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("c"))
     seen = grams("documents", "doc_id").select("gram").join(items.select("gram").distinct(), "gram", "left_semi").distinct().withColumn("seen", F.lit(1))

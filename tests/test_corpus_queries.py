@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from pagescore.operators import eventlog
+from pagescore.operators import eventlog, fidelity
 from pagescore.plans import corpus_queries as Q
 
 
@@ -55,3 +55,16 @@ def test_elements_are_whole_turns(spark, tmp_path):
     # equal in 12 words, different after them: not an exact match
     first = {r["gt_id"]: r for r in Q.element_matches(spark, str(tmp_path)).collect()}["e0"]
     assert (first["match_type"], first["pred_id"]) == ("partial", "e0") and '"first_diff_pos":"%d"' % (len(same) + 1) in first["error_details"]
+
+
+def test_words_of_any_script(spark, tmp_path):
+    pairs = [("e\u0301te\u0301 au lait", "\u00e9t\u00e9 AU lait"), ("\u03bb\u03cc\u03b3\u03bf\u03c2 a b", "\u039b\u038c\u0393\u039f\u03a3 a b"), ("\ufb01ne Stra\u00dfe x", "fine STRASSE x"), ("Plain A-1", "plain a 1")]
+    rows = [(2 * k + side, t) for k, pair in enumerate(pairs) for side, t in enumerate(pair)] + [(90, None), (91, "")]
+    put(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    put(spark, tmp_path, "benchmark", [(k, b) for k, (_, b) in enumerate(pairs)], "item_id long, text string")
+    got = {r["region_id"]: r["words"] for r in fidelity.worded(spark.createDataFrame([("p", k, t) for k, t in rows], "page_id string, region_id long, text string")).collect()}
+    for k in range(len(pairs)):
+        assert got[2 * k] == got[2 * k + 1] and len(got[2 * k]) == 3
+    assert got[90] == got[91] == []
+    sizes = {r["doc_id"]: (r["n_chars"], r["n_tokens"], r["n_distinct"]) for r in Q.normalize_tokens(spark, str(tmp_path)).collect()}
+    assert all(sizes[2 * k] == sizes[2 * k + 1] and sizes[2 * k][1:] == (3, 3) for k in range(len(pairs))) and sizes[90] == (None, 0, 0)
