@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagescore.operators.regions import DEPTH_CAP, blocks, canonical, flatten, kind, member, string_member
+from pagescore.operators.regions import blocks, canonical, flatten, kind, member, string_member, walk
 
 #: Kinds of violation, in the order of reports. Fixed values.
 KINDS = (
@@ -14,83 +14,80 @@ KINDS = (
 )
 
 
-def _offenders(rows: DataFrame, name: str, offender: Column) -> DataFrame:
-    return rows.select("page_id", F.lit(name).alias("kind"), offender.cast("string").alias("offender"))
+_WHOLE = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 
 
-def _entries(lists: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
-    """Object entries of one level's lists (page_id, value), their offenders, and the lists of the next level."""
-    at = F.concat(F.lit(f"depth {depth} index "), F.col("pos").cast("string"))
-    bad = [_offenders(lists.where(~kind(F.col("value")).isin("ARRAY", "VOID")), "non_object_regions", F.concat(F.lit(f"depth {depth}: "), kind(F.col("value"))))]
-    each = lists.where(kind(F.col("value")) == "ARRAY").select("page_id", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("pos", "entry"))
-    is_object = F.coalesce(kind(F.col("entry")) == "OBJECT", F.lit(False))
-    bad.append(_offenders(each.where(~is_object), "non_object_regions", F.concat(at, F.lit(": "), F.coalesce(kind(F.col("entry")), F.lit("VOID")))))
-    own = each.where(is_object).withColumn("id", string_member("entry", "id")).withColumn("children", member("entry", "children")).withColumn("index", member("entry", "reading_order_index"))
-    bad.append(_offenders(own.where("id = ''"), "regions_without_id", at))
-    present = own.where((F.col("id") != "") & F.col("index").isNotNull())
-    bad.append(_offenders(present.where(~kind(F.col("index")).isin("BIGINT", "INT", "SMALLINT", "TINYINT")), "non_integer_reading_order_index", F.concat("id", F.lit(": "), kind(F.col("index")))))
-    nested = own.where(F.col("children").isNotNull() & (kind(F.col("children")) != "VOID"))
-    if depth + 1 > DEPTH_CAP:
-        bad.append(_offenders(nested, "regions_below_depth_cap", F.when(F.col("id") == "", "None").otherwise(F.col("id"))))
-        return own, bad, None
-    return own, bad, nested.select("page_id", F.col("children").alias("value"))
+def _told(*cases: tuple[Column, str, Column]) -> Column:
+    """A row's violations, an array of (kind, offender): those of the cases (condition, kind, offender) that hold."""
+    made = [F.when(holds, F.struct(F.lit(name).alias("kind"), offender.cast("string").alias("offender"))) for holds, name, offender in cases]
+    return F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("v")
 
 
-def order_contradictions(named: DataFrame, indices: DataFrame) -> DataFrame:
-    """(page_id, region_id): ids whose place by index differs from that by list, among those that have both.
-
-    named (page_id, region_id, at): the last place in the list. indices (page_id, region_id, index): roots only.
-    """
-    both = named.join(indices, ["page_id", "region_id"])
-    by_index, by_list = Window.partitionBy("page_id").orderBy("index", "region_id"), Window.partitionBy("page_id").orderBy("at")
-    ranked = both.select("page_id", "region_id", F.row_number().over(by_index).alias("i"), F.row_number().over(by_list).alias("j"))
-    return ranked.where("i <> j").select("page_id", "region_id")
+def tree_violations(tree: DataFrame) -> DataFrame:
+    """(page_id, kind, offender) that single entries of the region tree (regions.walk) are, in one pass."""
+    what, depth = kind(F.col("value")), F.size("path") - 1
+    name, index = string_member("value", "id"), member("value", "reading_order_index")
+    at = F.concat(F.lit("depth "), depth.cast("string"), F.lit(" index "), F.element_at("path", -1).cast("string"))
+    is_entry, is_object = F.col("part") == "entry", what == "OBJECT"
+    own = is_entry & is_object
+    return tree.select("page_id", _told(
+        (~is_entry, "non_object_regions", F.concat(F.lit("depth "), F.size("path").cast("string"), F.lit(": "), what)),
+        (is_entry & ~is_object, "non_object_regions", F.concat(at, F.lit(": "), what)),
+        (own & (name == ""), "regions_without_id", at),
+        (own & (name != "") & index.isNotNull() & ~kind(index).isin(*_WHOLE), "non_integer_reading_order_index", F.concat(name, F.lit(": "), kind(index))),
+        (own & F.col("below"), "regions_below_depth_cap", F.when(name == "", "None").otherwise(name)),
+    )).select("page_id", "v.*")
 
 
 def violations(pages: DataFrame) -> DataFrame:
-    """(page_id, kind, offender), distinct, of pages (page_id, doc variant): levels of the raw tree down to the depth cap,
-    then the declared order against the ids found."""
-    level = pages.select("page_id", member("doc", "regions").alias("value")).where("value is not null")
-    found: list[DataFrame] = []
-    ids = None
-    roots = None
-    for depth in range(DEPTH_CAP + 1):
-        own, bad, below = _entries(level, depth)
-        found += bad
-        named = own.where("id <> ''").select("page_id", F.col("id").alias("region_id"))
-        ids = named if ids is None else ids.unionByName(named)
-        if depth == 0:
-            whole = kind(F.col("index")).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-            roots = own.where((F.col("id") != "") & whole).groupBy("page_id", F.col("id").alias("region_id")).agg(F.max_by(F.variant_get("index", "$", "bigint"), "pos").alias("index"))
-        if below is None or below.isEmpty():
-            break
-        level = below
-    counted = ids.groupBy("page_id", "region_id").agg(F.count(F.lit(1)).alias("n"))
-    found.append(_offenders(counted.where("n > 1"), "duplicate_region_ids", F.col("region_id")))
+    """(page_id, kind, offender), distinct, of pages (page_id, doc variant).
+
+    The region tree is walked once by each of three parts, however deep it is: its entries one by one, its ids against
+    the declared order, and its blocks against that order. Ids of a page meet in one grouping by page and id.
+    """
+    tree = walk(pages)
     order = pages.select("page_id", member("doc", "reading_order").alias("value")).where("value is not null")
     is_list = kind(F.col("value")) == "ARRAY"
-    found.append(_offenders(order.where(~is_list), "reading_order_not_a_list", kind(F.col("value"))))
-    listed = order.where(is_list)
-    entry = listed.select("page_id", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("at", "entry"))
-    is_string = F.coalesce(kind(F.col("entry")) == "STRING", F.lit(False))
-    found.append(_offenders(entry.where(~is_string), "non_string_order_entries", F.concat(F.lit("index "), F.col("at").cast("string"), F.lit(": "), F.coalesce(kind(F.col("entry")), F.lit("VOID")))))
-    named = entry.where(is_string).select("page_id", "at", F.variant_get("entry", "$", "string").alias("region_id"))
-    once = named.groupBy("page_id", "region_id").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
-    found.append(_offenders(once.where("n > 1"), "duplicate_order_entries", F.col("region_id")))
-    found.append(_offenders(once.join(counted, ["page_id", "region_id"], "left_anti"), "order_refs_no_region", F.col("region_id")))
-    with_list = counted.join(listed.select("page_id"), "page_id", "left_semi")
-    found.append(_offenders(with_list.join(once, ["page_id", "region_id"], "left_anti"), "order_omits_regions", F.col("region_id")))
+    entry = order.where(is_list).select("page_id", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("at", "entry"))
+    what = F.coalesce(kind(F.col("entry")), F.lit("VOID"))
+    odd = order.select("page_id", _told((~is_list, "reading_order_not_a_list", kind(F.col("value"))))).unionByName(
+        entry.select("page_id", _told((what != "STRING", "non_string_order_entries", F.concat(F.lit("index "), F.col("at").cast("string"), F.lit(": "), what))))
+    ).select("page_id", "v.*")
+    once = entry.where(what == "STRING").groupBy("page_id", F.variant_get("entry", "$", "string").alias("region_id")).agg(F.count(F.lit(1)).alias("listed"), F.max("at").alias("at"))
+    root_index = F.when((F.size("path") == 1) & kind(member("value", "reading_order_index")).isin(*_WHOLE), F.struct("path", F.try_variant_get("value", "$.reading_order_index", "bigint").alias("index")))
+    named = tree.where((F.col("part") == "entry") & (kind(F.col("value")) == "OBJECT")).select("page_id", string_member("value", "id").alias("region_id"), root_index.alias("root"))
+    ids = named.where("region_id <> ''").groupBy("page_id", "region_id").agg(F.count(F.lit(1)).alias("found"), F.max("root")["index"].alias("index"))
+    has_list = order.where(is_list).select("page_id", F.lit(True).alias("has_list"))
+    met = ids.join(once, ["page_id", "region_id"], "full").join(has_list, "page_id", "left")
+    both = F.col("index").isNotNull() & F.col("at").isNotNull()
+    by_index = Window.partitionBy("page_id", both).orderBy("index", "region_id")
+    by_list = Window.partitionBy("page_id", both).orderBy("at")
+    ranked = met.withColumn("i", F.when(both, F.row_number().over(by_index))).withColumn("j", F.when(both, F.row_number().over(by_list)))
+    by_id = ranked.select("page_id", _told(
+        (F.col("found") > 1, "duplicate_region_ids", F.col("region_id")),
+        (F.col("listed") > 1, "duplicate_order_entries", F.col("region_id")),
+        (F.col("found").isNull(), "order_refs_no_region", F.col("region_id")),
+        (F.col("listed").isNull() & F.col("has_list"), "order_omits_regions", F.col("region_id")),
+        (F.col("i") != F.col("j"), "order_contradicts_indices", F.col("region_id")),
+    )).select("page_id", "v.*")
+    return tree_violations(tree).unionByName(odd).unionByName(by_id).unionByName(block_violations(pages, order.where(is_list))).distinct()
+
+
+def block_violations(pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """(page_id, kind, offender) where a declared list is not made of whole blocks: the ids in it that are inside a block, or
+    the list itself if there is none. listed (page_id): the pages that declare a list."""
     regions = flatten(pages)
-    broken = canonical(pages, regions).where("not canonical").select("page_id").join(listed.select("page_id"), "page_id", "left_semi")
-    starts = blocks(regions).where("root_id <> ''").select("page_id", F.col("root_id").alias("region_id"))
-    inner = once.join(broken, "page_id", "left_semi").join(counted, ["page_id", "region_id"], "left_semi").join(starts, ["page_id", "region_id"], "left_anti")
-    found.append(_offenders(inner, "order_breaks_block_structure", F.col("region_id")))
-    found.append(_offenders(broken.join(inner.select("page_id"), "page_id", "left_anti"), "order_breaks_block_structure", F.lit("order is not a permutation of whole blocks")))
-    found.append(_offenders(order_contradictions(once, roots), "order_contradicts_indices", F.col("region_id")))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    own = blocks(regions).groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("ids"), F.collect_set("root_id").alias("roots"))
+    broken = canonical(pages, regions).where("not canonical").join(listed.select("page_id"), "page_id", "left_semi").join(own, "page_id", "left")
+    none = F.array().cast("array<string>")
+    inner = F.array_distinct(F.array_except(F.array_intersect("declared", F.coalesce("ids", none)), F.coalesce("roots", none)))
+    whole = F.array(F.lit("the declared list does not keep root blocks together"))
+    return broken.select("page_id", F.lit("order_breaks_block_structure").alias("kind"), F.explode(F.when(F.size(inner) > 0, inner).otherwise(whole)).alias("offender"))
+
+
+def sorted_offenders(offenders: DataFrame) -> DataFrame:
+    """(page_id, kind, n, offenders array<string>): the distinct offenders of each kind and page, in order."""
+    return offenders.groupBy("page_id", "kind").agg(F.array_sort(F.collect_set("offender")).alias("offenders")).select("page_id", "kind", F.size("offenders").alias("n"), "offenders")
 
 
 def contract_check(pages: DataFrame, offenders: DataFrame, side: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +45,40 @@ def integer_member(value: str, path: str) -> Column:
     return F.when(whole, F.try_variant_get(F.col(value), f"$.{path}", "bigint"))
 
 
-def objects_of(rows: DataFrame, value: str, keep: list[str]) -> DataFrame:
-    """A row for each entry of the list in a variant column: keep, pos, entry. Objects only."""
-    each = F.when(kind(F.col(value)) == "ARRAY", F.try_variant_get(F.col(value), "$", "array<variant>"))
-    return rows.select(*keep, F.posexplode(each).alias("pos", "entry")).where(kind(F.col("entry")) == "OBJECT")
+def walk(pages: DataFrame, path: str = "regions") -> DataFrame:
+    """Every entry of the region tree of pages (page_id, doc variant), in one pass over each document, whatever its depth.
+
+    page_id, path array<int>, parent_id, part, below boolean, value variant. part entry: one list entry, without its
+    children; below tells that it has children deeper than DEPTH_CAP, which are not entered. part list: a list of regions
+    that is no list, at the path of its owner. Null lists are passed over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows: list[tuple] = []
+                open_lists = [((), "", json.loads(text))]
+                while open_lists:
+                    owner, parent, entries = open_lists.pop()
+                    if not isinstance(entries, list):
+                        if entries is not None:
+                            rows.append((owner, parent, "list", False, json.dumps(entries)))
+                        continue
+                    for place, entry in enumerate(entries):
+                        at, children = (*owner, place), entry.pop("children", None) if isinstance(entry, dict) else None
+                        below = children is not None and len(at) > DEPTH_CAP
+                        rows.append((at, parent, "entry", below, json.dumps(entry)))
+                        if children is not None and not below:
+                            name = entry.get("id")
+                            open_lists.append((at, name if isinstance(name, str) else "", children))
+                if rows:
+                    own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * len(rows), batch.column(0).type), *own], names=["page_id", "path", "parent_id", "part", "below", "json"])
+
+    kind_of_page = pages.schema["page_id"].dataType.simpleString()
+    lists = pages.select("page_id", F.to_json(member("doc", path)).alias("json")).where("json is not null")
+    rows = lists.mapInArrow(run, f"page_id {kind_of_page}, path array<int>, parent_id string, part string, below boolean, json string")
+    return rows.withColumn("value", F.parse_json("json")).drop("json")
 
 
 def is_note(label: Column, semantic: Column) -> Column:
@@ -59,35 +93,24 @@ def block_type(label: Column, semantic: Column) -> Column:
 
 def project(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Region columns of object entries; fields of a wrong kind count as absent."""
-    box = F.array(*[F.try_variant_get(F.col("entry"), f"$.bbox.{c}", "double") for c in ("x0", "y0", "x1", "y1")])
-    sound = (kind(member("entry", "bbox")) == "OBJECT") & ~F.exists(box, lambda x: x.isNull())
+    box = F.array(*[F.try_variant_get(F.col("value"), f"$.bbox.{c}", "double") for c in ("x0", "y0", "x1", "y1")])
+    sound = (kind(member("value", "bbox")) == "OBJECT") & ~F.exists(box, lambda x: x.isNull())
     typed = rows.select(
-        *keep, string_member("entry", "id").alias("region_id"), F.lower(string_member("entry", "label")).alias("label"), string_member("entry", "text").alias("text"),
-        F.transform(strings_member("entry", "semantic_labels"), F.lower).alias("semantic_labels"), strings_member("entry", "text_anchors").alias("text_anchors"),
-        integer_member("entry", "reading_order_index").alias("reading_order_index"), *[F.when(sound, box[k]).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))],
-        member("entry", "children").alias("children"),
+        *keep, string_member("value", "id").alias("region_id"), F.lower(string_member("value", "label")).alias("label"), string_member("value", "text").alias("text"),
+        F.transform(strings_member("value", "semantic_labels"), F.lower).alias("semantic_labels"), strings_member("value", "text_anchors").alias("text_anchors"),
+        integer_member("value", "reading_order_index").alias("reading_order_index"), *[F.when(sound, box[k]).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))],
     )
     return typed.withColumn("is_note", is_note(F.col("label"), F.col("semantic_labels"))).withColumn("block_type", block_type(F.col("label"), F.col("semantic_labels")))
 
 
 def flatten(pages: DataFrame) -> DataFrame:
-    """Region rows of pages (page_id, doc): the tree in depth-first order of `path`, a level a step.
+    """Region rows of pages (page_id, doc): the tree in depth-first order of `path`, down to DEPTH_CAP.
 
-    page_id, depth, path array<int>, root_pos, parent_id, and the columns of project. Levels are made until one is
-    empty, DEPTH_CAP at most; entries that are no objects, and lists that are no lists, are passed over.
+    page_id, depth, path array<int>, parent_id, and the columns of project. Entries that are no objects, and lists that
+    are no lists, are passed over.
     """
-    level = objects_of(pages.select("page_id", member("doc", "regions").alias("regions")), "regions", ["page_id"])
-    keep = ["page_id", "depth", "path", "parent_id"]
-    level = project(level.select("page_id", F.lit(0).alias("depth"), F.array("pos").alias("path"), F.lit("").alias("parent_id"), "entry"), keep)
-    out = level
-    for depth in range(1, DEPTH_CAP + 1):
-        parents = level.where(kind(F.col("children")) == "ARRAY").select("page_id", F.col("path").alias("up"), F.col("region_id").alias("parent_id"), "children")
-        if parents.isEmpty():
-            break
-        below = objects_of(parents, "children", ["page_id", "up", "parent_id"])
-        level = project(below.select("page_id", F.lit(depth).alias("depth"), F.concat("up", F.array("pos")).alias("path"), "parent_id", "entry"), keep)
-        out = out.unionByName(level)
-    return out.drop("children")
+    objects = walk(pages).where((F.col("part") == "entry") & (kind(F.col("value")) == "OBJECT")).withColumn("depth", F.size("path") - 1)
+    return project(objects, ["page_id", "depth", "path", "parent_id"])
 
 
 def last_by_id(regions: DataFrame, side: list[str]) -> DataFrame:

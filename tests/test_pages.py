@@ -45,7 +45,7 @@ def suite(spark, gt, cand):
         return x.withColumnRenamed("passed", "p").join(y.withColumnRenamed("passed", "q"), "page_id").withColumn("passed", F.col("p") & F.col("q")).drop("p", "q")
 
     runs = (both, lambda: fidelity.text_fidelity(ra, lb, mapping), lambda: order.order_check(placed), lambda: structure.anchor_check(ra, lb, mapping), lambda: structure.type_check(structure.type_counts(ra, rb, mapping)))
-    results = scorecard.run_suite([scorecard.Checker(n, r) for n, r in zip(scorecard.SUITE, runs, strict=True)], a.select("page_id"))
+    results = scorecard.run_suite([scorecard.Checker(n, r) for n, r in zip(scorecard.SUITE, runs, strict=True)], a.select("page_id")).cache()
     out = {}
     for r in results.collect():
         out.setdefault(r["page_id"], {})[r["checker"]] = r["passed"]
