@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all runs in one local
+    process, as in tests, a new folder of our own; elsewhere an error, as a machine's own disk would not be shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own_dir[0]
@@ -41,7 +45,7 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read them back. The shuffle files of the query,
-    which nothing reads again, go when it ends."""
+    which nothing reads again, go when it ends. The table stays until `discard`, or until its folder is cleared."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
@@ -49,7 +53,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

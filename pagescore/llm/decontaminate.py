@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagescore.llm.common import ascii_lower, table
+from pagescore.llm.common import ascii_lower, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window, and of the shingles that stand for it in the join.
 WINDOW, SHINGLE = 10, 3
-#: The prefix tokens are broadcast while they are no more than this; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast while its measured rows take no more bytes than this; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -49,35 +49,45 @@ def prefix_tokens(windows: DataFrame) -> DataFrame:
     return best.select("_win", "_p.*")
 
 
+def measured(df: DataFrame, label: str, size: Column) -> tuple[DataFrame, int]:
+    """The rows, written, and the sum of `size` over them."""
+    seen = Observation()
+    out = written(df.observe(seen, F.sum(size.cast("long")).alias("bytes")), label)
+    return out, seen.get["bytes"] or 0
+
+
 def hits(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, window: int = WINDOW) -> DataFrame:
     """One row for each (doc, text) in which a window occurs: doc, _text_hash, _hit array<int> of word positions, _found item ids.
 
     The prefix tokens of the windows are joined with the documents' shingles; a match fixes where the window would
     start, so windows that would begin before the text or end after it go at once; the rest are compared word by word.
     """
-    tokens = prefix_tokens(item_windows(items, item, item_text, window)).persist()
+    tokens, token_bytes = measured(prefix_tokens(item_windows(items, item, item_text, window)), "prefixes", F.octet_length(F.concat_ws(" ", "_win")) + F.octet_length(F.concat_ws(",", "_items")) + 64)
+    small = lambda n: n <= BROADCAST_BYTES
     widths = sorted(r[0] for r in tokens.select("_width").distinct().collect())
     keyed = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_text_hash"), words_of(F.col(text)).alias("_words"))
-    small = tokens.count() <= BROADCAST_ROWS
     bare = tokens.select("_width", "_token", "_offset", "_n").distinct()
     found = None
     for width in widths:
         own = bare.where(F.col("_width") == width)
         at = keyed.select("_doc", "_text_hash", F.size("_words").alias("_words_n"), F.posexplode(shingles("_words", width)).alias("_at", "_token"))
-        part = at.join(F.broadcast(own) if small else own, "_token").where("_at >= _offset and _at - _offset + _n <= _words_n")
+        part = at.join(F.broadcast(own) if small(token_bytes) else own, "_token").where("_at >= _offset and _at - _offset + _n <= _words_n")
         part = part.select("_doc", "_text_hash", F.struct((F.col("_at") - F.col("_offset")).alias("start"), F.col("_n").alias("n")).alias("_span"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = keyed.select("_doc", "_text_hash", F.struct(F.lit(0).alias("start"), F.lit(0).alias("n")).alias("_span")).where("false")
     spans = found.groupBy("_doc", "_text_hash").agg(F.collect_set("_span").alias("_spans")).withColumnRenamed("_doc", "_d").withColumnRenamed("_text_hash", "_h")
-    # only texts are dealt out; words are taken of those that have a candidate
+    spans, span_bytes = measured(spans, "spans", F.size("_spans") * 16 + 64)
+    if small(span_bytes):
+        spans = F.broadcast(spans)  # so that no text is dealt out
+    # else only texts are; words are taken of those that have a candidate
     whole = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
     candidates = whole.join(spans, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")))
     claims = candidates.withColumn("_words", words_of(F.col("_text"))).select(
         "_doc", "_text_hash", F.explode(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), F.slice("_words", s["start"] + 1, s["n"]).alias("win")))).alias("_c")
     ).select("_doc", "_text_hash", F.col("_c.start").alias("_start"), F.col("_c.win").alias("_win"))
     known = tokens.select("_win", "_n", "_items")
-    exact = claims.join(F.broadcast(known) if small else known, "_win")
+    exact = claims.join(F.broadcast(known) if small(token_bytes) else known, "_win")
     return exact.groupBy("_doc", "_text_hash").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(_start, _start + _n - 1)"))))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("item_ids"),

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pagescore.llm.common import LOWER, SPACE, mix64, pieces, runs, span_hashes, table, written
+from pagescore.llm.common import LOWER, SPACE, discard, mix64, pieces, runs, span_hashes, table, written
 from pagescore.llm.components import components
 
 WORDS = 5
@@ -149,18 +149,20 @@ def postings(docs: DataFrame, order) -> DataFrame:
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole index lists, some lists at a time, from rows sorted by token."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []  # batches that all belong to one list, but for what the first begins with
     for b in batches:
         if not b.num_rows:
             continue
         new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
-        if cut:
-            yield [c[:cut] for c in held]
-            held = [c[cut:] for c in held]
-    if held is not None:
-        yield held
+        cut = int(np.searchsorted(new[0], new[0][-1]))  # the last list may go on
+        if held and (cut or held[-1][0][-1] != new[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in new], strict=True)]
+            held = []
+        elif cut:
+            yield [c[:cut] for c in new]
+        held.append([c[cut:] for c in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def leaders(sorted_postings: DataFrame) -> DataFrame:
@@ -294,14 +296,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(frequency(profiled))
     shuffled = postings(docs, order).repartition("token").sortWithinPartitions("token", "size_at", "set_id")
     led = written(leaders(shuffled), "lists")
+    order.destroy()
     pairs = led.where("token is null").select("a", "b", "size_a", "size_b").distinct()
-    first_doc = rows.where("size > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    first_doc = written(rows.where("size > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "first")
 
     def members(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 
+    tokens: list[DataFrame] = []
+
     def fetched(ids: DataFrame) -> DataFrame:
-        return written(sets_of(docs, first_doc.join(ids, "set_id").select("doc_id", "set_id")), "tokens")
+        tokens.append(written(sets_of(docs, first_doc.join(ids, "set_id").select("doc_id", "set_id")), "tokens"))
+        return tokens[-1]
 
     sets = fetched(members(pairs))
     answers = written(overlaps(pairs, sets), "answers")
@@ -325,14 +331,21 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     bounded = written(bounded.select("a", "b", "size_a", "size_b", "most", "least"), "bounded")
     sure = bounded.where(_LINKED.replace("overlap", "least"))
     compare = bounded.where(f"not coalesce({_LINKED.replace('overlap', 'least')}, false) and coalesce({_LINKED.replace('overlap', 'most')}, true)").select("a", "b", "size_a", "size_b")
-    missing = members(compare).join(sets.select("set_id"), "set_id", "left_anti")
+    missing = written(members(compare).join(sets.select("set_id"), "set_id", "left_anti"), "missing")
     if not missing.isEmpty():
         sets = sets.unionByName(fetched(missing))
     more = overlaps(compare, sets).where(_LINKED).select("a", "b").unionByName(sure.select("a", "b"))
-    found = components(links.unionByName(more))
-    own = first_doc.join(found, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
-    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = own.join(least, "root").select("set_id", "component_id")
+    linked = Observation()
+    more = written(more.observe(linked, F.count(F.lit(1)).alias("n")), "more")
+    # the components known so far, each a star round its root, stand for their links
+    found = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if linked.get["n"] else known
+    # each side of these joins is dealt out plainly, so that a component of very many sets, and a set of very many copies,
+    # are split among tasks
+    inside = first_doc.join(found, F.col("set_id") == F.col("node"))
+    least = written(inside.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    named = inside.select(F.col("set_id").alias("_set"), "root").join(least, "root")
+    named = written(first_doc.join(named, F.col("set_id") == F.col("_set"), "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
+    discard(led, answers, open_pairs, bounded, missing, more, first_doc, least, *tokens)
     out = rows.join(named, "set_id", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 

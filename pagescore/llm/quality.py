@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagescore.llm.common import LOWER, SPACE, learnable, mix64, pieces, span_hashes, table
 
 #: Most labelled rows that the model is fitted on, the first in order of their doc_id's hash.
 SAMPLE_ROWS = 8000
+#: Most bytes of text of the rows that a model is fitted on.
+SAMPLE_BYTES = 64 << 20
 BUCKET_BITS = 18
 
 #: Byte classes: white space, punctuation, and letters, digits and all non-ASCII bytes. A token is a run of one class.
@@ -65,18 +68,32 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(texts: list[str], labels: list[int], bits: int = BUCKET_BITS, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
+@dataclass
+class Rows:
+    """Labelled texts as features, one after another in flat arrays: buckets, how often each, where each text starts."""
+
+    bucket: np.ndarray
+    count: np.ndarray
+    start: np.ndarray
+    label: np.ndarray
+
+
+def counted(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket int32, count int32, first place of each text) of the texts at `bounds`; each text's buckets are distinct."""
+    bucket, text = features(data, bounds, bits)
+    key, count = np.unique((text << bits) | bucket, return_counts=True)
+    start = np.searchsorted(key, np.arange(len(bounds) - 1) << bits)
+    return (key & ((1 << bits) - 1)).astype(np.int32), count.astype(np.int32), start
+
+
+def fit(rows: Rows, bits: int = BUCKET_BITS, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
     """Follow the regularised leader, text by text. Without texts of both labels the score is the rate of label 1, or 0.5."""
-    size = 1 << bits
-    rate = (sum(labels) + 1) / (len(labels) + 2)
-    if len(set(labels)) < 2:
+    size, n_rows = 1 << bits, len(rows.label)
+    rate = (int(rows.label.sum()) + 1) / (n_rows + 2)
+    if len(np.unique(rows.label)) < 2:
         return Model(np.zeros(size), float(np.log(rate / (1 - rate))), bits)
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows = []
-    for text in texts:
-        _, data, bounds = next(pieces(pa.array([text])))
-        bucket, count = np.unique(features(data, bounds, bits)[0], return_counts=True)
-        rows.append((np.append(bucket, size), np.append(Model.SCALE * count / max(count.sum(), 1), 1.0)))
+    end = np.append(rows.start[1:], len(rows.bucket))
 
     def leader(at: np.ndarray) -> np.ndarray:
         own = z[at]
@@ -85,25 +102,65 @@ def fit(texts: list[str], labels: list[int], bits: int = BUCKET_BITS, epochs: in
 
     order = np.random.default_rng(5)
     for _ in range(epochs):
-        for k in order.permutation(len(rows)):
-            at, x = rows[k]
+        for k in order.permutation(n_rows):
+            count = rows.count[rows.start[k] : end[k]]
+            at = np.append(rows.bucket[rows.start[k] : end[k]], np.int32(size))
+            x = np.append(Model.SCALE * count / max(int(count.sum()), 1), 1.0)
             w = leader(at)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -40, 40))) - labels[k]) * x
+            g = (1 / (1 + np.exp(-np.clip(w @ x, -40, 40))) - rows.label[k]) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
     w = leader(np.arange(size + 1))
     return Model(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of up to `rows` labelled documents outside the held-out fold. Null labels and ids don't count;
-    of repeated ids the greatest label and text hold."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, _label) of up to `rows` labelled documents outside the held-out fold, the first by hash of doc_id, as
+    far as their texts have `most_bytes` together. Null labels and ids don't count; of repeated ids the greatest label
+    and text hold."""
     may, _ = learnable(F.col("doc_id"), modulus, held)
-    chosen = labels.where(may & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("_label")).orderBy("doc_id").collect()
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    chosen = labels.where(may & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sizes = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("_n"), F.max("_label").alias("_label"))
+    so_far = F.sum(F.coalesce("_n", F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `rows` rows at most
+    fits = sizes.withColumn("_sum", so_far).where(F.col("_sum") <= most_bytes).select("doc_id", "_label")
+    return docs.join(F.broadcast(fits), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("_label"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> tuple[list[str], list[int]]:
+    """The texts and labels of `sampled`, by doc_id."""
+    found = sampled(docs, labels, label, modulus, held, rows).orderBy("doc_id").collect()
     return [r["text"] or "" for r in found], [int(r["_label"] == 1) for r in found]
 
 
+def sample_features(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, bits: int = BUCKET_BITS) -> Rows:
+    """`sampled` as features, by doc_id. Texts are hashed in the tasks; of each feature the step from the bucket before and the
+    count reach the driver, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, data, bounds in pieces(b.column("text")):
+                bucket, count, start = counted(data, bounds, bits)
+                cut, n = np.append(start, len(bucket)).tolist(), len(bounds) - 1
+                packed = [zlib.compress(np.concatenate((np.diff(bucket[i:j], prepend=0), count[i:j])).astype(np.int32).tobytes(), 1) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), b.column("_label").slice(row, n).cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "label", "packed"])
+
+    found = sampled(docs, labels, label, modulus, held, rows).select("doc_id", "text", F.col("_label").cast("int").alias("_label"))
+    got = found.mapInArrow(run, "doc_id long, label int, packed binary").orderBy("doc_id").toArrow()
+    parts = [np.frombuffer(zlib.decompress(x.as_py()), np.int32) for x in got.column("packed")]
+    sizes = np.array([len(x) // 2 for x in parts], np.int64)
+    bucket, count = np.empty(int(sizes.sum()), np.int32), np.empty(int(sizes.sum()), np.int32)
+    start = np.cumsum(sizes) - sizes
+    for at, n, part in zip(start.tolist(), sizes.tolist(), parts, strict=True):
+        bucket[at : at + n] = np.cumsum(part[:n])
+        count[at : at + n] = part[n:]
+    return Rows(bucket, count, start, (got.column("label").to_numpy() == 1).astype(np.int64))
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, rows: int = SAMPLE_ROWS) -> Model:
+    return fit(sample_features(docs, labels, label, modulus, held, rows))
+
+
 def scored(docs: DataFrame, model) -> DataFrame:
     """doc_id and score double of every row; texts are scored whole, null as empty."""
 
@@ -132,6 +189,6 @@ def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts get the score of the bias alone; repeated rows get equal scores. Without labels all score 0.5.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(*sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, SAMPLE_ROWS))
+    model = learn(docs, table(spark, sf_dir, "labels"))
     _, held_out = learnable(F.col("doc_id"), 3, 1)
     return scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -41,7 +41,7 @@ def texts_of(df):
 
 def test_stages(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
-    model = quality.fit(*quality.sample(docs, spark.read.parquet(f"{corpus}/labels.parquet"), "quality", 3, 1, quality.SAMPLE_ROWS))
+    model = quality.learn(docs, spark.read.parquet(f"{corpus}/labels.parquet"))
     want = {(r["doc_id"], r["text"]) for r in docs.collect() if model.scores(pa.array([r["text"]], pa.string()))[0] >= 0.5}
     good = stage(spark, corpus, 0, docs)
     assert texts_of(good) == want and good.columns == docs.columns and not any("%%%" in (t or "") for _, t in want)
