@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescore.llm import quality
-from pagescore.llm.common import table, unsigned_crc32, written
+from pagescore.llm.common import discard, table, unsigned_crc32, written
 from pagescore.llm.decontaminate import hits
 from pagescore.llm.jaccard import similar_groups
 from pagescore.llm.mixing import in_training_order, mix, word_count
@@ -23,9 +23,7 @@ N_SHARDS = 24
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more stay. The model learns from labelled ones, the fold mod 3 = 1 left out."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    model = quality.fit(*quality.sample(rows, table(spark, sf_dir, "labels"), "quality", 3, 1, quality.SAMPLE_ROWS))
-    return quality.accepted(docs, model)
+    return quality.accepted(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, over the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, table(spark, sf_dir, "documents") if before is None else before, sf_dir), name)
+        if before is not None:
+            discard(before)  # the next stage's table holds all that is needed of it
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
