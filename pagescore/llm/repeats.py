@@ -1,9 +1,11 @@
 """Suffix-array dedup: passages that an earlier document holds, found by a run-length index of the repeated segments.
 
-Every LENGTH-byte window has a seed: the least hash of its GRAM-byte grams. Equal windows have equal seeds, so windows
-are brought together by seed, a run of neighbouring windows of one seed as one segment. First only seeds are dealt out,
-to find those that several documents have; then the segments of these, but for texts that are copies as a whole. Segments that are equal as a whole need no
-index. The others of a seed are indexed (all but the latest), and streamed through the index (all but the earliest).
+Every LENGTH-byte window has a seed: the least hash of its grams. Equal windows have equal seeds, so windows are brought
+together by seed, a run of neighbouring windows of one seed as one segment. First only seeds are dealt out, to find those
+that several documents have; then the segments of these, but for texts that are copies as a whole. Of segments that are
+equal as a whole only the earliest document's are kept, by each task before they are dealt out and again after it. The
+different segments of a seed are indexed (all but the latest), and streamed through the index (all but the earliest).
+A seed with too many for one index is cut up by longer grams, so that equal windows still meet, in smaller groups.
 """
 
 from __future__ import annotations
@@ -17,33 +19,37 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescore.llm.common import mix64, pieces, powers, span_hashes, table, written
+from pagescore.llm.common import discard, mix64, pieces, powers, span_hashes, table, written
 from pagescore.llm.runindex import END, RunIndex
 
-LENGTH, GRAM = 50, 16
+LENGTH = 50
+#: Bytes of the grams by which windows are dealt out: at first, and for seeds that have too many segments at the step before.
+GRAMS = (16, 32, LENGTH)
 #: Bytes of different segments that are indexed together; a seed is never split over two indexes.
 INDEX_BYTES = 1 << 20
-#: Different segments of one seed beyond which the seed's windows are matched by a hash join in place of an index.
+#: Most different segments of one seed in an index; those of a seed with more are dealt out again by the next longer gram.
 MOST_SEGMENTS = 20_000
+#: Segments whose earliest document a task remembers; when there are more it starts anew.
+REMEMBERED = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
-_SPAN = LENGTH - GRAM + 1  # grams of a window
 
 
-def seeds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, seed) of each segment: a run of up to _SPAN windows of one seed. No window spans texts."""
-    n = len(data) - LENGTH + 1
+def seeds(data: np.ndarray, bounds: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, seed) of each segment: a run of windows of one seed, as many as a window has grams at most.
+    No window spans texts."""
+    n, grams = len(data) - LENGTH + 1, LENGTH - gram + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=prefix[1:])
     inverse = powers(pow(_BASE, -1, 1 << 64), len(data))
-    least = mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(data) - GRAM + 1])
+    least = mix64((prefix[gram:] - prefix[:-gram]) * inverse[: len(data) - gram + 1])
     width = 1
-    while width * 2 <= _SPAN:
+    while width * 2 <= grams:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[: len(least) - (_SPAN - width)], least[_SPAN - width :])[:n]
+    least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])[:n]
     inside = np.ones(n, bool)
     for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         inside[max(end - LENGTH, start) : end] = False  # a text ends one byte before the next bound
@@ -51,10 +57,10 @@ def seeds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     size = np.diff(np.append(change, n))
     keep = inside[change]
     change, size = change[keep], size[keep]
-    many = -(-size // _SPAN)
+    many = -(-size // grams)
     of = np.repeat(np.arange(len(change)), many)
-    step = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * _SPAN
-    return change[of] + step, np.minimum(size[of] - step, _SPAN), least[change][of]
+    step = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * grams
+    return change[of] + step, np.minimum(size[of] - step, grams), least[change][of]
 
 
 def shared_seeds(docs: DataFrame) -> DataFrame:
@@ -112,13 +118,58 @@ def later_copies(docs: DataFrame) -> DataFrame:
 SEGMENT = "seed long, whole long, doc_id long, place long, bytes binary"
 
 
+class Earliest:
+    """The earliest document so far of each kind of segment in a task, kinds told apart by two 64-bit hashes."""
+
+    def __init__(self) -> None:
+        self.one, self.two, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def later(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether a smaller document has a segment's kind, here or before. It may forget, so others must bear copies."""
+        if not len(doc):
+            return np.zeros(0, bool)
+        by = np.lexsort((doc, two, one))
+        a, b, d = one[by], two[by], doc[by]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        kind, a, b, least = np.cumsum(new) - 1, a[new], b[new], d[new]
+        at = np.searchsorted(self.one, a)
+        inside = at < len(self.one)
+        met = np.flatnonzero(inside)[self.one[at[inside]] == a[inside]]
+        known = met[self.two[at[met]] == b[met]]
+        least[known] = np.minimum(self.doc[at[known]], least[known])
+        self.doc[at[known]] = least[known]
+        out = np.zeros(len(doc), bool)
+        out[by] = d > least[kind]
+        fresh = np.ones(len(a), bool)
+        fresh[met] = False
+        fresh[1:] &= a[1:] != a[:-1]
+        if len(self.one) + int(fresh.sum()) > REMEMBERED:
+            self.one, self.two, self.doc = a[fresh], b[fresh], least[fresh]
+        else:
+            self.one, self.two, self.doc = (np.concatenate(x) for x in ((self.one, a[fresh]), (self.two, b[fresh]), (self.doc, least[fresh])))
+            order = np.argsort(self.one, kind="stable")
+            self.one, self.two, self.doc = self.one[order], self.two[order], self.doc[order]
+        return out
+
+
+def _segment_rows(data: np.ndarray, first: np.ndarray, windows: np.ndarray, seed: np.ndarray, whole: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    length = windows + LENGTH - 1
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    take = np.arange(int(offsets[-1])) + np.repeat(first - offsets[:-1], length)
+    body = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(place), body], names=["seed", "whole", "doc_id", "place", "bytes"])
+
+
 def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """The segments of shared seeds, of all texts but later copies of others, whose marks are in shared's column gone.
 
     place holds the first byte's offset and 32 bits of the text's hash, for texts whose doc_id repeats; whole is a hash
-    of the bytes."""
+    of the bytes. A segment that a smaller document of the same task has too comes without bytes: nothing is to be looked
+    for, its range is removed. Its seed is no seed but deals it out evenly, and whole is its length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earliest = Earliest()
         for b in batches:
             mark = b.column("mark").to_numpy()
             for row, data, bounds in pieces(b.column("text")):
@@ -131,19 +182,36 @@ def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 own = mix64(seed ^ mix64(text.astype(np.uint64)))  # seed and text as one number
                 at = np.searchsorted(wanted, own)
                 use = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == own) if len(wanted) else np.zeros(len(own), bool)
-                first, text, seed = first[use], text[use], seed[use]
-                length = windows[use] + LENGTH - 1
-                whole = span_hashes(data, first, first + length)
-                offsets = np.concatenate(([0], np.cumsum(length)))
-                take = np.arange(int(offsets[-1])) + np.repeat(first - offsets[:-1], length)
-                body = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
+                first, windows, text, seed = first[use], windows[use], text[use], seed[use]
+                end = first + windows + LENGTH - 1
+                whole, other = span_hashes(data, first, end), span_hashes(data[::-1], len(data) - end, len(data) - first)
+                doc = b.column("doc_id").slice(row, n).to_numpy()[text]
                 place = ((first - bounds[text]) << 32) | mark[row : row + n][text]
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(whole.view(np.int64)), b.column("doc_id").slice(row, n).take(pa.array(text)), pa.array(place), body], names=["seed", "whole", "doc_id", "place", "bytes"])
+                gone = earliest.later(whole, other, doc)
+                if gone.any():
+                    spread = mix64(doc[gone].view(np.uint64) ^ mix64(place[gone].view(np.uint64))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array((end - first)[gone]), pa.array(doc[gone]), pa.array(place[gone]), pa.nulls(int(gone.sum()), pa.binary())], names=["seed", "whole", "doc_id", "place", "bytes"])
+                yield _segment_rows(data, *(x[~gone] for x in (first, windows, seed, whole, doc, place)))
 
     joined = docs.withColumn("mark", mark_of("text")).join(shared, "doc_id").where("gone is null or not array_contains(gone, mark)")
     return joined.select("doc_id", "text", "mark", "seeds").mapInArrow(run, SEGMENT)
 
 
+def finer(deferred: DataFrame, gram: int) -> DataFrame:
+    """Segments of deferred rows (FOUND, with bytes) by a longer gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, mark, start = (b.column(c).to_numpy() for c in ("doc_id", "place", "start"))
+            for row, data, bounds in pieces(b.column("bytes")):
+                first, windows, seed = seeds(data, bounds, gram)
+                text = np.searchsorted(bounds, first, side="right") - 1
+                place = ((start[row + text] + first - bounds[text]) << 32) | mark[row + text]
+                yield _segment_rows(data, first, windows, seed, span_hashes(data, first, first + windows + LENGTH - 1), doc[row + text], place)
+
+    return deferred.mapInArrow(run, SEGMENT)
+
+
 def _rows(held: list) -> tuple[np.ndarray, ...]:
     """seed, whole, doc, place and the byte offsets and bytes of record batches, joined."""
     whole = pa.Table.from_batches(held).combine_chunks()
@@ -165,31 +233,36 @@ def _gather(offsets: np.ndarray, data: np.ndarray, rows: np.ndarray, end: bool)
     return out, starts, size
 
 
-FOUND = "doc_id long, place long, start long, end long, w1 long, w2 long"
+def kinds(seed: np.ndarray, whole: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Whether each row's bytes differ from the row's before; bytes are compared where the hashes agree."""
+    new, size = np.ones(len(seed), bool), np.diff(offsets)
+    at = np.flatnonzero((seed[1:] == seed[:-1]) & (whole[1:] == whole[:-1]) & (size[1:] == size[:-1]))
+    if len(at):
+        begin = np.cumsum(size[at]) - size[at]
+        step = np.arange(int(size[at].sum())) - np.repeat(begin, size[at])
+        differ = data[np.repeat(offsets[at], size[at]) + step] != data[np.repeat(offsets[at + 1], size[at]) + step]
+        new[at + 1] = np.add.reduceat(differ, begin, dtype=np.int64) > 0
+    return new
 
 
-def _found(doc, place, start, end, w1=None, w2=None) -> pa.RecordBatch:
-    n = len(doc)
-    hashes = [pa.nulls(n, pa.int64()) if w is None else pa.array(w.view(np.int64)) for w in (w1, w2)]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, place & 0xFFFFFFFF, start, end)] + hashes, names=["doc_id", "place", "start", "end", "w1", "w2"])
+FOUND = "doc_id long, place long, start long, end long, bytes binary"
+
+
+def _found(doc: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, body: pa.Array | None = None) -> pa.RecordBatch:
+    body = pa.nulls(len(doc), pa.binary()) if body is None else body
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, place & 0xFFFFFFFF, start, end)), body], names=["doc_id", "place", "start", "end", "bytes"])
 
 
 def match(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    """Removed byte ranges of whole seeds' segments, sorted by seed, whole and document.
+    """Removed byte ranges of the segments of whole seeds, of each kind its earliest document's, sorted by seed and whole.
 
-    A segment that an earlier document has as a whole is removed. Of each kind of segment its earliest document's rows
-    are left; where a seed has several kinds, their windows are looked for in the other kinds.
+    Where a seed has several kinds, their windows are looked for in the other kinds, of smaller documents.
     """
     seed, whole, doc, place, offsets, data = rows
-    size = offsets[1:] - offsets[:-1]
-    kind_new = np.concatenate(([True], (seed[1:] != seed[:-1]) | (whole[1:] != whole[:-1])))
+    kind_new = kinds(seed, whole, offsets, data)
     kind_start = np.flatnonzero(kind_new)
     kind = np.cumsum(kind_new) - 1
-    least = doc[kind_start]  # sorted by document
-    copy = doc > least[kind]
-    start = place >> 32
-    if copy.any():
-        yield _found(doc[copy], place[copy], start[copy], (start + size)[copy])
+    least, start = doc[kind_start], place >> 32
     kind_seed = seed[kind_start]
     order = np.lexsort((least, kind_seed))
     first = np.concatenate(([True], kind_seed[order][1:] != kind_seed[order][:-1]))
@@ -204,120 +277,115 @@ def match(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     pattern, offset = index.long_matches(body, starts, sizes, least[ask])
     if not len(pattern):
         return
-    # windows of a kind, for each row of its earliest document
+    # windows of a kind, for each of its rows
     hit_kind = ask[pattern]
     by = np.lexsort((offset, hit_kind))
     hit_kind, offset = hit_kind[by], offset[by]
-    own = np.flatnonzero(~copy)
-    lo, hi = np.searchsorted(hit_kind, kind[own]), np.searchsorted(hit_kind, kind[own], side="right")
+    own = np.arange(len(doc))
+    lo, hi = np.searchsorted(hit_kind, kind), np.searchsorted(hit_kind, kind, side="right")
     row = np.repeat(own, hi - lo)
     at = offset[np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
     yield _found(doc[row], place[row], start[row] + at, start[row] + at + LENGTH)
 
 
-def windows(rows: tuple[np.ndarray, ...], known: int | None) -> tuple[pa.RecordBatch, pa.RecordBatch, int]:
-    """For a seed with too many kinds of segments: copies' ranges, and hashed windows of the others. known: the kind that
-    the rows before ended with."""
-    _, whole, doc, place, offsets, data = rows
-    size, start = offsets[1:] - offsets[:-1], place >> 32
-    new = np.concatenate(([whole[0] != known if known is not None else True], whole[1:] != whole[:-1]))
-    group = np.cumsum(new) - 1
-    least = doc[np.flatnonzero(new)] if new.any() else np.zeros(0, np.int64)
-    earliest = np.where(group >= 0, least[np.maximum(group, 0)] if len(least) else doc, np.iinfo(np.int64).min)
-    # rows that go on with the kind of the rows before are windows too: which is earliest isn't known here
-    copy = (doc > earliest) & (group >= 0)
-    rest = np.flatnonzero(~copy)
-    count = size[rest] - LENGTH + 1
-    row = np.repeat(rest, count)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    begin = offsets[row] + at
-    return (
-        _found(doc[copy], place[copy], start[copy], (start + size)[copy]),
-        _found(doc[row], place[row], start[row] + at, start[row] + at + LENGTH, span_hashes(data, begin, begin + LENGTH), span_hashes(data[::-1], len(data) - begin - LENGTH, len(data) - begin)),
-        int(whole[-1]),
-    )
-
-
-def earliest(b: pa.RecordBatch, last: tuple[int, int, int] | None) -> tuple[pa.RecordBatch, pa.RecordBatch, tuple[int, int, int]]:
+def earliest(b: pa.RecordBatch, last: tuple[pa.RecordBatch, int] | None) -> tuple[pa.RecordBatch, pa.RecordBatch, tuple[pa.RecordBatch, int]]:
     """Of rows sorted by seed, whole and document: the ranges of those that an earlier document has as a whole, the other
-    rows, and (seed, whole, earliest document) of the last kind. last: that of the rows before."""
-    seed, whole, doc, place = (b.column(c).to_numpy() for c in ("seed", "whole", "doc_id", "place"))
-    new = np.concatenate(([last is None or (seed[0], whole[0]) != last[:2]], (seed[1:] != seed[:-1]) | (whole[1:] != whole[:-1])))
-    least = np.append(doc[0] if last is None else last[2], doc[new])[np.cumsum(new)]
+    rows, and the last row with the earliest document of its kind. last: that of the rows before."""
+    seed, whole, doc, place, offsets, data = _rows([last[0], b] if last else [b])
+    new = kinds(seed, whole, offsets, data)
+    least = doc[new]
+    if last:
+        least[0] = last[1]
+    least = least[np.cumsum(new) - 1]
     copy, start = doc > least, place >> 32
-    end = start + pc.binary_length(b.column("bytes")).to_numpy()
-    return _found(doc[copy], place[copy], start[copy], end[copy]), b.filter(pa.array(~copy)), (seed[-1], whole[-1], least[-1])
+    if last:
+        copy[0] = False
+    gone = copy[1:] if last else copy
+    return _found(doc[copy], place[copy], start[copy], (start + np.diff(offsets))[copy]), b.filter(pa.array(~gone)), (b.slice(b.num_rows - 1), int(least[-1]))
+
+
+def _deferred(b: pa.RecordBatch) -> pa.RecordBatch:
+    place = b.column("place").to_numpy()
+    start = place >> 32
+    return _found(b.column("doc_id").to_numpy(), place, start, start + pc.binary_length(b.column("bytes")).to_numpy(), b.column("bytes"))
 
 
-def matched(sorted_segments: DataFrame) -> DataFrame:
-    """Removed ranges, and hashed windows of very frequent seeds (with w1, w2), from rows sorted by seed, whole, document.
+def matched(sorted_segments: DataFrame, most: int = MOST_SEGMENTS, index_bytes: int = INDEX_BYTES, final: bool = False) -> DataFrame:
+    """Removed ranges, from rows sorted by seed, whole and document; segments of seeds with too many come back with bytes.
 
-    Copies of a whole segment leave as they come; held are only the rows of each kind's earliest document."""
+    Copies of a whole segment leave as they come; held are the rows of each kind's earliest document, of up to `most` rows
+    a seed. final: seeds are hashes of whole windows, so that copies are all that there is to find.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, limit, hot, known, last = 0, INDEX_BYTES, None, None, None
+        size, limit, hot, last = 0, index_bytes, None, None
         for b in batches:
+            known = pc.is_null(b.column("bytes"))
+            done, b = b.filter(known), b.filter(pc.invert(known))
+            if done.num_rows:
+                place = done.column("place").to_numpy()
+                yield _found(done.column("doc_id").to_numpy(), place, place >> 32, (place >> 32) + done.column("whole").to_numpy())
             if not b.num_rows:
                 continue
             out, b, last = earliest(b, last)
             if out.num_rows:
                 yield out
-            if not b.num_rows:
+            if final or not b.num_rows:
                 continue
-            if hot is not None:  # the seed that is matched by windows goes on
-                seed = b.column("seed").to_numpy()
-                n = int(np.searchsorted(seed, hot, side="right"))
+            if hot is not None:  # a seed with too many segments goes on
+                n = int(np.searchsorted(b.column("seed").to_numpy(), hot, side="right"))
                 if n:
-                    *out, known = windows(_rows([b.slice(0, n)]), known)
-                    yield from out
+                    yield _deferred(b.slice(0, n))
                 if n == b.num_rows:
                     continue
-                hot, known, b = None, None, b.slice(n)
+                hot, b = None, b.slice(n)
             held.append(b)
             size += b.column("bytes").nbytes
             if size < limit:
                 continue
-            seed = np.concatenate([x.column("seed").to_numpy() for x in held])
-            cut = int(np.searchsorted(seed, seed[-1]))
             joined = pa.Table.from_batches(held).combine_chunks()
+            seed = joined.column("seed").to_numpy()
+            cut = int(np.searchsorted(seed, seed[-1]))
             if cut:
                 yield from match(_rows(joined.slice(0, cut).to_batches()))
             rest = joined.slice(cut)
-            if len(np.unique(rest.column("whole").to_numpy())) > MOST_SEGMENTS:
-                *out, known = windows(_rows(rest.to_batches()), None)
-                yield from out
-                hot, held, size, limit = seed[-1], [], 0, INDEX_BYTES
+            if rest.num_rows > most:
+                yield from map(_deferred, rest.to_batches())
+                hot, held, size, limit = seed[-1], [], 0, index_bytes
             else:
                 held, size = rest.to_batches(), 0
-                limit = max(INDEX_BYTES, rest.column("bytes").nbytes)  # a seed that goes on is looked at again when it has doubled
+                limit = max(index_bytes, rest.column("bytes").nbytes)  # a seed that goes on is looked at again when it has doubled
         if held:
             yield from match(_rows(held))
 
     return sorted_segments.mapInArrow(run, FOUND)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, most: int = MOST_SEGMENTS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, text, n_bytes long, n_removed long, n_spans long, kept binary: one row for each row of docs (doc_id long, text).
 
     Each byte goes that a LENGTH-byte string covers which also starts in a text of a smaller doc_id; matches are judged
     on the input, within texts, in UTF-8 bytes. n_spans counts maximal removed runs. Null texts are empty. Rows of one
     doc_id are not earlier than one another; a row without doc_id loses nothing and takes nothing from others. An empty
-    table gives an empty result. Windows are exactly compared but for those of seeds with more than MOST_SEGMENTS
-    different segments, which are told apart by two 64-bit hashes.
+    table gives an empty result. Bytes are compared but for copies in one task, of whole segments by two 64-bit hashes and
+    of whole texts by MD5.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     real = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     copies = written(later_copies(real), "copies")
     gone = copies.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
     shared = written(shared_seeds(real).join(gone, "doc_id", "left"), "seeds")
-    found = written(matched(segments(real, shared).repartition("seed").sortWithinPartitions("seed", "whole", "doc_id")), "ranges")
-    hot = found.where("w1 is not null")
-    least = hot.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
-    ranges = copies.unionByName(found.where("w1 is null").select("doc_id", "place", "start", "end")).unionByName(
-        hot.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", "place", "start", "end")
-    )
+    ranges, todo = copies, segments(real, shared)
+    for gram in GRAMS:
+        dealt = todo.repartition("seed").sortWithinPartitions("seed", "whole", "doc_id")
+        found = written(matched(dealt, most, index_bytes, gram == LENGTH), "ranges")
+        ranges = ranges.unionByName(found.where("bytes is null").drop("bytes"))
+        deferred = found.where("bytes is not null")
+        if gram == LENGTH or deferred.isEmpty():
+            break
+        todo = finer(deferred, GRAMS[GRAMS.index(gram) + 1])
+    discard(shared)
     by_doc = ranges.groupBy("doc_id", "place").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).withColumnRenamed("doc_id", "_d").withColumnRenamed("place", "_p")
     joined = docs.withColumn("_mark", mark_of("text")).join(by_doc, (F.col("doc_id") == F.col("_d")) & (F.col("_mark") == F.col("_p")), "left").select("doc_id", "text", "ranges")
 

@@ -2,41 +2,73 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pagescore.llm import repeats
 
 
-@pytest.mark.parametrize("most,docs", [(20_000, 6000), (1, 6000), (20_000, 1)])
-def test_copies_of_one_segment_are_not_held(monkeypatch, most, docs):
-    rng = random.Random(3)
-    body = bytes(rng.randrange(97, 123) for _ in range(80))
-    kinds = [body, body[:70], body[3:]]  # the first holds all windows of the others
-    rows = [(1, k, d if k == 0 else d + 7, 5 << 32, kinds[k]) for k in range(3) for d in range(docs)] + [(2, 9, d, 0, body[::-1]) for d in (4, 4, 8)]
-    batches = [pa.RecordBatch.from_pylist([dict(zip(("seed", "whole", "doc_id", "place", "bytes"), r, strict=True)) for r in rows[k : k + 100]], pa.schema([("seed", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])) for k in range(0, len(rows), 100)]
-    monkeypatch.setattr(repeats, "INDEX_BYTES", 150)
-    monkeypatch.setattr(repeats, "MOST_SEGMENTS", most)
-    sizes = []
-    rows_of = repeats._rows
-    monkeypatch.setattr(repeats, "_rows", lambda held: sizes.append(sum(b.num_rows for b in held)) or rows_of(held))
+SCHEMA = pa.schema([("seed", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+
+
+def run_matched(rows, size, **options):
+    """What matched yields in this process for rows in batches of `size`."""
+    batches = [pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r, strict=True)) for r in rows[k : k + size]], SCHEMA) for k in range(0, len(rows), size)]
 
     class Rows:
         def mapInArrow(self, run, schema):
             return list(run(iter(batches)))
 
-    found = [r for b in repeats.matched(Rows()) for r in b.to_pylist()]
-    assert max(sizes) < 10
-    hot: dict = {}
-    for r in found:
-        if r["w1"] is not None:
-            hot.setdefault((r["w1"], r["w2"]), []).append(r)
-    found = [r for r in found if r["w1"] is None] + [r for group in hot.values() for r in group if r["doc_id"] > min(x["doc_id"] for x in group)]
+    return [r for b in repeats.matched(Rows(), **options) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("docs", [6000, 1])
+def test_copies_of_one_segment_are_not_held(monkeypatch, docs):
+    rng = random.Random(3)
+    body = bytes(rng.randrange(97, 123) for _ in range(80))
+    parts = [body, body[:70], body[3:]]  # the first holds all windows of the others
+    rows = [(1, k, d if k == 0 else d + 7, 5 << 32, parts[k]) for k in range(3) for d in range(docs)] + [(2, 9, d, 0, body[::-1]) for d in (4, 4, 8)]
+    rows += [(3, 60, 99, 7 << 32, None)]  # a task has found it removed
+    sizes = []
+    whole = repeats.match
+    monkeypatch.setattr(repeats, "match", lambda own: sizes.append(len(own[0])) or whole(own))
+    found = run_matched(rows, 100, most=20_000, index_bytes=150)
+    assert max(sizes) < 10 and all(r["bytes"] is None for r in found)
     got = {}
     for r in found:
-        got.setdefault((r["doc_id"], r["start"] < 5), set()).update(range(r["start"], r["end"]))
-    want = {(8, True): set(range(80))}
+        got.setdefault((r["doc_id"], r["start"]), set()).update(range(r["start"], r["end"]))
+    covered = {}
+    for (d, _), own in got.items():
+        covered.setdefault(d, set()).update(own)
+    want = {8: set(range(80)), 99: set(range(7, 67))}
     for d in range(1, docs + 7):
         if d < docs or d >= 7:
-            want[d, False] = set(range(5, 85 if d < docs else 82))
-    assert got == want
+            want[d] = want.get(d, set()) | set(range(5, 85 if d < docs else 82))
+    assert covered == want
+
+
+def test_equal_hashes_of_unequal_bytes_are_no_copies():
+    one, two = b"a" * 60, b"b" * 60
+    found = run_matched([(1, 5, 1, 0, one), (1, 5, 2, 0, two), (1, 5, 3, 0, one), (1, 5, 4, 0, two)], 3)
+    removed = {}
+    for r in found:
+        removed.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert removed == {3: set(range(60)), 4: set(range(60))}
+
+
+def test_a_task_sends_one_copy():
+    first = repeats.Earliest()
+    u = lambda *x: np.array(x, np.uint64)
+    assert first.later(u(3, 3, 4), u(1, 1, 1), np.array([5, 6, 2])).tolist() == [False, True, False]
+    # a smaller document goes on, later and equal hashes of another kind too
+    assert first.later(u(3, 3, 4, 3), u(1, 1, 1, 2), np.array([4, 5, 2, 9])).tolist() == [False, True, False, False]
+    assert first.later(u(3, 4), u(1, 1), np.array([9, 9])).tolist() == [True, True] and first.later(u(), u(), np.array([], np.int64)).tolist() == []
+
+
+@pytest.mark.parametrize("most,index_bytes", [(0, 300), (2, 2000)])
+def test_seeds_with_too_many_segments(spark, docs, most, index_bytes):
+    """Every step of longer grams gives the same removed bytes."""
+    told = lambda **options: sorted(map(str, repeats.remove_repeats(docs, **options).select("doc_id", "n_removed", "n_spans", F.md5("kept")).collect()))
+    assert told(most=most, index_bytes=index_bytes) == told()
