@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagescore.llm import jaccard, mixing, quality, repeats, sharding, toxicity, warc
+from pagescore.llm import ann, jaccard, mixing, quality, repeats, sharding, toxicity, warc
 from pagescore.llm.common import pieces, scratch, span_hashes
 from pagescore.llm.runindex import RunIndex
 from tests.llm.test_contracts import brute_components
@@ -75,6 +75,47 @@ def test_targets_with_one_source_and_none(spark):
     assert [r["target"] for r in got] == [0.0, 0.0]
 
 
+def test_scan_abandons_candidates_and_keeps_the_near():
+    """With a bound from the first lists most candidates are left after a block or two; the neighbours found stay."""
+    rng = np.random.default_rng(3)
+    dims, k = 64, 10
+    centres = rng.normal(size=(30, dims)) * 2
+    blocks = [c + rng.normal(size=(200, dims)) for c in centres]
+    rotation, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
+    hit = total = read = plain = 0
+    for query in [b[0] for b in blocks[:10]]:
+        order = np.argsort(((centres - query) ** 2).sum(axis=1))
+        best, best_id, bound = np.zeros(0), np.zeros(0, np.int64), np.inf
+        for place, at in enumerate(order):
+            turned = blocks[at] @ rotation
+            columns = [np.ascontiguousarray(turned[:, c : c + ann.COLUMNS]) for c in range(0, dims, ann.COLUMNS)]
+            ids, far, cost = ann.scan(query, query @ rotation, np.arange(200) + 200 * at, blocks[at], columns, -1, k, bound)
+            if place:  # beyond the first list
+                read, plain = read + cost, plain + blocks[at].size
+            by = np.argsort(np.concatenate((best, far)), kind="stable")[:k]
+            best, best_id = np.concatenate((best, far))[by], np.concatenate((best_id, ids))[by]
+            bound = best[-1] if len(best) == k else np.inf
+        exact = np.argsort(((np.concatenate(blocks) - query) ** 2).sum(axis=1), kind="stable")[:k]
+        hit, total = hit + len(set(exact) & set(best_id.tolist())), total + k
+    assert hit / total >= 0.9 and read < 0.5 * plain
+
+
+def test_scan_without_a_bound_and_with_one_of_its_own():
+    vectors = np.arange(600, dtype=float).reshape(-1, 2)
+    columns = [vectors]
+    for bound in (np.inf, 1e9):
+        ids, far, read = ann.scan(vectors[7], vectors[7], np.arange(300), vectors, columns, 7, 3, bound)
+        assert ids.tolist() == [6, 8, 5] and np.allclose(far, [8**0.5, 8**0.5, 32**0.5]) and read > 0
+    assert ann.scan(vectors[7], vectors[7], np.arange(300), vectors, columns, 7, 3, 0.1)[0].tolist() == []
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (1, [5.0, 5.0]), (2, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    got = [(r["query_id"], r["vec_id"], round(r["score"], 3)) for r in ann.search(df, "k", "v", F.col("k") == 100).orderBy("rank").collect()]
+    assert got == [(100, 2, 0.1), (100, 1, 1.414), (100, 1, 6.403)]
+
+
 def test_archives_by_small_splits(spark, tables):
     pages = spark.read.parquet(f"{tables[0]}/pages.parquet").repartition(3)
     tricky = spark.createDataFrame([(900 + k, "u", "\x1f\x8b\x08" * 20 + "WARC/1.1\r\n\r\n" + "".join(random.Random(k).choices("abc \x1f", k=3000))) for k in range(6)], "page_id long, url string, html string")
@@ -119,46 +160,6 @@ def test_run_index_against_search():
         assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
-@pytest.mark.parametrize("segments,batch", [(0, 500), (1, 1500)])
-def test_repeats_of_very_frequent_seeds(spark, docs, monkeypatch, segments, batch):
-    want = sorted(map(str, repeats.remove_repeats(docs).select("doc_id", "n_removed", "n_spans", F.md5("kept")).collect()))
-    for name, value in (("MOST_SEGMENTS", segments), ("INDEX_BYTES", batch)):
-        monkeypatch.setattr(repeats, name, value)
-    shared = repeats.shared_seeds(docs.select("doc_id", "text").where("octet_length(text) >= 50")).withColumn("gone", F.lit(None).cast("array<long>"))
-    rows = repeats.segments(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), shared)
-    parts = rows.orderBy("seed", "whole", "doc_id").toArrow().to_batches(max_chunksize=64)
-    found = [b for b in collect_matches(parts) if b.num_rows]
-    assert any(b.column("w1").null_count < b.num_rows for b in found)
-    ranges, hot = {}, {}
-    for b in found:
-        for r in b.to_pylist():
-            if r["w1"] is None:
-                ranges.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
-            else:
-                hot.setdefault((r["w1"], r["w2"]), []).append(r)
-    for group in hot.values():
-        least = min(r["doc_id"] for r in group)
-        for r in group:
-            if r["doc_id"] > least:
-                ranges.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
-    got = {d: len(s) for d, s in ranges.items()}
-    plain = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs).collect() if r["n_removed"]}
-    assert got == plain and want
-
-
-def collect_matches(batches):
-    """What repeats.matched yields for batches in this process."""
-    held = {}
-
-    class Rows:
-        def mapInArrow(self, run, schema):
-            held["run"] = run
-            return self
-
-    repeats.matched(Rows())
-    return list(held["run"](iter(batches)))
-
-
 def test_repeats_null_and_repeated_ids(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     df = spark.createDataFrame([(None, long), (7, long), (7, long + "!"), (9, "x " + long), (3, "short")], "doc_id long, text string")
@@ -218,14 +219,68 @@ def test_pieces_and_hashes():
     assert a == b != span_hashes(data, np.array([0]), np.array([3]))[0]
 
 
+def feature_rows(texts, labels):
+    """The quality model's features of texts, without Spark."""
+    if not texts:
+        return quality.Rows(*(np.zeros(0, np.int64) for _ in range(4)))
+    _, data, bounds = next(pieces(pa.array(texts), 1 << 30))
+    return quality.Rows(*quality.counted(data, bounds, quality.BUCKET_BITS), np.array(labels))
+
+
 def test_quality_learns_and_survives_one_label():
     rng = random.Random(2)
     good = [" ".join(f"word{rng.randrange(500)}" for _ in range(60)) for _ in range(150)]
     bad = [g.replace(" ", "%%% ", 20) for g in good]
-    model = quality.fit(good[:100] + bad[:100], [1] * 100 + [0] * 100)
+    model = quality.fit(feature_rows(good[:100] + bad[:100], [1] * 100 + [0] * 100))
     s = model.scores(pa.array(good[100:] + bad[100:] + [None, ""]))
     assert (s[:50] >= 0.5).mean() > 0.9 and (s[50:100] < 0.5).mean() > 0.9 and s[-1] == s[-2]
-    assert quality.fit([], []).scores(pa.array(["a"]))[0] == 0.5 and quality.fit(["a"], [1]).scores(pa.array(["b"]))[0] > 0.5
+    assert quality.fit(feature_rows([], [])).scores(pa.array(["a"]))[0] == 0.5 and quality.fit(feature_rows(["a"], [1])).scores(pa.array(["b"]))[0] > 0.5
+
+
+def test_quality_against_row_by_row_updates(spark):
+    """The fit, its sample and the scores, against a dictionary of weights that is updated one feature at a time."""
+    from collections import Counter
+    from math import exp, sqrt
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "ef", "gh!", "ij"]) for _ in range(rng.randrange(0, 14))) for _ in range(60)]
+    labels = [int("gh" in t) for t in texts]
+    rows = feature_rows(texts, labels)
+    model = quality.fit(rows, epochs=2)
+    size = 1 << quality.BUCKET_BITS
+    own = []
+    for t in texts:
+        _, data, bounds = next(pieces(pa.array([t])))
+        own.append(Counter(quality.features(data, bounds, quality.BUCKET_BITS)[0].tolist()))
+    value = lambda c: {**{b: 20.0 * n / sum(c.values()) for b, n in c.items()}, size: 1.0}
+    z, n = Counter(), Counter()
+
+    def weight(b):
+        l1 = 0.0 if b == size else 0.02
+        return 0.0 if abs(z[b]) <= l1 else -(z[b] - (l1 if z[b] > 0 else -l1)) / ((1.0 + sqrt(n[b])) / 0.3 + 0.1)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for k in order.permutation(60):
+            x = value(own[k])
+            w = {b: weight(b) for b in x}
+            g = 1 / (1 + exp(-sum(w[b] * v for b, v in x.items()))) - labels[k]
+            for b, v in x.items():
+                z[b] += g * v - (sqrt(n[b] + (g * v) ** 2) - sqrt(n[b])) / 0.3 * w[b]
+                n[b] += (g * v) ** 2
+    want = [1 / (1 + exp(-sum(weight(b) * v for b, v in value(c).items()))) for c in own]
+    assert np.allclose(model.scores(pa.array(texts)), want, atol=1e-5)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, "x")], "doc_id long, text string")
+    told = spark.createDataFrame([(k, v) for k, v in enumerate(labels)] + [(3, labels[3]), (None, 1)], "doc_id long, quality int")
+    from pagescore.llm.common import learnable
+
+    learned = sorted(r[0] for r in docs.where(learnable(F.col("doc_id"), 3, 1)[0]).select("doc_id").distinct().collect())
+    got = quality.sample_features(docs, told, "quality", 3, 1, 1000)
+    alone = feature_rows([texts[k] for k in learned], [labels[k] for k in learned])
+    for a, b in ((got.bucket, alone.bucket), (got.count, alone.count), (got.start, alone.start), (got.label, alone.label)):
+        assert a.tolist() == b.tolist()
+    few = quality.sampled(docs, told, "quality", 3, 1, 1000, most_bytes=40).select(F.sum(F.octet_length("text"))).first()[0]
+    assert few <= 40
 
 
 def test_toxicity_finds_the_one_window_with_a_bad_word():
