@@ -18,6 +18,8 @@ from pagescore.llm.common import scratch, table, written
 
 #: A new archive is begun when one has so many bytes; a reading task scans so many.
 ARCHIVE_BYTES, SPLIT_BYTES = 1 << 30, 8 << 20
+#: Ranges that a task reads one after another, where there are enough of them to keep all cores at work.
+TASK_RANGES = 16
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
 
@@ -53,8 +55,10 @@ def member(data: bytes) -> bytes:
 def first_copies(pages: DataFrame, page: str, payload: Column) -> DataFrame:
     """Add _first: the smallest page of those with an equal payload (null if all are null), where the payload has LEAST_REVISIT bytes."""
     hashed = pages.withColumn("_payload", F.coalesce(payload, F.lit(b""))).withColumn("_sha", F.sha1("_payload"))
-    first = hashed.groupBy("_sha").agg(F.min(page).alias("_first")).withColumnRenamed("_sha", "_s")
-    return hashed.join(first, F.col("_sha") == F.col("_s")).withColumn("_first", F.when(F.length("_payload") >= LEAST_REVISIT, F.col("_first"))).drop("_s", "_sha")
+    # only digests that several pages have are joined, from a table, so that one that very many have is split among tasks
+    several = hashed.groupBy("_sha").agg(F.min(page).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_sha").alias("_s"), F.col("_first"))
+    joined = hashed.join(written(several, "copies"), F.col("_sha") == F.col("_s"), "left")
+    return joined.withColumn("_first", F.when(F.length("_payload") >= LEAST_REVISIT, F.coalesce("_first", page))).drop("_s", "_sha")
 
 
 def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -161,7 +165,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     payload is null for a revisit, whose payload_bytes and payload_digest are those of the payload that it leaves out.
     An empty manifest gives an empty result.
     """
-    total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    total = int(manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1)
+    tasks = max(min(total, 2 * manifest.sparkSession.sparkContext.defaultParallelism), -(-total // TASK_RANGES))
     splits = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +191,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                             rows, held = [], 0
         yield pack(rows)
 
-    return splits.repartition(max(1, int(total))).mapInArrow(run, RECORD)
+    return splits.repartition(tasks).mapInArrow(run, RECORD)
 
 
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
