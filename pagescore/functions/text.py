@@ -65,9 +65,10 @@ def occurrences(text: Column, marker: Column) -> Column:
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
-    """1 - Levenshtein distance / longer length, in code points; 1 for two empty texts."""
+    """1 - Levenshtein distance / longer length, in code points; 1 for two empty texts. The distance, whose cost is the
+    product of the lengths, is worked out only for texts that differ and of which neither is empty."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b).cast("double") / longer)
+    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b).cast("double") / longer)
 
 
 def collapse(text: Column) -> Column:

@@ -60,16 +60,29 @@ def aligned_text(gt: DataFrame, cand: DataFrame, mapping: DataFrame) -> DataFram
     )
 
 
-def retention(aligned: DataFrame, n: int = N) -> DataFrame:
-    """(page_id, region_id, by_ngram, by_chars, retention): the better of containment at the region's own n and edit similarity."""
+def retention(aligned: DataFrame, n: int = N, both: bool = True) -> DataFrame:
+    """(page_id, region_id, by_ngram, by_chars, retention): the better of containment at the region's own n and edit similarity.
+
+    both=False: by_chars is null where by_ngram is 1, as the edit distance then changes nothing.
+    """
     sized = aligned.withColumn("n", backed_off(F.col("words"), n))
     bag = lambda words, name: (
         sized.select("page_id", "region_id", F.explode(ngrams(F.col(words), F.col("n"))).alias("gram")).groupBy("page_id", "region_id", "gram").agg(F.count(F.lit(1)).alias(name))
     )
     kept = bag("words", "g").join(bag("c_words", "k"), ["page_id", "region_id", "gram"], "left")
     contained = kept.groupBy("page_id", "region_id").agg(ratio(F.sum(F.least("g", F.coalesce("k", F.lit(0)))), F.sum("g"), 0.0).alias("by_ngram"))
-    chars = sized.select("page_id", "region_id", edit_similarity(F.col("norm"), F.col("c_norm")).alias("by_chars"))
-    return chars.join(contained, ["page_id", "region_id"]).select("page_id", "region_id", "by_ngram", "by_chars", F.greatest("by_ngram", "by_chars").alias("retention"))
+    chars = edit_similarity(F.col("norm"), F.col("c_norm"))
+    graded = sized.select("page_id", "region_id", "norm", "c_norm").join(contained, ["page_id", "region_id"])
+    graded = graded.withColumn("by_chars", chars if both else F.when(F.col("by_ngram") < 1, chars))
+    return graded.select("page_id", "region_id", "by_ngram", "by_chars", F.greatest("by_ngram", "by_chars").alias("retention"))
+
+
+def worst(rows: DataFrame, value: str, lowest: bool = True, k: int | None = None) -> DataFrame:
+    """(page_id, offenders array<struct<value, region_id>>): a page's regions by a value, worst first, ties by id; the first k
+    if k is given."""
+    entry = F.struct((F.col(value) if lowest else -F.col(value)).alias("v"), F.col("region_id").alias("r"))
+    shown = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct((x["v"] if lowest else -x["v"]).alias("value"), x["r"].alias("region_id")))
+    return rows.groupBy("page_id").agg((F.slice(shown, 1, k) if k else shown).alias("offenders"))
 
 
 def misplacement(aligned: DataFrame, gt: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -108,4 +121,4 @@ def text_fidelity(gt: DataFrame, cand: DataFrame, mapping: DataFrame, n: int = N
     """The whole check over regions with text; cand has one row for each id that counts."""
     gt, cand = worded(gt), worded(cand)
     aligned = aligned_text(gt, cand, mapping)
-    return text_gate(page_containment(gt, cand, n), retention(aligned, n), misplacement(aligned, gt, page_n(gt, n)))
+    return text_gate(page_containment(gt, cand, n), retention(aligned, n, both=False), misplacement(aligned, gt, page_n(gt, n)))

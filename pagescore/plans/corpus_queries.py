@@ -42,21 +42,25 @@ def benchmark_in_documents(spark, sf_dir):
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a rule's guess: a document of under 200 tokens is of low quality."""
     docs = normalize_tokens(spark, sf_dir).select("doc_id", "n_tokens").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return docs.join(_table(spark, sf_dir, "labels"), "doc_id").select("lang", (F.col("quality") == 0).alias("truth"), (F.col("n_tokens") < 200).alias("guess"))
+    return docs.join(_table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", (F.col("quality") == 0).alias("truth"), (F.col("n_tokens") < 200).alias("guess"))
 
 
-def label_prf_by_lang(spark, sf_dir):
+def _prf_by_lang(verdicts: DataFrame) -> DataFrame:
     count = lambda truth, guess: F.count_if((F.col("truth") == truth) & (F.col("guess") == guess))
-    rows = _verdicts(spark, sf_dir).groupBy("lang").agg(count(True, True).alias("tp"), count(False, True).alias("fp"), count(True, False).alias("fn"))
+    rows = verdicts.groupBy("lang").agg(count(True, True).alias("tp"), count(False, True).alias("fp"), count(True, False).alias("fn"))
     p, r, f = metrics.rates(F.col("tp"), F.col("fp"), F.col("fn"))
     return rows.select("lang", "tp", "fp", "fn", p.alias("precision_"), r.alias("recall"), f.alias("f1"), metrics.status_class(f).alias("status"))
 
 
+def label_prf_by_lang(spark, sf_dir):
+    return _prf_by_lang(_verdicts(spark, sf_dir))
+
+
 def baseline_delta(spark, sf_dir):
-    """F1 by language against that of even document ids' languages, en and fr only in the baseline."""
-    now = label_prf_by_lang(spark, sf_dir).select("lang", "f1")
-    old = now.where(F.col("lang").isin("en", "fr")).withColumn("f1", F.lit(0.25))
-    return metrics.baseline_delta(now, old, "lang")
+    """F1 by language over all documents, against a baseline: that over documents of even id, in en and fr only."""
+    verdicts = _verdicts(spark, sf_dir)
+    old = _prf_by_lang(verdicts.where((F.col("doc_id") % 2 == 0) & F.col("lang").isin("en", "fr")))
+    return metrics.baseline_delta(_prf_by_lang(verdicts).select("lang", "f1"), old.select("lang", "f1"), "lang")
 
 
 def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +104,7 @@ def exact_strategy_matches(spark, sf_dir):
 
 
 _EXACT = """
-WITH RECURSIVE t AS (SELECT conv_id AS doc_id, turn, role, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')[1:12], ' ') AS text, conv_id * 31 + turn AS k FROM conversations),
+WITH RECURSIVE t AS (SELECT conv_id AS doc_id, turn, role, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') AS text, conv_id * 31 + turn AS k FROM conversations),
 p AS (SELECT doc_id, turn, role, CASE WHEN k % 4 = 0 THEN translate(text, 'eo', 'xy') ELSE text END AS text, turn * 40 + CASE WHEN k % 5 = 0 THEN 10 ELSE 0 END AS off FROM t WHERE k % 9 <> 0),
 s AS (SELECT t.doc_id, t.role, t.turn AS g, p.turn AS p, 0.3 * greatest(0.0, 1.0 - abs(t.turn * 40 - p.off) / 50.0) + 0.5 * CASE WHEN t.text = p.text THEN 1.0 ELSE 0.0 END + 0.2 AS score
   FROM t JOIN p ON t.doc_id = p.doc_id AND t.role = p.role AND t.turn % 3 = p.turn % 3),
@@ -158,7 +162,7 @@ def log_audit(spark, sf_dir):
 
 
 _LOG = """
-WITH e AS (SELECT event_id AS line, user_id, event_type FROM events WHERE event_id < 4000),
+WITH e AS (SELECT event_id AS line, user_id, event_type FROM events),
 d AS (SELECT line, user_id, line % 3 AS m, line % 5 AS f, (line + 1) % 3 AS dm, (line + 1) % 5 AS df FROM e WHERE event_type = 'signup'),
 first AS (SELECT user_id, min(line) AS l FROM d GROUP BY user_id),
 gap AS (SELECT line, greatest(m - dm, 0) + greatest(f - df, 0) AS g FROM d)
@@ -183,7 +187,8 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat pages as JSON, with faults by the page's number: ids repeated, missing or mistyped, odd orders and entries."""
+    """Flat pages as JSON, with faults by the page's number: ids repeated, missing or mistyped, odd orders and entries; every
+    20th page is a chain of regions that goes deeper than the cap."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn")
     c, t = F.col("conv_id"), F.col("turn")
     own = F.when((c % 10 == 1) & (t == 1), F.lit('"r0"')).when((c % 10 == 2) & (t == 0), F.lit("7")).otherwise(F.concat(F.lit('"r'), t.cast("string"), F.lit('"')))
@@ -196,6 +201,9 @@ def _flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(c % 10 == 9, F.lit('["r0",5]')).otherwise(F.concat(F.lit("["), listed, F.lit("]")))
     )
     text = F.concat(F.lit('{"regions":['), F.array_join(F.transform("r", lambda x: x["e"]), ","), F.lit('],"reading_order":'), order, F.lit("}"))
+    levels = regions.DEPTH_CAP + 2
+    chain = "".join(f'{{"id":"d{k}","children":[' for k in range(levels - 1)) + f'{{"id":"d{levels - 1}"}}' + "]}" * (levels - 1)
+    text = F.when(c % 20 == 10, F.lit(f'{{"regions":[{chain}]}}')).otherwise(text)
     return page.select(c.cast("string").alias("page_id"), F.parse_json(text).alias("doc"))
 
 
@@ -204,8 +212,23 @@ def contract_violations(spark, sf_dir):
     return contract.violations(_flawed(spark, sf_dir)).groupBy(F.col("page_id").cast("long").alias("page_id"), "kind").agg(F.countDistinct("offender").alias("n"))
 
 
-_CONTRACT = """
-WITH t AS (SELECT conv_id AS p, turn, conv_id % 10 AS z FROM conversations),
+def contract_offenders(spark, sf_dir):
+    """The offenders themselves, sorted, of the flawed pages' duplicate, unknown and omitted ids."""
+    rows = contract.sorted_offenders(contract.violations(_flawed(spark, sf_dir))).where(F.col("kind").isin("duplicate_region_ids", "duplicate_order_entries", "order_refs_no_region", "order_omits_regions"))
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), "kind", "n", F.array_join("offenders", ",").alias("offenders"))
+
+
+def order_signal(spark, sf_dir):
+    """Of each flawed page: the signal that orders it, the number of ordered regions, and their ids in that order."""
+    pages = _flawed(spark, sf_dir)
+    order = regions.reading_order(pages, regions.flatten(pages))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "region_id"))), lambda x: x["region_id"])
+    return order.groupBy(F.col("page_id").cast("long").alias("page_id"), "signal").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(ids, ",")).alias("ids_md5"))
+
+
+_FLAWED = """
+WITH t AS (SELECT conv_id AS p, turn, conv_id % 10 AS z FROM conversations WHERE conv_id % 20 <> 10),
+deep AS (SELECT DISTINCT conv_id AS p FROM conversations WHERE conv_id % 20 = 10),
 g AS (SELECT p, z, turn, CASE WHEN z = 5 AND turn = 0 THEN NULL WHEN z = 2 AND turn = 0 THEN '' WHEN z = 1 AND turn = 1 THEN 'r0' ELSE 'r' || turn END AS id,
   CASE WHEN z = 4 THEN -turn WHEN z = 3 THEN NULL ELSE turn END AS idx FROM t),
 ids AS (SELECT p, z, id, count(*) AS n, arg_max(idx, turn) AS idx FROM g WHERE id <> '' GROUP BY ALL),
@@ -216,6 +239,8 @@ pages AS (SELECT DISTINCT p, z FROM t),
 broken AS (SELECT p, z FROM pages WHERE z NOT IN (6) AND (
   (SELECT count(*) FROM listed l WHERE l.p = pages.p) <> (SELECT count(*) FROM g WHERE g.p = pages.p AND id <> '') OR EXISTS (SELECT 1 FROM once o WHERE o.p = pages.p AND (o.n > 1 OR NOT EXISTS (SELECT 1 FROM ids i WHERE i.p = o.p AND i.id = o.id))))),
 bth AS (SELECT o.p, o.id, row_number() OVER (PARTITION BY o.p ORDER BY i.idx, o.id) AS a, row_number() OVER (PARTITION BY o.p ORDER BY o.pos) AS b FROM once o JOIN ids i ON i.p = o.p AND i.id = o.id WHERE i.idx IS NOT NULL)
+"""
+_CONTRACT = _FLAWED + """
 SELECT p AS page_id, 'non_object_regions' AS kind, count(*) AS n FROM g WHERE id IS NULL GROUP BY p
 UNION ALL SELECT p, 'regions_without_id', count(*) FROM g WHERE id = '' GROUP BY p
 UNION ALL SELECT p, 'duplicate_region_ids', count(*) FROM ids WHERE n > 1 GROUP BY p
@@ -227,6 +252,18 @@ UNION ALL SELECT o.p, 'order_refs_no_region', count(*) FROM once o WHERE NOT EXI
 UNION ALL SELECT i.p, 'order_omits_regions', count(*) FROM ids i WHERE i.z <> 6 AND NOT EXISTS (SELECT 1 FROM once o WHERE i.p = o.p AND i.id = o.id) GROUP BY i.p
 UNION ALL SELECT p, 'order_breaks_block_structure', 1 FROM broken
 UNION ALL SELECT p, 'order_contradicts_indices', count(*) FROM bth WHERE a <> b GROUP BY p
+UNION ALL SELECT p, 'regions_below_depth_cap', 1 FROM deep
+"""
+_OFFENDERS = _FLAWED + """, x AS (SELECT p, 'duplicate_region_ids' AS kind, id FROM ids WHERE n > 1 UNION ALL SELECT p, 'duplicate_order_entries', id FROM once WHERE n > 1
+  UNION ALL SELECT o.p, 'order_refs_no_region', o.id FROM once o WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.p = o.p AND i.id = o.id)
+  UNION ALL SELECT i.p, 'order_omits_regions', i.id FROM ids i WHERE i.z <> 6 AND NOT EXISTS (SELECT 1 FROM once o WHERE i.p = o.p AND i.id = o.id))
+SELECT p AS page_id, kind, CAST(count(*) AS INTEGER) AS n, string_agg(id, ',' ORDER BY id) AS offenders FROM x GROUP BY p, kind
+"""
+# the fixture's roots all have an integer index, but for z = 3, whose declared order is whole; so order is by list or by turn
+_SIGNAL = _FLAWED + """, f AS (SELECT p, z, id, min(turn) AS k FROM g WHERE id <> '' GROUP BY p, z, id),
+s AS (SELECT *, CASE WHEN z <> 6 AND p NOT IN (SELECT p FROM broken) THEN 'declared' ELSE 'indices' END AS signal FROM f)
+SELECT p AS page_id, signal, count(*) AS n, md5(string_agg(id, ',' ORDER BY k)) AS ids_md5 FROM s GROUP BY p, signal
+UNION ALL SELECT p, 'array', 33, md5((SELECT string_agg('d' || i, ',' ORDER BY i) FROM range(33) r(i))) FROM deep
 """
 
 
@@ -246,10 +283,15 @@ def event_windows_batch(spark, sf_dir):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("value", 6).alias("value"))
 
 
-_PRF = f"""WITH v AS (SELECT lang, quality = 0 AS truth, len({_WORDS}) < 200 AS guess FROM documents JOIN labels USING (doc_id)),
-        c AS (SELECT lang, count(*) FILTER (truth AND guess) AS tp, count(*) FILTER (NOT truth AND guess) AS fp, count(*) FILTER (truth AND NOT guess) AS fn FROM v GROUP BY lang),
-        r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision_, CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall FROM c),
-        f AS (SELECT *, CASE WHEN precision_ + recall = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * precision_ * recall / (precision_ + recall) END AS f1 FROM r)
+def _prf_sql(where: str, name: str) -> str:
+    """CTEs of rates by language over the verdicts that hold `where`; the last is `name`."""
+    return f"""{name}c AS (SELECT lang, count(*) FILTER (truth AND guess) AS tp, count(*) FILTER (NOT truth AND guess) AS fp, count(*) FILTER (truth AND NOT guess) AS fn FROM v WHERE {where} GROUP BY lang),
+        {name}r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision_, CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall FROM {name}c),
+        {name} AS (SELECT *, CASE WHEN precision_ + recall = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * precision_ * recall / (precision_ + recall) END AS f1 FROM {name}r)"""
+
+
+_PRF = f"""WITH v AS (SELECT doc_id, lang, quality = 0 AS truth, len({_WORDS}) < 200 AS guess FROM documents JOIN labels USING (doc_id)),
+        {_prf_sql("true", "f")}
 """
 
 _ORACLES = {
@@ -260,7 +302,7 @@ _ORACLES = {
     label_prf_by_lang: _PRF + "SELECT *, CASE WHEN f1 >= 0.9 THEN 'good' WHEN f1 >= 0.7 THEN 'ok' ELSE 'bad' END AS status FROM f",
     # of boxes that overlap several neighbours the one at the least distance is every box's own
     alignment_contended: "SELECT CAST(n_nationkey AS VARCHAR) AS page_id, CAST(20 AS BIGINT) AS n, round(20 * (0.95::DOUBLE / 1.05::DOUBLE), 9) AS overlap FROM nation",
-    baseline_delta: _PRF + """, b AS (SELECT lang, f1, CASE WHEN lang IN ('en', 'fr') THEN 0.25::DOUBLE END AS baseline_f1 FROM f)
+    baseline_delta: f"""{_PRF}, {_prf_sql("doc_id % 2 = 0 AND lang IN ('en', 'fr')", "old")}, b AS (SELECT f.lang, f.f1, old.f1 AS baseline_f1 FROM f LEFT JOIN old ON f.lang = old.lang)
         SELECT lang, f1, baseline_f1, f1 - baseline_f1 AS delta, CASE WHEN f1 > baseline_f1 THEN '+' ELSE '' END || printf('%.3f', f1 - baseline_f1) AS shown FROM b""",
     exact_strategy_matches: _EXACT,
     log_ref_integrity: "SELECT p.user_id AS ref, p.event_id AS line FROM events p WHERE p.event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'signup' AND d.user_id = p.user_id AND d.event_id < p.event_id)",
@@ -281,6 +323,8 @@ _ORACLES = {
         SELECT conv_id AS page_id, 'r' || turn AS region_id, coalesce(lag('r' || turn) OVER (PARTITION BY conv_id, run ORDER BY turn), '') AS parent_id, CAST(depth AS INTEGER) AS depth, root || repeat('.0', depth) AS path,
           CASE WHEN role = 'user' THEN 'body' ELSE 'footnote' END AS block_type FROM t""",
     contract_violations: _CONTRACT,
+    contract_offenders: _OFFENDERS,
+    order_signal: _SIGNAL,
     event_windows_batch: "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL",
 }
 

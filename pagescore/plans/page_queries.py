@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescore.functions.geometry import ratio
-from pagescore.operators import fidelity, metrics, mutate, order, scorecard, structure
+from pagescore.operators import fidelity, metrics, mutate, order, regions, scorecard, structure
 from pagescore.operators.alignment import align
 from pagescore.plans.conversation_pages import SQL, cand_regions, gt_regions
 
@@ -60,6 +60,24 @@ def region_misplacement(spark, sf_dir):
     return fidelity.misplacement(pages.aligned(), gt, fidelity.page_n(gt))
 
 
+def _listed(rows, name):
+    return rows.select("page_id", F.array_join(F.transform("offenders", lambda x: F.concat(x["region_id"], F.lit(":"), F.format_string("%.6f", x["value"]))), ",").alias(name))
+
+
+def worst_retentions(spark, sf_dir):
+    """Each page's regions whose retention fails the gate, worst first."""
+    rows = fidelity.retention(Pages(spark, sf_dir).aligned(), both=False).where(F.col("retention") < fidelity.MIN_RETENTION)
+    return _listed(fidelity.worst(rows, "retention"), "regions")
+
+
+def worst_misplacements(spark, sf_dir):
+    """Each page's misplaced regions, most foreign first."""
+    pages = Pages(spark, sf_dir)
+    gt, _ = pages.worded()
+    rows = fidelity.misplacement(pages.aligned(), gt, fidelity.page_n(gt)).where(F.col("foreign_ratio") > fidelity.MAX_FOREIGN)
+    return _listed(fidelity.worst(rows, "foreign_ratio", lowest=False), "regions")
+
+
 def text_gate(spark, sf_dir):
     pages = Pages(spark, sf_dir)
     out = fidelity.text_fidelity(pages.gt, pages.cand, pages.mapping)
@@ -172,9 +190,10 @@ def mutate_reverse_indices(spark, sf_dir):
 
 def full_text(spark, sf_dir):
     """Texts of a candidate page in its reading order, a line each."""
-    cand = cand_regions(spark, sf_dir).where("text <> ''").join(order.order_from_index(cand_regions(spark, sf_dir)), ["page_id", "region_id"])
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
-    return cand.groupBy("page_id").agg(F.md5(F.array_join(parts, "\n")).alias("text_md5"), F.count(F.lit(1)).alias("n_regions"))
+    cand = cand_regions(spark, sf_dir).withColumn("path", F.array("turn"))
+    whole = regions.full_text(cand, order.order_from_index(cand))
+    count = cand.where("text <> ''").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_regions"))
+    return whole.join(count, "page_id").select("page_id", F.md5("full_text").alias("text_md5"), "n_regions")
 
 
 _ORACLES = {
@@ -183,6 +202,8 @@ _ORACLES = {
     region_alignment: "SELECT page_id, gt_id, cand_id, CAST(pass AS INTEGER) AS pass FROM mp",
     region_retention: "SELECT page_id, region_id, by_ngram, by_chars, retention FROM rt",
     region_misplacement: "SELECT page_id, region_id, own_matched, foreign_, foreign_ratio FROM mr",
+    worst_retentions: "SELECT page_id, string_agg(region_id || ':' || printf('%.6f', retention), ',' ORDER BY retention, region_id) AS regions FROM rt WHERE retention < 0.95 GROUP BY page_id",
+    worst_misplacements: "SELECT page_id, string_agg(region_id || ':' || printf('%.6f', foreign_ratio), ',' ORDER BY foreign_ratio DESC, region_id) AS regions FROM mr WHERE foreign_ratio > 0.5 GROUP BY page_id",
     text_gate: "SELECT page_id, containment, precision_, regions_scored, gross, minor, minor_allowed, misplaced, worst_retention, containment >= 0.95 AND gross = 0 AND minor <= minor_allowed AND misplaced = 0 AS passed FROM tg",
     reading_order_seq: "SELECT page_id, region_id, rank FROM co",
     kendall_tau: "SELECT page_id, concordant, discordant, tau FROM kd",
