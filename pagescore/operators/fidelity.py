@@ -13,8 +13,8 @@ N, MIN_CONTAINMENT, MIN_RETENTION, GROSS_RETENTION, MINOR_RATE, MAX_FOREIGN, MAX
 
 
 def worded(regions: DataFrame) -> DataFrame:
-    """Add norm and words to regions (page_id, region_id, text)."""
-    return regions.withColumn("norm", normalize(F.coalesce("text", F.lit("")))).withColumn("words", tokens(F.col("norm")))
+    """Add norm and words to regions (page_id, region_id, text), if they are not there."""
+    return regions if "words" in regions.columns else regions.withColumn("norm", normalize(F.coalesce("text", F.lit("")))).withColumn("words", tokens(F.col("norm")))
 
 
 def page_n(gt: DataFrame, n: int = N) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagescore.operators.regions import kind
+
 
 def corrupt_letters(regions: DataFrame, rate: float, replacement: str = "x") -> DataFrame:
     """Replace every round(1 / rate)-th letter of body regions, counted along a page's regions in order of region_id.
@@ -85,3 +89,63 @@ def reverse_indices(regions: DataFrame, index: str = "reading_order_index") -> D
     """Reverse the indices of a page's regions, those without one left out."""
     page = Window.partitionBy("page_id")
     return regions.withColumn(index, F.min(index).over(page) + F.max(index).over(page) - F.col(index))
+
+
+# --- whole documents: pages (page_id, doc variant) with members of doc replaced
+
+
+def _with(value: Column, **members: Column) -> Column:
+    """A variant object with these members, variants, in place of its own of those names."""
+    own = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, v: ~k.isin(*members))
+    added = F.map_from_arrays(F.array(*map(F.lit, members)), F.array(*members.values()))
+    return F.parse_json(F.to_json(F.map_concat(own, added)))
+
+
+def _regions() -> Column:
+    return F.coalesce(F.try_variant_get("doc", "$.regions", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _listed(entries: Column) -> Column:
+    return F.parse_json(F.to_json(entries))
+
+
+def _changed(pages: DataFrame, **members: Column) -> DataFrame:
+    return pages.withColumn("doc", _with(F.col("doc"), **members))
+
+
+def reverse_root_indices(pages: DataFrame, order: Column | None = None) -> DataFrame:
+    """Number the root regions backwards from their places; order: a variant that becomes the declared order as well."""
+    entries = _regions()
+    last = F.size(entries) - 1
+    numbered = F.transform(entries, lambda r, k: F.when(kind(r) == "OBJECT", _with(r, reading_order_index=F.parse_json((last - k).cast("string")))).otherwise(r))
+    return _changed(pages, regions=_listed(numbered), **({} if order is None else {"reading_order": order}))
+
+
+def truncate_reading_order(pages: DataFrame, keep: int = 1) -> DataFrame:
+    """Declare only the first `keep` ids of the declared order, and number the roots backwards."""
+    declared = F.coalesce(F.try_variant_get("doc", "$.reading_order", "array<variant>"), F.array().cast("array<variant>"))
+    return reverse_root_indices(pages, _listed(F.slice(declared, 1, keep)))
+
+
+def phantom_reading_order(pages: DataFrame, ids: list[str]) -> DataFrame:
+    """Declare an order of ids that need not be there, and number the roots backwards."""
+    return reverse_root_indices(pages, F.parse_json(F.lit(json.dumps(ids))))
+
+
+def mistype_reading_order(pages: DataFrame, value: object = 7) -> DataFrame:
+    """Put any JSON value in place of the declared order."""
+    return _changed(pages, reading_order=F.parse_json(F.lit(json.dumps(value))))
+
+
+def append_region(pages: DataFrame, entry: object) -> DataFrame:
+    """Append any JSON value to the regions: null or a scalar, which is no region, or an object without an id."""
+    return _changed(pages, regions=_listed(F.concat(_regions(), F.array(F.parse_json(F.lit(json.dumps(entry)))))))
+
+
+def nest_regions(pages: DataFrame, levels: int) -> DataFrame:
+    """Hang a chain of `levels` regions below the first one, each the only child of the one above."""
+    chain: list[dict] = []
+    for k in range(levels, 0, -1):
+        chain = [{"id": f"below{k}", "label": "text_block", "text": f"words {k} levels down", **({"children": chain} if chain else {})}]
+    hung = F.transform(_regions(), lambda r, k: F.when((k == 0) & (kind(r) == "OBJECT"), _with(r, children=F.parse_json(F.lit(json.dumps(chain))))).otherwise(r))
+    return _changed(pages, regions=_listed(hung))

@@ -6,7 +6,7 @@ shifts regions by rules on conv_id * 31 + turn.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescore.operators.regions import block_type, is_note
@@ -40,6 +40,27 @@ def cand_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(changed)
 
 
+def page_documents(rows: DataFrame, declared: Column) -> DataFrame:
+    """(page_id, doc variant): regions in order of their turn; declared, from the ids in that order: the page's reading
+    order, null for none."""
+    box = F.struct("x0", "y0", "x1", "y1").alias("bbox")
+    entry = F.struct(F.col("region_id").alias("id"), "label", "text", "text_anchors", "reading_order_index", box)
+    page = rows.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("entry")))), lambda x: x["entry"]).alias("regions"))
+    page = page.withColumn("ids", F.transform("regions", lambda r: r["id"])).withColumn("reading_order", declared)
+    return page.select("page_id", F.parse_json(F.to_json(F.struct("regions", "reading_order"))).alias("doc"))
+
+
+def gt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_documents(gt_regions(spark, sf_dir), F.lit(None).cast("array<string>"))
+
+
+def cand_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that declare an order: every fifth page, whose indices are reversed, all regions; of the others every
+    seventh only the first."""
+    declared = F.when(F.col("page_id") % 5 == 0, F.col("ids")).when(F.col("page_id") % 7 == 0, F.slice("ids", 1, 1))
+    return page_documents(cand_regions(spark, sf_dir), declared)
+
+
 #: The same rows for DuckDB, with norm and words.
 SQL = r"""
 turns AS (SELECT conv_id, turn, role, text FROM conversations),
@@ -86,6 +107,8 @@ mv AS (SELECT page_id, count(*) AS misplaced FROM mr WHERE foreign_ratio > 0.5 G
 tg AS (SELECT pc.*, CASE WHEN gt_ngrams = 0 THEN 1.0::DOUBLE ELSE CAST(contained AS DOUBLE) / CAST(gt_ngrams AS DOUBLE) END AS containment, CASE WHEN cand_ngrams = 0 THEN 1.0::DOUBLE ELSE CAST(contained AS DOUBLE) / CAST(cand_ngrams AS DOUBLE) END AS precision_,
   cand_ngrams - contained AS excess, CAST(coalesce(regions_scored, 0) AS BIGINT) AS regions_scored, CAST(coalesce(gross, 0) AS BIGINT) AS gross, CAST(coalesce(minor, 0) AS BIGINT) AS minor, CAST(coalesce(misplaced, 0) AS BIGINT) AS misplaced, worst_retention,
   CAST(CASE WHEN coalesce(regions_scored, 0) > 0 THEN greatest(1, ceil(0.05::DOUBLE * regions_scored)) ELSE 0 END AS BIGINT) AS minor_allowed FROM pc LEFT JOIN gd USING (page_id) LEFT JOIN mv USING (page_id)),
+ct AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 AND page_id % 7 = 0 AND m > 1 THEN m - 1 ELSE 0 END AS omitted, CASE WHEN page_id % 5 = 0 THEN m - m % 2 ELSE 0 END AS against
+  FROM (SELECT g.page_id, count(c.turn) AS m FROM (SELECT DISTINCT page_id FROM gn) g LEFT JOIN cn c ON c.page_id = g.page_id GROUP BY g.page_id)),
 go AS (SELECT page_id, region_id, row_number() OVER (PARTITION BY page_id ORDER BY idx, region_id) - 1 AS rank FROM gn),
 co AS (SELECT page_id, region_id, row_number() OVER (PARTITION BY page_id ORDER BY idx, region_id) - 1 AS rank FROM cn),
 ps AS (SELECT go.page_id, go.region_id AS gt_id, go.rank AS pos, co.rank AS cand_pos FROM go JOIN mp ON mp.page_id = go.page_id AND mp.gt_id = go.region_id LEFT JOIN co ON co.page_id = mp.page_id AND co.region_id = mp.cand_id),

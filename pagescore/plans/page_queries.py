@@ -8,19 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescore.functions.geometry import ratio
-from pagescore.operators import fidelity, metrics, mutate, order, regions, scorecard, structure
+from pagescore.operators import contract, fidelity, metrics, mutate, order, regions, scorecard, structure
 from pagescore.operators.alignment import align
-from pagescore.plans.conversation_pages import SQL, cand_regions, gt_regions
+from pagescore.plans.conversation_pages import SQL, cand_documents, cand_regions, gt_documents, gt_regions
+from pagescore.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Pages:
-    """Both sides' regions and their alignment."""
+    """Both sides' regions and their alignment. once: they are written with their words, for checks that use them again
+    and again."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False) -> None:
         self.gt, self.cand = gt_regions(spark, sf_dir), cand_regions(spark, sf_dir)
+        if once:
+            self.gt, self.cand = stored(fidelity.worded(self.gt), "gt"), stored(fidelity.worded(self.cand), "cand")
         self.mapping = align(self.gt, self.cand)
+        if once:
+            self.mapping = stored(self.mapping, "mapping")
 
     def worded(self) -> tuple[DataFrame, DataFrame]:
         return fidelity.worded(self.gt), fidelity.worded(self.cand)
@@ -79,7 +85,7 @@ def worst_misplacements(spark, sf_dir):
 
 
 def text_gate(spark, sf_dir):
-    pages = Pages(spark, sf_dir)
+    pages = Pages(spark, sf_dir, once=True)
     out = fidelity.text_fidelity(pages.gt, pages.cand, pages.mapping)
     return out.select("page_id", "containment", "precision_", "regions_scored", "gross", "minor", "minor_allowed", "misplaced", "worst_retention", "passed")
 
@@ -131,17 +137,24 @@ def anchor_preservation(spark, sf_dir):
     return structure.spans(Pages(spark, sf_dir).paired())
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suite's verdicts on every page; the contract of flat regions is that ids are distinct."""
-    pages = Pages(spark, sf_dir)
+def both_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a ground-truth page: the 24 counts of contract violations of both documents, and passed."""
+    side = lambda docs, name: contract.contract_check(docs, contract.violations(docs), name).withColumnRenamed("passed", f"{name}_passed")
+    row = side(gt_documents(spark, sf_dir), "gt").join(side(cand_documents(spark, sf_dir), "candidate"), "page_id", "left")
+    counts = [F.coalesce(f"{name}_{k}", F.lit(0)).cast("long").alias(f"{name}_{k}") for name in ("gt", "candidate") for k in contract.KINDS]
+    return row.select("page_id", *counts, (F.col("gt_passed") & F.coalesce("candidate_passed", F.lit(True))).alias("passed"))
+
 
-    def contract() -> DataFrame:
-        dup = lambda df: df.groupBy("page_id").agg((F.count("region_id") - F.countDistinct("region_id")).alias("d"))
-        both = dup(pages.gt).withColumnRenamed("d", "gt_duplicates").join(dup(pages.cand).withColumnRenamed("d", "candidate_duplicates"), "page_id", "left").fillna(0)
-        return both.withColumn("passed", F.expr("gt_duplicates = 0 and candidate_duplicates = 0"))
+def scorecard_contract(spark, sf_dir):
+    return both_contracts(spark, sf_dir)
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suite's verdicts on every page."""
+    pages = Pages(spark, sf_dir, once=True)
 
     runs = (
-        contract, lambda: fidelity.text_fidelity(pages.gt, pages.cand, pages.mapping), lambda: order.order_check(pages.placed()),
+        lambda: both_contracts(spark, sf_dir), lambda: fidelity.text_fidelity(pages.gt, pages.cand, pages.mapping), lambda: order.order_check(pages.placed()),
         lambda: structure.anchor_check(pages.gt, pages.cand, pages.mapping), lambda: structure.type_check(pages.types()),
     )
     suite = [scorecard.Checker(name, run) for name, run in zip(scorecard.SUITE, runs, strict=True)]
@@ -237,13 +250,18 @@ _ORACLES = {
     full_text: "SELECT cn.page_id, md5(string_agg(text, chr(10) ORDER BY rank)) AS text_md5, count(*) AS n_regions FROM cn JOIN co USING (page_id, region_id) WHERE text <> '' GROUP BY cn.page_id",
 }
 
-_PASSED = """, v AS (SELECT page_id, 0 AS ordinal, true AS passed FROM pn
+_COUNTS = ", ".join(
+    f"CAST({ {'candidate_order_omits_regions': 'omitted', 'candidate_order_breaks_block_structure': 'sign(omitted)', 'candidate_order_contradicts_indices': 'against'}.get(name, 0)} AS BIGINT) AS {name}"
+    for name in (f"{side}_{k}" for side in ("gt", "candidate") for k in contract.KINDS)
+)
+_PASSED = """, v AS (SELECT page_id, 0 AS ordinal, omitted + against = 0 AS passed FROM ct
   UNION ALL SELECT page_id, 1, containment >= 0.95 AND gross = 0 AND minor <= minor_allowed AND misplaced = 0 FROM tg
   UNION ALL SELECT page_id, 2, count(*) = count(cand_pos) AND any_value(tau) >= 1 FROM ps JOIN kd USING (page_id) GROUP BY page_id
   UNION ALL SELECT np.page_id, 3, missing_notes = 0 AND mistyped_notes = 0 AND d = 0 FROM np JOIN (SELECT page_id, count(*) FILTER (state IN ('missing', 'under', 'duplicated')) AS d FROM st GROUP BY page_id) USING (page_id)
   UNION ALL SELECT page_id, 4, sum(fp) + sum(fn) = 0 FROM tc GROUP BY page_id)
 """
 _ORACLES |= {
+    scorecard_contract: f"SELECT page_id, {_COUNTS}, omitted + against = 0 AS passed FROM ct",
     scorecard_results: _PASSED + "SELECT CAST(page_id AS VARCHAR) AS page_id, ['structural-contract', 'text-fidelity', 'reading-order', 'footnote-anchor', 'structure-typing'][ordinal + 1] AS checker, CAST(ordinal AS INTEGER) AS ordinal, 'hard' AS severity, passed, false AS crashed FROM v",
     scorecard_summary: _PASSED + "SELECT CAST(page_id AS VARCHAR) AS page_id, count(*) AS total, count(*) FILTER (passed) AS passed_checks, count(*) FILTER (NOT passed) AS hard_failures, CAST(0 AS BIGINT) AS soft_failures, CAST(0 AS BIGINT) AS crashed_checks, bool_and(passed) AS passed, CAST(NOT bool_and(passed) AS INTEGER) AS exit_code FROM v GROUP BY page_id",
 }

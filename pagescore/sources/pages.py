@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,12 +22,23 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(line long, raw, event variant) of a JSON-lines file, in file order; event is null for a line that is no JSON.
+    """(line long, raw, event variant) of JSON-lines files, numbered within each file; event is null for a line that is no JSON.
 
-    Blank lines are passed over, but counted.
+    Files are read in splits. A split's lines are numbered by the task that reads it, and its first line by the counts of
+    the splits before it, a row for each split. Blank lines are passed over, but counted.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "raw"))
-    return whole.where(F.trim("raw") != "").select((F.col("line") + 1).cast("long").alias("line"), "raw", F.try_parse_json("raw").alias("event"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("at")
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", at, F.monotonically_increasing_id().alias("n"))
+    splits = rows.groupBy("at").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("lines"))
+    earlier = Window.partitionBy("at.file").orderBy("at.block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    numbered = rows.join(splits, "at").select((F.col("before") + F.col("n") - F.col("first") + 1).alias("line"), F.col("value").alias("raw"))
+    return numbered.where(F.trim("raw") != "").select("line", "raw", F.try_parse_json("raw").alias("event"))
+
+
+def primary_page(pages: Column) -> Column:
+    """An element's first page, -1 if it has none."""
+    return F.coalesce(F.try_element_at(pages, F.lit(1)), F.lit(-1))
 
 
 ELEMENT = (
@@ -45,8 +56,8 @@ def element_row(kind: str, item: dict) -> dict:
     row = {"element_type": kind, "element_id": own["id"] or "unknown", "pages": [page], "text": "", "marker_text": None, "marker_page": None, "char_offset": own["char_offset"], "char_length": None, "tags": own["tags"] or []}
     if kind == "footnote":
         marker, pages = item.get("marker") or {}, item.get("pages") or []
-        mark = marker.get("text") or ""
-        row |= {"pages": pages, "text": " ".join(part.get("text", "") for part in item.get("content") or []).strip(), "marker_text": mark, "marker_page": marker.get("page"), "char_offset": marker.get("char_offset"), "char_length": len(mark)}
+        mark = marker.get("text")
+        row |= {"pages": pages, "text": " ".join(part.get("text", "") for part in item.get("content") or []).strip(), "marker_text": mark, "marker_page": marker.get("page"), "char_offset": marker.get("char_offset"), "char_length": len(mark or "")}
         more = {"note_type": item.get("note_type", "author"), "is_multi_page": len(pages) > 1, "region_id": marker.get("region_id")}
     elif kind == "citation":
         raw, parsed = item.get("raw") or "", item.get("parsed") or {}
@@ -54,7 +65,8 @@ def element_row(kind: str, item: dict) -> dict:
         more = {"style": parsed.get("style", "unknown"), "authors": parsed.get("authors") or [], "year": parsed.get("year"), "pages": parsed.get("pages"), "region_id": own["region_id"], "bib_entry_id": item.get("bib_entry_id")}
     elif kind == "marginal_ref":
         markers = item.get("markers") or []
-        row |= {"pages": [m.get("page", -1) for m in markers] or [-1], "text": " ".join(m.get("text", "") for m in markers), "char_offset": None}
+        texts, on = [m.get("text") or "" for m in markers], [m["page"] for m in markers if m.get("page") is not None]
+        row |= {"pages": on or [-1], "text": " ".join(texts), "marker_text": next(iter(texts), None), "marker_page": next(iter(on), None), "char_offset": None}
         more = {"system": item.get("system", "custom")}
     elif kind == "page_number":
         row |= {"element_id": f"pn_{page}", "text": str(item.get("displayed", "")), "char_offset": None, "tags": []}
@@ -83,15 +95,36 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, f"source string, position int, {ELEMENT}")
 
 
+def _on_page(rows: DataFrame, page_spans: DataFrame) -> DataFrame:
+    """Rows (doc_id, offset, ...) with the page whose span, start <= offset < end, holds the offset, else null."""
+    spans = page_spans.select(F.col("doc_id").alias("_doc"), "page", "start", "end")
+    return rows.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("end")), "left").drop("_doc", "start", "end")
+
+
+def _pages_of() -> Column:
+    return F.when(F.col("page").isNotNull(), F.array("page")).otherwise(F.array().cast("array<int>"))
+
+
 def from_notes(notes: DataFrame, references: DataFrame, page_spans: DataFrame) -> DataFrame:
-    """Footnote elements of a pipeline document: doc_id, element_id, text, pages, char_offset.
+    """Footnote elements of a pipeline document: doc_id, element_id, text, pages, marker_text, marker_page, char_offset,
+    char_length, attributes (JSON values).
 
-    notes (doc_id, position, label, text): the last of a label holds. references (doc_id, label, offset). page_spans
-    (doc_id, page, start, end): a reference is on the page with start <= offset < end, or on -1.
+    notes (doc_id, position, label, text, note_type): the last of a label holds. references (doc_id, label, offset).
+    page_spans (doc_id, page, start, end): a reference outside of all has no page, and marker_page -1.
     """
-    last = notes.groupBy("doc_id", "label").agg(F.max_by("text", "position").alias("text"))
-    on = references.join(page_spans, ["doc_id"], "left").where("start is null or (offset >= start and offset < end)")
-    paged = references.join(on.select("doc_id", "label", "offset", "page"), ["doc_id", "label", "offset"], "left")
-    return paged.join(last, ["doc_id", "label"], "left").select(
-        "doc_id", F.col("label").alias("element_id"), F.coalesce("text", F.lit("")).alias("text"), F.array(F.coalesce("page", F.lit(-1))).alias("pages"), F.col("offset").alias("char_offset")
+    last = notes.groupBy("doc_id", "label").agg(F.max_by(F.struct("text", "note_type"), "position").alias("note"))
+    return _on_page(references, page_spans).join(last, ["doc_id", "label"], "left").select(
+        "doc_id", F.concat(F.lit("fn_"), "label").alias("element_id"), F.coalesce("note.text", F.lit("")).alias("text"), _pages_of().alias("pages"),
+        F.col("label").alias("marker_text"), F.coalesce("page", F.lit(-1)).alias("marker_page"), F.col("offset").alias("char_offset"), F.length("label").alias("char_length"),
+        F.create_map(F.lit("note_type"), F.concat(F.lit('"'), F.coalesce("note.note_type", F.lit("author")), F.lit('"')), F.lit("is_multi_page"), F.lit("false")).alias("attributes"),
+    )
+
+
+def from_citations(citations: DataFrame, page_spans: DataFrame) -> DataFrame:
+    """Citation elements of a pipeline document: doc_id, element_id, text, pages, char_offset, char_length, attributes.
+
+    citations (doc_id, offset, raw, parsed): parsed is a map of JSON values, null if the citation wasn't parsed."""
+    return _on_page(citations, page_spans).select(
+        "doc_id", F.concat(F.lit("cite_"), F.col("offset").cast("string")).alias("element_id"), F.col("raw").alias("text"), _pages_of().alias("pages"),
+        F.col("offset").alias("char_offset"), F.length("raw").alias("char_length"), F.coalesce("parsed", F.create_map().cast("map<string,string>")).alias("attributes"),
     )

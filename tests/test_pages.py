@@ -141,6 +141,31 @@ def test_contract_kinds(spark):
     assert n("against") == {"order_contradicts_indices": 2}
 
 
+def test_changes_of_whole_documents(spark):
+    """Each change breaks the rules that it should, and leaves other members as they are."""
+    deep = regions.DEPTH_CAP + 3
+    page = frame(spark, {"p": PAGE | {"lang": "en"}})
+    cases = {
+        "cut": (mutate.truncate_reading_order(page), {"order_omits_regions": ["note", "one", "two"], "order_breaks_block_structure": 1}),
+        "ghost": (mutate.phantom_reading_order(page, ["head", "x"]), {"order_refs_no_region": ["x"], "order_omits_regions": ["note", "one", "two"], "order_breaks_block_structure": 1}),
+        "backwards": (mutate.reverse_root_indices(page), {"order_contradicts_indices": ["head", "note", "one", "two"]}),
+        "typed": (mutate.mistype_reading_order(page, "head"), {"reading_order_not_a_list": ["STRING"]}),
+        "null": (mutate.append_region(page, None), {"non_object_regions": 1}),
+        "nameless": (mutate.append_region(page, {"text": "who am I"}), {"regions_without_id": 1}),
+        "deep": (mutate.nest_regions(page, deep), {"regions_below_depth_cap": ["below32"], "order_omits_regions": 32, "order_breaks_block_structure": 1}),
+    }
+    every = None
+    for name, (changed_pages, _) in cases.items():
+        own = changed_pages.withColumn("page_id", F.lit(name))
+        every = own if every is None else every.unionByName(own)
+    assert {r[0] for r in every.select(F.variant_get("doc", "$.lang", "string")).collect()} == {"en"}
+    got: dict = {}
+    for r in contract.sorted_offenders(contract.violations(every)).collect():
+        got.setdefault(r["page_id"], {})[r["kind"]] = r["offenders"]
+    for name, (_, want) in cases.items():
+        assert {k: len(v) if isinstance(want.get(k), int) else v for k, v in got[name].items()} == want, name
+
+
 def test_lis_and_tau(spark):
     import itertools
 
@@ -177,12 +202,24 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="not a JSON object"):
         read_pages(spark, str(tmp_path / "bad")).collect()
     (tmp_path / "log.jsonl").write_text('{"event":"a"}\n\n{oops\n')
-    assert [(r["line"], r["event"] is None) for r in read_log(spark, str(tmp_path / "log.jsonl")).collect()] == [(1, False), (3, True)]
+    assert sorted((r["line"], r["event"] is None) for r in read_log(spark, str(tmp_path / "log.jsonl")).collect()) == [(1, False), (3, True)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # many splits of one file
+    try:
+        (tmp_path / "long.jsonl").write_text("".join(f'{{"k":{k}}}\n' + "\n" * (k % 3 == 0) for k in range(900)))
+        lines = [x for x in enumerate((tmp_path / "long.jsonl").read_text().split("\n"), 1) if x[1]]
+        long = read_log(spark, str(tmp_path / "long.jsonl"))
+        assert sorted((r["line"], r["raw"]) for r in long.collect()) == lines and long.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "gt.yaml").write_text(
         "elements:\n  citations:\n  - {id: c1, raw: 'Doe 1999', page: 2, char_offset: 5, parsed: {style: apa, year: 1999}}\n  footnotes:\n  - {id: f1, marker: {text: '*', page: 0, char_offset: 3}, content: [{text: 'one'}, {text: 'two '}], pages: [0, 1]}\n  page_numbers:\n  - {page: 4, displayed: iv, normalized: 4}\n"
+        "  marginal_refs:\n  - {id: m1, markers: [{text: A}, {text: B, page: 3}]}\n  - {id: m2}\n"
     )
     got = read_elements(spark, str(tmp_path / "gt.yaml")).orderBy("position").collect()
-    assert [(r["element_type"], r["element_id"], r["pages"], r["text"]) for r in got] == [("footnote", "f1", [0, 1], "one two"), ("citation", "c1", [2], "Doe 1999"), ("page_number", "pn_4", [4], "iv")]
+    assert [(r["element_type"], r["element_id"], r["pages"], r["text"]) for r in got] == [
+        ("footnote", "f1", [0, 1], "one two"), ("citation", "c1", [2], "Doe 1999"), ("marginal_ref", "m1", [3], "A B"), ("marginal_ref", "m2", [-1], ""), ("page_number", "pn_4", [4], "iv")
+    ]
+    assert [(r["marker_text"], r["marker_page"]) for r in got[2:4]] == [("A", 3), (None, None)]
     assert json.loads(got[0]["attributes"]["is_multi_page"]) is True and got[1]["char_length"] == 8
     with pytest.raises(Exception, match="(?i)path"):
         read_elements(spark, str(tmp_path / "none.yaml")).collect()
