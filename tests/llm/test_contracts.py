@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 
@@ -47,6 +48,18 @@ def test_scores(spark, tables, rows, name, label, modulus, held):
         assert 0 <= g["score"] <= 1 and g["predicted"] == int(g["score"] >= 0.5)
 
 
+@pytest.mark.parametrize("name,label", [("op2_gru_toxicity", "toxic"), ("op5_quality_ftrl", "quality")])
+def test_held_out_accuracy(spark, name, label):
+    """On rows whose labels the model hasn't seen, with as many labels as the samples are sized for."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the tables are not there")
+    got = catalogue.QUERIES[name](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").where(f"{label} is not null"), "doc_id").collect()
+    assert len(got) > 50 and sum(g["predicted"] == g[label] for g in got) >= 0.95 * len(got)
+    good, bad = ([g["score"] for g in got if g[label] == k] for k in (1, 0))
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) >= 0.97 * len(good) * len(bad)
+
+
 def test_op3(spark, tables):
     got = run(spark, tables, "op3_adaptive_scan")
     vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{tables[0]}/embeddings.parquet").collect() if r["vec_id"] is not None}

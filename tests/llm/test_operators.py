@@ -39,6 +39,31 @@ def test_overflow_admits_in_ring_order():
         assert len(set(got.values())) == len(got)
 
 
+def test_rows_go_round_the_ring_one_by_one(spark):
+    """Every row's shard and slot, against rows that walk the ring alone; nulls, ties and repeats too."""
+    df = spark.createDataFrame([(k * 7, "a") for k in range(300)] + [(None, "a"), (None, "b"), (21, "a"), (21, "b")], "k long, t string")
+    for n, nodes in ((5, 8), (3, 1)):
+        arcs = sharding.ring(spark, n, nodes).collect()
+        shard_of = {a["arc"]: a["shard"] for a in arcs}
+        rows = df.select("k", "t", F.when(F.col("k").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("k")).alias("pos")).collect()
+        home = lambda p: next(a["arc"] for a in arcs if a["lo"] < p <= a["hi"])  # noqa: B023, E731
+        queue = sorted((home(r["pos"]), r["pos"], -1 if r["k"] is None else r["k"], r["t"]) for r in rows)
+        queue = [(r[0], r) for r in queue]
+        room, used, want = sharding.capacities(len(rows), n, 0.0), [0] * n, []
+        while queue:
+            later = []
+            for node, row in sorted(queue, key=lambda q: q[0]):
+                shard = shard_of[node]
+                if used[shard] < room[shard]:
+                    want.append((row[2], row[3], shard, used[shard]))
+                    used[shard] += 1
+                else:
+                    later.append(((node + 1) % len(shard_of), row))
+            queue = later
+        got = [(-1 if r["k"] is None else r["k"], r["t"], r["shard"], r["slot"]) for r in sharding.shard(df, "k", ["t"], n, nodes).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_one_more_shard_moves_few_rows(spark):
     df = spark.range(20_000).select(F.col("id").alias("k"), F.lit(0).alias("shard"), F.lit("x").alias("SLOT"))
     place = lambda n: {r["k"]: r["shard"] for r in sharding.shard(df, "k", ["k"], n, slack=0.25).collect()}
