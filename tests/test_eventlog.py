@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagescore.operators import eventlog, matching, metrics, reports
-from pagescore.sources.pages import from_notes
+from pagescore.sources.pages import from_citations, from_notes, primary_page
 from pagescore.streaming.scorecards import dangling_refs, event_windows, score_arrivals
 
 
@@ -125,12 +125,16 @@ def test_a_predicted_id_is_taken_once(spark):
     assert sorted((r["gt_id"] or "", r["pred_id"] or "", r["match_type"]) for r in got) == [("g0", "p", "partial"), ("g1", "r", "partial"), ("g2", "", "missed")]
 
 
-def test_notes_of_a_document(spark):
-    notes = spark.createDataFrame([(1, 0, "1", "old"), (1, 1, "1", "new")], "doc_id int, position int, label string, text string")
-    refs = spark.createDataFrame([(1, "1", 5), (1, "2", 99)], "doc_id int, label string, offset int")
+def test_notes_and_citations_of_a_document(spark):
+    notes = spark.createDataFrame([(1, 0, "1", "old", "editor"), (1, 1, "1", "new", "editor")], "doc_id int, position int, label string, text string, note_type string")
+    refs = spark.createDataFrame([(1, "1", 5), (1, "22", 99)], "doc_id int, label string, offset int")
     spans = spark.createDataFrame([(1, 7, 0, 10), (1, 8, 10, 20)], "doc_id int, page int, start int, end int")
-    got = {r["element_id"]: (r["text"], r["pages"]) for r in from_notes(notes, refs, spans).collect()}
-    assert got == {"1": ("new", [7]), "2": ("", [-1])}
+    got = {r["element_id"]: r for r in from_notes(notes, refs, spans).withColumn("primary", primary_page(F.col("pages"))).collect()}
+    told = {k: (r["text"], r["pages"], r["marker_text"], r["marker_page"], r["char_length"], r["attributes"]["note_type"], r["primary"]) for k, r in got.items()}
+    assert told == {"fn_1": ("new", [7], "1", 7, 1, '"editor"', 7), "fn_22": ("", [], "22", -1, 2, '"author"', -1)}
+    cites = spark.createDataFrame([(1, 12, "Roe 1987", {"year": "1987"}), (2, 3, "ibid", None)], "doc_id int, offset int, raw string, parsed map<string,string>")
+    got = {r["element_id"]: (r["pages"], r["char_length"], r["attributes"]) for r in from_citations(cites, spans).collect()}
+    assert got == {"cite_12": ([8], 8, {"year": "1987"}), "cite_3": ([], 4, {})}
 
 
 def test_streams(spark, tmp_path):
