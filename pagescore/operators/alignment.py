@@ -32,11 +32,19 @@ def viable_pairs(gt: DataFrame, cand: DataFrame, matched: DataFrame, min_iou: fl
 def best_assignment(profit: np.ndarray) -> np.ndarray:
     """The column of each row in an assignment of greatest total profit; rows are no more than columns.
 
-    Shortest augmenting paths with dual prices, a row at a time, each step over all columns at once.
+    Rows take one of their best columns while one is free, in order; for the others, shortest augmenting paths with dual
+    prices, a row at a time, each step over all columns at once.
     """
     rows, columns = profit.shape
-    price, slack_row, holder = np.zeros(columns), np.zeros(rows), np.full(columns, -1)
-    for new in range(rows):
+    price, slack_row, holder = np.zeros(columns), -profit.max(axis=1, initial=-np.inf), np.full(columns, -1)
+    waiting = []
+    for row in range(rows):
+        free = np.flatnonzero((profit[row] == -slack_row[row]) & (holder < 0))
+        if len(free):
+            holder[free[0]] = row
+        else:
+            waiting.append(row)
+    for new in waiting:
         reach, previous, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
         row, at, total = new, -1, 0.0
         while True:
