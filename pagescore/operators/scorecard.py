@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 #: The default suite, in its order. Fixed values.
@@ -76,10 +76,14 @@ def as_json(results: DataFrame) -> DataFrame:
     return row.select("page_id", F.to_json(F.struct("passed", "exit_code", inner.alias("summary"), "results")).alias("scorecard"))
 
 
-def render(results: DataFrame, page_id: str) -> str:
-    """One page's scorecard as a text table."""
-    rows = results.where(F.col("page_id") == page_id).orderBy("ordinal").collect()  # a row for each checker
+def rendered(rows: Sequence[Row]) -> str:
+    """One page's verdicts, in order, as a text table."""
     width = max([len("checker"), *(len(r["checker"]) for r in rows)])
     lines = [f"{'checker':<{width}}  severity  result", *(f"{r['checker']:<{width}}  {r['severity']:<8}  {'pass' if r['passed'] else 'CRASH' if r['crashed'] else 'FAIL'}" for r in rows)]
     good = sum(r["passed"] for r in rows)
     return "\n".join([*lines, f"{good}/{len(rows)} passed"])
+
+
+def render(results: DataFrame, page_id: str) -> str:
+    """One page's scorecard as a text table."""
+    return rendered(results.where(F.col("page_id") == page_id).orderBy("ordinal").collect())  # a row for each checker
