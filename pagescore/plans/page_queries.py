@@ -266,5 +266,43 @@ _ORACLES |= {
     scorecard_summary: _PASSED + "SELECT CAST(page_id AS VARCHAR) AS page_id, count(*) AS total, count(*) FILTER (passed) AS passed_checks, count(*) FILTER (NOT passed) AS hard_failures, CAST(0 AS BIGINT) AS soft_failures, CAST(0 AS BIGINT) AS crashed_checks, bool_and(passed) AS passed, CAST(NOT bool_and(passed) AS INTEGER) AS exit_code FROM v GROUP BY page_id",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in [*_ORACLES, scorecard_json]}
+
+
+def _shown(number: str) -> str:
+    """SQL: a double as JSON has it, whole ones without a point."""
+    return f"CASE WHEN {number} = floor({number}) THEN CAST(CAST({number} AS BIGINT) AS VARCHAR) ELSE CAST({number} AS VARCHAR) END"
+
+
+def _object(fields: dict[str, str], more: str = "''") -> str:
+    """SQL: a JSON object of keys in order of their names, and what `more` adds at its end."""
+    return "concat('{', " + ", ',', ".join(f"""'"{k}":', {fields[k]}""" for k in sorted(fields)) + f", {more}, '}}')"
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {name: name for name in names}
+
+
+_SOME = {"candidate_order_omits_regions": "omitted", "candidate_order_breaks_block_structure": "CAST(sign(omitted) AS BIGINT)", "candidate_order_contradicts_indices": "against"}
+_FIDELITY = _same("cand_ngrams", "contained", "excess", "gross", "gt_ngrams", "minor", "minor_allowed", "misplaced", "n", "regions_scored") | {k: _shown(k) for k in ("containment", "precision_")} | {"reward_ready": "'false'"}
+_WORST = f"CASE WHEN worst_retention IS NULL THEN '' ELSE concat(',\"worst_retention\":', {_shown('worst_retention')}) END"
+_NOTES = _same("gt_notes", "notes_matched", "missing_notes", "mistyped_notes", "gt_spans", "spans_preserved", "span_defects", "spans_skipped")
+_JSON = f""", ln AS (SELECT page_id, pos, cand_pos, 1 AS len FROM ps WHERE cand_pos IS NOT NULL UNION ALL SELECT p.page_id, p.pos, p.cand_pos, l.len + 1 FROM ln l JOIN ps p ON p.page_id = l.page_id AND p.pos > l.pos AND p.cand_pos > l.cand_pos),
+  od AS (SELECT page_id, n_shared, missing, CAST(n_shared AS DOUBLE) / CAST(n_shared + missing AS DOUBLE) AS coverage, tau, CASE WHEN n_shared = 0 THEN 1.0::DOUBLE ELSE CAST(lis AS DOUBLE) / CAST(n_shared AS DOUBLE) END AS lis_ratio
+    FROM (SELECT page_id, count(cand_pos) AS n_shared, count(*) - count(cand_pos) AS missing FROM ps GROUP BY page_id) JOIN kd USING (page_id) LEFT JOIN (SELECT page_id, max(len) AS lis FROM ln GROUP BY page_id) USING (page_id)),
+  sc AS (SELECT page_id, count(*) FILTER (state <> 'skipped') AS gt_spans, count(*) FILTER (state = 'preserved') AS spans_preserved, count(*) FILTER (state IN ('missing', 'under', 'duplicated')) AS span_defects, count(*) FILTER (state = 'skipped') AS spans_skipped FROM st GROUP BY page_id),
+  ty AS (SELECT page_id, CAST(sum(fp) AS BIGINT) AS false_positives, CAST(sum(fn) AS BIGINT) AS false_negatives, CAST(sum(fp) + sum(fn) AS BIGINT) AS type_errors,
+    CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) = 0 THEN 0.0::DOUBLE ELSE CAST(2 * sum(tp) AS DOUBLE) / CAST(2 * sum(tp) + sum(fp) + sum(fn) AS DOUBLE) END AS micro_f1,
+    round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END), 12) AS macro_f1 FROM tc GROUP BY page_id),
+  js AS (SELECT page_id, 0 AS ordinal, {_object({f"{side}_{k}": _SOME.get(f"{side}_{k}", "0") for side in ("gt", "candidate") for k in contract.KINDS})} AS metrics FROM ct
+    UNION ALL SELECT page_id, 1, {_object(_FIDELITY, _WORST)} FROM tg
+    UNION ALL SELECT page_id, 2, {_object(_same("missing", "n_shared") | {k: _shown(k) for k in ("coverage", "tau", "lis_ratio")})} FROM od
+    UNION ALL SELECT page_id, 3, {_object(_NOTES)} FROM np JOIN sc USING (page_id)
+    UNION ALL SELECT page_id, 4, {_object(_same("false_positives", "false_negatives", "type_errors") | {"micro_f1": _shown("micro_f1"), "macro_f1": _shown("macro_f1")})} FROM ty)
+"""
+_ORACLES[scorecard_json] = _PASSED + _JSON + """SELECT CAST(page_id AS VARCHAR) AS page_id, concat('{"passed":', bool_and(passed), ',"exit_code":', CAST(NOT bool_and(passed) AS INTEGER),
+    ',"summary":{"total":', count(*), ',"passed":', count(*) FILTER (passed), ',"hard_failures":', count(*) FILTER (NOT passed), ',"soft_failures":0,"crashed":0},"results":[',
+    string_agg(concat('{"id":"', ['structural-contract', 'text-fidelity', 'reading-order', 'footnote-anchor', 'structure-typing'][ordinal + 1], '","passed":', passed, ',"severity":"hard","crashed":false,"metrics":"', replace(metrics, '"', chr(92) || '"'), '"}'), ',' ORDER BY ordinal),
+    ']}') AS scorecard FROM v JOIN js USING (page_id, ordinal) GROUP BY page_id"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ORACLES}
 ORACLES: dict[str, str] = {f.__name__: f"WITH RECURSIVE {SQL}{sql if sql.startswith(',') else chr(10) + sql}" for f, sql in _ORACLES.items()}
