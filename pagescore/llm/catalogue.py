@@ -15,6 +15,7 @@ from pagescore.llm.repeats import OP8_SQL, op8_run_length_dedup
 from pagescore.llm.sharding import op1_ring_shards
 from pagescore.llm.tokencount import op10_viterbi_counts
 from pagescore.llm.toxicity import op2_gru_toxicity
+from pagescore.llm.variants import op11_parity_variants
 from pagescore.llm.warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_run_length_dedup": op8_run_length_dedup,
     "op9_set_relation_join": op9_set_relation_join,
     "op10_viterbi_counts": op10_viterbi_counts,
+    "op11_parity_variants": op11_parity_variants,
 }
 
 SQL: dict[str, str] = {

@@ -157,3 +157,62 @@ def pieces(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndar
         yield first, data, at
         first = last
 
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans end to end, and their offsets."""
+    length = ends - starts
+    offsets = np.zeros(len(length) + 1, dtype=np.int64)
+    np.cumsum(length, out=offsets[1:])
+    return data[np.arange(int(offsets[-1])) + np.repeat(starts - offsets[:-1], length)], offsets
+
+
+def span_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as an Arrow string column."""
+    body, offsets = gathered(data, starts, ends)
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).cast(pa.string())
+
+
+class Lexicon:
+    """Distinct words, none empty, numbered in the order given; finds the numbers of the byte spans of a text.
+
+    A span is told by its length, its first and last eight bytes and a 64-bit hash, so words of up to 16 bytes exactly.
+    """
+
+    def __init__(self, words: list[bytes]) -> None:
+        data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
+        ends = np.cumsum(np.array([len(w) + 1 for w in words], dtype=np.int64)) - 1
+        starts = ends - np.array([len(w) for w in words], dtype=np.int64)
+        hashes = span_hashes(data, starts, ends)
+        self.number = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.number]
+        self.marks = [m[self.number] for m in self._marks(data, starts, ends)]
+        self.alike = int(np.unique(hashes, return_counts=True)[1].max()) if words else 0
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    @staticmethod
+    def _marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        length = ends - starts
+        padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+        at = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        keep = np.minimum(length, 8)
+        unused = ((8 - keep) * 8).astype(np.uint64)
+        return [length, at[starts] << unused, at[ends - keep] << unused]
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+        """The number of each span's word, -1 for other spans."""
+        out = np.full(len(starts), -1, dtype=np.int64)
+        if not len(starts) or not len(self):
+            return out
+        hashes = span_hashes(data, starts, ends) if hashes is None else hashes
+        marks = self._marks(data, starts, ends)
+        at = np.searchsorted(self.hashes, hashes)
+        for step in range(self.alike):
+            here = np.minimum(at + step, len(self) - 1)
+            same = self.hashes[here] == hashes
+            for own, mark in zip(self.marks, marks, strict=True):
+                same &= own[here] == mark
+            out[same] = self.number[here[same]]
+        return out
