@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pagescore.llm.ann import op3_adaptive_scan
 from pagescore.llm.decontaminate import OP6_SQL, op6_prefix_decontamination
 from pagescore.llm.jaccard import OP9_SQL, op9_set_relation_join
+from pagescore.llm.lexical import OP12_SQL, op12_quantised_search
+from pagescore.llm.markov import op13_hidden_markov
 from pagescore.llm.mixing import OP4_SQL, op4_curriculum_mix
 from pagescore.llm.quality import op5_quality_ftrl
 from pagescore.llm.repeats import OP8_SQL, op8_run_length_dedup
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_set_relation_join": op9_set_relation_join,
     "op10_viterbi_counts": op10_viterbi_counts,
     "op11_parity_variants": op11_parity_variants,
+    "op12_quantised_search": op12_quantised_search,
+    "op13_hidden_markov": op13_hidden_markov,
 }
 
 SQL: dict[str, str] = {
@@ -38,4 +42,5 @@ SQL: dict[str, str] = {
     "op7_warc_round_trip": OP7_SQL,
     "op8_run_length_dedup": OP8_SQL,
     "op9_set_relation_join": OP9_SQL,
+    "op12_quantised_search": OP12_SQL,
 }
