@@ -17,7 +17,7 @@ from pagescore.llm.repeats import OP8_SQL, op8_run_length_dedup
 from pagescore.llm.sharding import op1_ring_shards
 from pagescore.llm.tokencount import op10_viterbi_counts
 from pagescore.llm.toxicity import op2_gru_toxicity
-from pagescore.llm.variants import op11_parity_variants
+from pagescore.llm.variants import OP11_SQL, op11_parity_variants
 from pagescore.llm.warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -42,5 +42,6 @@ SQL: dict[str, str] = {
     "op7_warc_round_trip": OP7_SQL,
     "op8_run_length_dedup": OP8_SQL,
     "op9_set_relation_join": OP9_SQL,
+    "op11_parity_variants": OP11_SQL,
     "op12_quantised_search": OP12_SQL,
 }

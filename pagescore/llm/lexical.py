@@ -158,7 +158,7 @@ def rescored(index: DataFrame, items: list[np.ndarray], weights: np.ndarray, lea
     return index.select("_doc", "m", "terms", "tfs", "impacts").mapInArrow(run, f"_item int, _doc {index.schema['_doc'].dataType.simpleString()}, score long")
 
 
-def search(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", top: int = TOP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", top: int = TOP, most_items: int = ITEMS) -> DataFrame:
     """(item, rank int, doc, score long): each item's `top` documents of the highest scores above 0, equal ones by doc.
 
     Terms are the text's maximal runs of ASCII letters, digits and characters outside ASCII, only A-Z lowered. Null and
@@ -168,7 +168,7 @@ def search(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
     """
     spark, out = docs.sparkSession, None
     kind = items.schema[item].dataType
-    for block in item_blocks(items, item, item_text):
+    for block in item_blocks(items, item, item_text, most_items):
         terms = sorted({t for _, own in block for t in own})
         number = {t: k for k, t in enumerate(terms)}
         own = [np.array([number[t] for t in ts], dtype=np.int64) for _, ts in block]
