@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagescore.operators.regions import blocks, canonical, flatten, kind, member, string_member, walk
+from pagescore.operators.regions import blocks, canonical, kind, member, of_tree, string_member, walk
 
 #: Kinds of violation, in the order of reports. Fixed values.
 KINDS = (
@@ -39,13 +39,14 @@ def tree_violations(tree: DataFrame) -> DataFrame:
     )).select("page_id", "v.*")
 
 
-def violations(pages: DataFrame) -> DataFrame:
+def violations(pages: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """(page_id, kind, offender), distinct, of pages (page_id, doc variant).
 
-    The region tree is walked once by each of three parts, however deep it is: its entries one by one, its ids against
-    the declared order, and its blocks against that order. Ids of a page meet in one grouping by page and id.
+    Three parts read the region tree, however deep it is: its entries one by one, its ids against the declared order,
+    and its blocks against that order. tree: what regions.walk gives for the pages, if it is at hand, as when it was
+    written; else each part walks the pages. Ids of a page meet in one grouping by page and id.
     """
-    tree = walk(pages)
+    tree = walk(pages) if tree is None else tree
     order = pages.select("page_id", member("doc", "reading_order").alias("value")).where("value is not null")
     is_list = kind(F.col("value")) == "ARRAY"
     entry = order.where(is_list).select("page_id", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("at", "entry"))
@@ -70,13 +71,13 @@ def violations(pages: DataFrame) -> DataFrame:
         (F.col("listed").isNull() & F.col("has_list"), "order_omits_regions", F.col("region_id")),
         (F.col("i") != F.col("j"), "order_contradicts_indices", F.col("region_id")),
     )).select("page_id", "v.*")
-    return tree_violations(tree).unionByName(odd).unionByName(by_id).unionByName(block_violations(pages, order.where(is_list))).distinct()
+    return tree_violations(tree).unionByName(odd).unionByName(by_id).unionByName(block_violations(pages, order.where(is_list), tree)).distinct()
 
 
-def block_violations(pages: DataFrame, listed: DataFrame) -> DataFrame:
+def block_violations(pages: DataFrame, listed: DataFrame, tree: DataFrame) -> DataFrame:
     """(page_id, kind, offender) where a declared list is not made of whole blocks: the ids in it that are inside a block, or
     the list itself if there is none. listed (page_id): the pages that declare a list."""
-    regions = flatten(pages)
+    regions = of_tree(tree)
     own = blocks(regions).groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("ids"), F.collect_set("root_id").alias("roots"))
     broken = canonical(pages, regions).where("not canonical").join(listed.select("page_id"), "page_id", "left_semi").join(own, "page_id", "left")
     none = F.array().cast("array<string>")

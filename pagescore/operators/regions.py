@@ -109,7 +109,12 @@ def flatten(pages: DataFrame) -> DataFrame:
     page_id, depth, path array<int>, parent_id, and the columns of project. Entries that are no objects, and lists that
     are no lists, are passed over.
     """
-    objects = walk(pages).where((F.col("part") == "entry") & (kind(F.col("value")) == "OBJECT")).withColumn("depth", F.size("path") - 1)
+    return of_tree(walk(pages))
+
+
+def of_tree(tree: DataFrame) -> DataFrame:
+    """flatten, of a tree that was walked before."""
+    objects = tree.where((F.col("part") == "entry") & (kind(F.col("value")) == "OBJECT")).withColumn("depth", F.size("path") - 1)
     return project(objects, ["page_id", "depth", "path", "parent_id"])
 
 

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 #: The default suite, in its order. Fixed values.
 SUITE = ("structural-contract", "text-fidelity", "reading-order", "footnote-anchor", "structure-typing")
 SEVERITIES = ("hard", "soft", "info")
-RESULT = "page_id, checker, ordinal, severity, passed, crashed, metrics"
+RESULT = "page_id, checker, ordinal, severity, passed, crashed, detail, metrics"
 
 
 @dataclass(frozen=True)
 class Checker:
-    """A named check over all pages: `run` gives (page_id, passed, metric columns...) from whatever it closes over.
+    """A named check over all pages: `run` gives (page_id, passed, metric columns...) from whatever it closes over, and
+    detail, a text on the verdict, and error, the name of what kept a page from one, if it has these.
 
     severity can be set for each instance; the checks of a suite are one union, so they run as one job.
     """
@@ -27,29 +30,63 @@ class Checker:
 
 
 def verdicts(rows: DataFrame, name: str, ordinal: int, severity: str = "hard") -> DataFrame:
-    """RESULT rows of one check: all its columns but page_id and passed go into metrics as JSON. A null verdict failed by
-    a crash."""
-    own = [c for c in rows.columns if c not in ("page_id", "passed")]
+    """RESULT rows of one check, with error: all its columns but page_id, passed, detail and error go into metrics as JSON,
+    nulls left out. A null verdict is a crash."""
+    own = [c for c in rows.columns if c not in ("page_id", "passed", "detail", "error")]
     metrics = F.to_json(F.struct(*own)) if own else F.lit("{}")
+    text = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
     return rows.select(
         F.col("page_id").cast("string").alias("page_id"), F.lit(name).alias("checker"), F.lit(ordinal).alias("ordinal"), F.lit(severity).alias("severity"),
-        F.coalesce("passed", F.lit(False)).alias("passed"), F.col("passed").isNull().alias("crashed"), metrics.alias("metrics"),
+        F.coalesce("passed", F.lit(False)).alias("passed"), F.col("passed").isNull().alias("crashed"), F.coalesce(text("detail"), F.lit("")).alias("detail"), metrics.alias("metrics"), text("error").alias("error"),
     )
 
 
+def page_check(pages: DataFrame, check: Callable[[dict, dict], tuple[bool, str, dict]]) -> DataFrame:
+    """(page_id, passed, detail, error, metrics of the check as one JSON column `own`) of a check that is a plain function of
+    two documents, (candidate, ground truth) -> (passed, detail, metrics), over pages (page_id, gt variant, cand variant).
+
+    The documents go to the function page by page in Arrow batches. A page for which it raises gets no verdict and the
+    exception's name as its error; the other pages are not touched by that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for gt, cand in zip(batch.column("gt").to_pylist(), batch.column("cand").to_pylist(), strict=True):
+                try:
+                    passed, detail, own = check(json.loads(cand), json.loads(gt))
+                    out.append((bool(passed), str(detail), None, json.dumps(own)))
+                except Exception as raised:  # noqa: BLE001 - whatever the check raises is this page's result
+                    out.append((None, str(raised), type(raised).__name__, None))
+            columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate((pa.bool_(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns], names=["page_id", "passed", "detail", "error", "own"])
+
+    texts = pages.select("page_id", F.to_json("gt").alias("gt"), F.to_json("cand").alias("cand"))
+    return texts.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, passed boolean, detail string, error string, own string").withColumn("own", F.parse_json("own"))
+
+
 def run_suite(checkers: Sequence[Checker], pages: DataFrame) -> DataFrame:
-    """RESULT rows of all checkers for every page (page_id), in suite order. A page that a check has no row for, or whose
-    verdict is null, fails it hard as crashed."""
-    out = None
+    """RESULT rows of all checkers for every page, in suite order. pages: page_id, and error, the name of what is wrong with
+    a page's documents, if there is such a column.
+
+    A page that a check has no row for, or whose verdict is null, fails it hard as crashed, with the error that the check or
+    else the page has ("NoVerdict" if neither). The checks are one union, which meets the pages in one join.
+    """
+    own = None
     for ordinal, checker in enumerate(checkers):
-        own = verdicts(checker.run(), checker.name, ordinal, checker.severity)
-        every = pages.select(F.col("page_id").cast("string").alias("page_id")).join(own, "page_id", "left").select(
-            "page_id", F.lit(checker.name).alias("checker"), F.lit(ordinal).alias("ordinal"),
-            F.when(F.coalesce("crashed", F.lit(True)), "hard").otherwise(F.col("severity")).alias("severity"),
-            F.coalesce("passed", F.lit(False)).alias("passed"), F.coalesce("crashed", F.lit(True)).alias("crashed"), F.coalesce("metrics", F.lit("{}")).alias("metrics"),
-        )
-        out = every if out is None else out.unionByName(every)
-    return out
+        part = verdicts(checker.run(), checker.name, ordinal, checker.severity)
+        own = part if own is None else own.unionByName(part)
+    error = F.col("error").cast("string") if "error" in pages.columns else F.lit(None).cast("string")
+    names = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(c.name).alias("checker")) for k, c in enumerate(checkers)])
+    every = pages.select(F.col("page_id").cast("string").alias("page_id"), error.alias("_error"), F.inline(names))
+    crashed = F.coalesce("crashed", F.lit(True))
+    why = F.coalesce("error", "_error", F.lit("NoVerdict"))
+    told = F.concat(F.lit("no verdict: "), why, F.when(F.coalesce("detail", F.lit("")) != "", F.concat(F.lit(", "), F.col("detail"))).otherwise(F.lit("")))
+    return every.join(own.drop("checker"), ["page_id", "ordinal"], "left").select(
+        "page_id", "checker", "ordinal", F.when(crashed, "hard").otherwise(F.col("severity")).alias("severity"), F.coalesce("passed", F.lit(False)).alias("passed"), crashed.alias("crashed"),
+        F.when(crashed, told).otherwise(F.col("detail")).alias("detail"),
+        F.when(crashed, F.to_json(F.struct(F.lit(True).alias("crashed"), why.alias("error")))).otherwise(F.col("metrics")).alias("metrics"),
+    )
 
 
 def always_pass(pages: DataFrame) -> DataFrame:
@@ -68,20 +105,21 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def as_json(results: DataFrame) -> DataFrame:
-    """(page_id, scorecard): verdict, summary and the results in order, as JSON."""
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", F.col("checker").alias("id"), "passed", "severity", "crashed", F.parse_json("metrics").cast("string").alias("metrics"))))
-    lists = results.groupBy("page_id").agg(F.transform(ordered, lambda r: F.struct(r["id"].alias("id"), r["passed"].alias("passed"), r["severity"].alias("severity"), r["crashed"].alias("crashed"), r["metrics"].alias("metrics"))).alias("results"))
+    """(page_id, scorecard): verdict, summary and the results in order, as JSON; a result's metrics are an object."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", F.col("checker").alias("id"), "passed", "severity", "detail", "metrics")))
+    entry = lambda r: F.struct(r["id"].alias("id"), r["passed"].alias("passed"), r["severity"].alias("severity"), r["detail"].alias("detail"), F.parse_json(r["metrics"]).alias("metrics"))
+    lists = results.groupBy("page_id").agg(F.transform(ordered, entry).alias("results"))
     row = summary(results).join(lists, "page_id")
     inner = F.struct("total", F.col("passed_checks").alias("passed"), "hard_failures", "soft_failures", F.col("crashed_checks").alias("crashed"))
     return row.select("page_id", F.to_json(F.struct("passed", "exit_code", inner.alias("summary"), "results")).alias("scorecard"))
 
 
 def rendered(rows: Sequence[Row]) -> str:
-    """One page's verdicts, in order, as a text table."""
+    """One page's verdicts, in order, as a text table with their details."""
     width = max([len("checker"), *(len(r["checker"]) for r in rows)])
-    lines = [f"{'checker':<{width}}  severity  result", *(f"{r['checker']:<{width}}  {r['severity']:<8}  {'pass' if r['passed'] else 'CRASH' if r['crashed'] else 'FAIL'}" for r in rows)]
-    good = sum(r["passed"] for r in rows)
-    return "\n".join([*lines, f"{good}/{len(rows)} passed"])
+    lines = [f"{'checker':<{width}}  severity  result  detail", *(f"{r['checker']:<{width}}  {r['severity']:<8}  {'pass' if r['passed'] else 'CRASH' if r['crashed'] else 'FAIL':<6}  {r['detail']}" for r in rows)]
+    failed = [r["severity"] for r in rows if not r["passed"]]
+    return "\n".join([*lines, f"{len(rows) - len(failed)}/{len(rows)} passed, {failed.count('hard')} hard and {failed.count('soft')} soft failures, exit {int('hard' in failed)}"])
 
 
 def render(results: DataFrame, page_id: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagescore.functions.geometry import ratio
@@ -64,13 +64,17 @@ def type_counts(gt: DataFrame, cand: DataFrame, mapping: DataFrame) -> DataFrame
     return a.unionByName(b).groupBy("page_id", "block_type").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])
 
 
+def type_f1() -> Column:
+    """F1 of a row of type_counts."""
+    return ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"), 0.0)
+
+
 def type_check(counts: DataFrame, max_type_errors: int = 0) -> DataFrame:
     """One row a page: false_positives, false_negatives, type_errors, micro_f1, macro_f1, passed.
 
     macro_f1 is rounded to 12 places, so that it does not hang on the order in which types are summed up.
     """
-    f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"), 0.0)
-    row = counts.groupBy("page_id").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("false_positives"), F.sum("fn").alias("false_negatives"), F.round(F.avg(f1), 12).alias("macro_f1"))
+    row = counts.groupBy("page_id").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("false_positives"), F.sum("fn").alias("false_negatives"), F.round(F.avg(type_f1()), 12).alias("macro_f1"))
     errors = F.col("false_positives") + F.col("false_negatives")
     return row.select("page_id", "false_positives", "false_negatives", errors.alias("type_errors"), ratio(2 * F.col("tp"), 2 * F.col("tp") + errors, 0.0).alias("micro_f1"), "macro_f1").withColumn(
         "passed", F.col("type_errors") <= max_type_errors

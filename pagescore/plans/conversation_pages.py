@@ -61,6 +61,17 @@ def cand_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_documents(cand_regions(spark, sf_dir), declared)
 
 
+def raw_documents(docs: DataFrame, side: str) -> DataFrame:
+    """(page_id, value string): documents as JSON text, with faults by the page's number: candidates that are cut off or have a
+    key twice, ground truth with a NaN."""
+    text, page = F.to_json("doc"), F.col("page_id")
+    if side == "gt":
+        value = F.when(page % 19 == 4, F.concat(F.lit('{"quality":NaN,'), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+    else:
+        value = F.when(page % 13 == 2, F.substring(text, F.lit(1), F.length(text) - 1)).when(page % 17 == 3, F.concat(F.lit('{"regions":[],'), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+    return docs.select(page.alias("page_id"), value.alias("value"))
+
+
 #: The same rows for DuckDB, with norm and words.
 SQL = r"""
 turns AS (SELECT conv_id, turn, role, text FROM conversations),

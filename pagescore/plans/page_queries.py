@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pagescore.functions.geometry import ratio
 from pagescore.operators import contract, fidelity, metrics, mutate, order, regions, scorecard, structure
 from pagescore.operators.alignment import align
-from pagescore.plans.conversation_pages import SQL, cand_documents, cand_regions, gt_documents, gt_regions
+from pagescore.plans import documents
+from pagescore.plans.conversation_pages import SQL, cand_documents, cand_regions, gt_documents, gt_regions, raw_documents
+from pagescore.sources.pages import parse_pages
 from pagescore.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,32 +139,25 @@ def anchor_preservation(spark, sf_dir):
     return structure.spans(Pages(spark, sf_dir).paired())
 
 
-def both_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a ground-truth page: the 24 counts of contract violations of both documents, and passed."""
-    side = lambda docs, name: contract.contract_check(docs, contract.violations(docs), name).withColumnRenamed("passed", f"{name}_passed")
-    row = side(gt_documents(spark, sf_dir), "gt").join(side(cand_documents(spark, sf_dir), "candidate"), "page_id", "left")
-    counts = [F.coalesce(f"{name}_{k}", F.lit(0)).cast("long").alias(f"{name}_{k}") for name in ("gt", "candidate") for k in contract.KINDS]
-    return row.select("page_id", *counts, (F.col("gt_passed") & F.coalesce("candidate_passed", F.lit(True))).alias("passed"))
-
-
 def scorecard_contract(spark, sf_dir):
-    return both_contracts(spark, sf_dir)
+    return documents.contracts(gt_documents(spark, sf_dir), cand_documents(spark, sf_dir)).drop("detail")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suite's verdicts on every page."""
-    pages = Pages(spark, sf_dir, once=True)
+    """The suite's verdicts on every page document."""
+    return documents.score(gt_documents(spark, sf_dir), cand_documents(spark, sf_dir))
 
-    runs = (
-        lambda: both_contracts(spark, sf_dir), lambda: fidelity.text_fidelity(pages.gt, pages.cand, pages.mapping), lambda: order.order_check(pages.placed()),
-        lambda: structure.anchor_check(pages.gt, pages.cand, pages.mapping), lambda: structure.type_check(pages.types()),
-    )
-    suite = [scorecard.Checker(name, run) for name, run in zip(scorecard.SUITE, runs, strict=True)]
-    return scorecard.run_suite(suite, pages.gt.select("page_id").distinct())
+
+def crash_isolation(spark, sf_dir):
+    """The suite over texts of documents of which every 13th candidate is cut off, every 17th has a key twice and every 19th
+    ground truth a NaN: each such page's checks crash with the error's name, all others are scored."""
+    gt, cand = (parse_pages(raw_documents(docs(spark, sf_dir), side)) for docs, side in ((gt_documents, "gt"), (cand_documents, "candidate")))
+    out = documents.score(gt, cand)
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "checker", "severity", "passed", "crashed", F.get_json_object("metrics", "$.error").alias("error"))
 
 
 def scorecard_results(spark, sf_dir):
-    return results(spark, sf_dir).select("page_id", "checker", "ordinal", "severity", "passed", "crashed")
+    return results(spark, sf_dir).select("page_id", "checker", "ordinal", "severity", "passed", "crashed", "detail")
 
 
 def scorecard_summary(spark, sf_dir):
@@ -250,59 +245,85 @@ _ORACLES = {
     full_text: "SELECT cn.page_id, md5(string_agg(text, chr(10) ORDER BY rank)) AS text_md5, count(*) AS n_regions FROM cn JOIN co USING (page_id, region_id) WHERE text <> '' GROUP BY cn.page_id",
 }
 
+#: The documents' own order: a candidate that declares a whole order (every fifth page) goes by it, others by index. xt adds what
+#: verdicts say of offenders and regions, in CTEs over those of conversation_pages.
+_DOCUMENTS = r""", cq AS (SELECT page_id, region_id, turn, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN page_id % 5 = 0 THEN turn ELSE idx END, region_id) - 1 AS rank FROM cn),
+  pd AS (SELECT go.page_id, go.region_id AS gt_id, go.rank AS pos, cq.rank AS cand_pos FROM go JOIN mp ON mp.page_id = go.page_id AND mp.gt_id = go.region_id LEFT JOIN cq ON cq.page_id = mp.page_id AND cq.region_id = mp.cand_id),
+  kq AS (SELECT a.page_id, count(*) FILTER (a.cand_pos < b.cand_pos) AS concordant, count(*) FILTER (a.cand_pos > b.cand_pos) AS discordant FROM pd a JOIN pd b ON a.page_id = b.page_id AND a.pos < b.pos GROUP BY a.page_id),
+  tq AS (SELECT p.page_id, n_shared, missing, lost, CAST(coalesce(concordant, 0) AS BIGINT) AS concordant, CAST(coalesce(discordant, 0) AS BIGINT) AS discordant,
+    CASE WHEN coalesce(concordant, 0) + coalesce(discordant, 0) = 0 THEN 1.0::DOUBLE ELSE CAST(concordant - discordant AS DOUBLE) / CAST(concordant + discordant AS DOUBLE) END AS tau,
+    CAST(n_shared AS DOUBLE) / CAST(n_shared + missing AS DOUBLE) AS coverage
+    FROM (SELECT page_id, count(cand_pos) AS n_shared, count(*) - count(cand_pos) AS missing, string_agg(gt_id, ', ' ORDER BY pos) FILTER (cand_pos IS NULL) AS lost FROM pd GROUP BY page_id) p LEFT JOIN kq USING (page_id)),
+  gone AS (SELECT DISTINCT page_id FROM gn WHERE page_id NOT IN (SELECT page_id FROM cn)),
+  om AS (SELECT page_id, string_agg(region_id, ', ' ORDER BY region_id) AS ids FROM (SELECT page_id, region_id, row_number() OVER (PARTITION BY page_id ORDER BY turn) AS k FROM cn WHERE page_id % 5 <> 0 AND page_id % 7 = 0) WHERE k > 1 GROUP BY page_id),
+  ag_ AS (SELECT page_id, string_agg(region_id, ', ' ORDER BY region_id) AS ids FROM (SELECT page_id, region_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY page_id) AS m FROM cn WHERE page_id % 5 = 0 WINDOW w AS (PARTITION BY page_id ORDER BY turn)) WHERE 2 * k <> m + 1 GROUP BY page_id),
+  cx AS (SELECT ct.*, CASE WHEN omitted > 0 THEN 'candidate order_omits_regions [' || om.ids || ']; candidate order_breaks_block_structure [the declared list does not keep root blocks together]'
+    WHEN against > 0 THEN 'candidate order_contradicts_indices [' || ag_.ids || ']' ELSE 'both documents keep the contract' END AS detail FROM ct LEFT JOIN om USING (page_id) LEFT JOIN ag_ USING (page_id)),
+  tx AS (SELECT tg.*, short, away FROM tg LEFT JOIN (SELECT page_id, string_agg(region_id, ', ' ORDER BY retention, region_id) AS short FROM rt WHERE retention < 0.95 GROUP BY page_id) USING (page_id)
+    LEFT JOIN (SELECT page_id, string_agg(region_id, ', ' ORDER BY foreign_ratio DESC, region_id) AS away FROM mr WHERE foreign_ratio > 0.5 GROUP BY page_id) USING (page_id)),
+  sc AS (SELECT page_id, count(*) FILTER (state <> 'skipped') AS gt_spans, count(*) FILTER (state = 'preserved') AS spans_preserved, count(*) FILTER (state IN ('missing', 'under', 'duplicated')) AS span_defects, count(*) FILTER (state = 'skipped') AS spans_skipped FROM st GROUP BY page_id),
+  nx AS (SELECT np.*, sc.* EXCLUDE (page_id), lone, odd FROM np JOIN sc USING (page_id) LEFT JOIN (SELECT page_id, string_agg(region_id, ', ' ORDER BY region_id) FILTER (NOT c_found) AS lone, string_agg(region_id, ', ' ORDER BY region_id) FILTER (c_found AND c_bt <> 'footnote') AS odd FROM pr WHERE bt = 'footnote' GROUP BY page_id) USING (page_id)),
+  ty AS (SELECT page_id, CAST(sum(fp) AS BIGINT) AS false_positives, CAST(sum(fn) AS BIGINT) AS false_negatives, CAST(sum(fp) + sum(fn) AS BIGINT) AS type_errors,
+    CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) = 0 THEN 0.0::DOUBLE ELSE CAST(2 * sum(tp) AS DOUBLE) / CAST(2 * sum(tp) + sum(fp) + sum(fn) AS DOUBLE) END AS micro_f1, round(avg(f), 12) AS macro_f1,
+    max(f) FILTER (block_type = 'body') AS body_f1, max(f) FILTER (block_type = 'footnote') AS footnote_f1, max(f) FILTER (block_type = 'heading') AS heading_f1
+    FROM (SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f FROM tc) GROUP BY page_id),
+  sv AS (SELECT page_id, 0 AS ordinal, omitted + against = 0 AS passed, detail FROM cx
+    UNION ALL SELECT page_id, 1, containment >= 0.95 AND gross = 0 AND minor <= minor_allowed AND misplaced = 0,
+      concat('contained ', contained, ' of ', gt_ngrams, ' n-grams; of ', regions_scored, ' regions ', gross, ' gross and ', minor, ' minor defects (', minor_allowed, ' allowed), ', misplaced, ' misplaced', '; short of text: ' || short, '; misplaced: ' || away) FROM tx
+    UNION ALL SELECT page_id, 2, coverage >= 1 AND tau >= 1, concat(n_shared, ' of ', n_shared + missing, ' regions placed, ', concordant, ' pairs in order and ', discordant, ' not', '; without a place: ' || lost) FROM tq
+    UNION ALL SELECT page_id, 3, missing_notes = 0 AND mistyped_notes = 0 AND span_defects = 0, concat(notes_matched, ' of ', gt_notes, ' notes matched, ', spans_preserved, ' of ', gt_spans, ' anchors kept', '; missing notes: ' || lone, '; notes of another type: ' || odd) FROM nx
+    UNION ALL SELECT page_id, 4, type_errors = 0, concat(type_errors, ' type errors: ', false_positives, ' false positives, ', false_negatives, ' false negatives') FROM ty),
+  vd AS (SELECT page_id, ordinal, ['structural-contract', 'text-fidelity', 'reading-order', 'footnote-anchor', 'structure-typing'][ordinal + 1] AS checker, passed AND page_id NOT IN (SELECT page_id FROM gone) AS passed, page_id IN (SELECT page_id FROM gone) AS crashed,
+    CASE WHEN page_id IN (SELECT page_id FROM gone) THEN 'no verdict: MissingCandidate' ELSE detail END AS detail FROM sv)
+"""
 _COUNTS = ", ".join(
     f"CAST({ {'candidate_order_omits_regions': 'omitted', 'candidate_order_breaks_block_structure': 'sign(omitted)', 'candidate_order_contradicts_indices': 'against'}.get(name, 0)} AS BIGINT) AS {name}"
     for name in (f"{side}_{k}" for side in ("gt", "candidate") for k in contract.KINDS)
 )
-_PASSED = """, v AS (SELECT page_id, 0 AS ordinal, omitted + against = 0 AS passed FROM ct
-  UNION ALL SELECT page_id, 1, containment >= 0.95 AND gross = 0 AND minor <= minor_allowed AND misplaced = 0 FROM tg
-  UNION ALL SELECT page_id, 2, count(*) = count(cand_pos) AND any_value(tau) >= 1 FROM ps JOIN kd USING (page_id) GROUP BY page_id
-  UNION ALL SELECT np.page_id, 3, missing_notes = 0 AND mistyped_notes = 0 AND d = 0 FROM np JOIN (SELECT page_id, count(*) FILTER (state IN ('missing', 'under', 'duplicated')) AS d FROM st GROUP BY page_id) USING (page_id)
-  UNION ALL SELECT page_id, 4, sum(fp) + sum(fn) = 0 FROM tc GROUP BY page_id)
-"""
 _ORACLES |= {
     scorecard_contract: f"SELECT page_id, {_COUNTS}, omitted + against = 0 AS passed FROM ct",
-    scorecard_results: _PASSED + "SELECT CAST(page_id AS VARCHAR) AS page_id, ['structural-contract', 'text-fidelity', 'reading-order', 'footnote-anchor', 'structure-typing'][ordinal + 1] AS checker, CAST(ordinal AS INTEGER) AS ordinal, 'hard' AS severity, passed, false AS crashed FROM v",
-    scorecard_summary: _PASSED + "SELECT CAST(page_id AS VARCHAR) AS page_id, count(*) AS total, count(*) FILTER (passed) AS passed_checks, count(*) FILTER (NOT passed) AS hard_failures, CAST(0 AS BIGINT) AS soft_failures, CAST(0 AS BIGINT) AS crashed_checks, bool_and(passed) AS passed, CAST(NOT bool_and(passed) AS INTEGER) AS exit_code FROM v GROUP BY page_id",
+    scorecard_results: _DOCUMENTS + "SELECT CAST(page_id AS VARCHAR) AS page_id, checker, CAST(ordinal AS INTEGER) AS ordinal, 'hard' AS severity, passed, crashed, detail FROM vd",
+    scorecard_summary: _DOCUMENTS + "SELECT CAST(page_id AS VARCHAR) AS page_id, count(*) AS total, count(*) FILTER (passed) AS passed_checks, count(*) FILTER (NOT passed) AS hard_failures, CAST(0 AS BIGINT) AS soft_failures, count(*) FILTER (crashed) AS crashed_checks, bool_and(passed) AS passed, CAST(NOT bool_and(passed) AS INTEGER) AS exit_code FROM vd GROUP BY page_id",
+    crash_isolation: _DOCUMENTS + """, er AS (SELECT page_id, CASE WHEN page_id % 19 = 4 THEN 'NotFinite' WHEN page_id IN (SELECT page_id FROM gone) THEN 'MissingCandidate' WHEN page_id % 13 = 2 THEN 'JSONDecodeError' WHEN page_id % 17 = 3 THEN 'RepeatedKey' END AS error FROM (SELECT DISTINCT page_id FROM gn))
+        SELECT page_id, checker, 'hard' AS severity, passed AND error IS NULL AS passed, error IS NOT NULL AS crashed, error FROM vd JOIN er USING (page_id)""",
 }
 
 
-
 def _shown(number: str) -> str:
     """SQL: a double as JSON has it, whole ones without a point."""
     return f"CASE WHEN {number} = floor({number}) THEN CAST(CAST({number} AS BIGINT) AS VARCHAR) ELSE CAST({number} AS VARCHAR) END"
 
 
-def _object(fields: dict[str, str], more: str = "''") -> str:
-    """SQL: a JSON object of keys in order of their names, and what `more` adds at its end."""
-    return "concat('{', " + ", ',', ".join(f"""'"{k}":', {fields[k]}""" for k in sorted(fields)) + f", {more}, '}}')"
+def _object(fields: dict[str, str]) -> str:
+    """SQL: a JSON object of keys in order of their names; a null value leaves its key out."""
+    return "concat('{', concat_ws(',', " + ", ".join(f"""'"{k}":' || {fields[k]}""" for k in sorted(fields)) + "), '}')"
 
 
 def _same(*names: str) -> dict[str, str]:
-    return {name: name for name in names}
+    return {name: f"CAST({name} AS VARCHAR)" for name in names}
 
 
 _SOME = {"candidate_order_omits_regions": "omitted", "candidate_order_breaks_block_structure": "CAST(sign(omitted) AS BIGINT)", "candidate_order_contradicts_indices": "against"}
-_FIDELITY = _same("cand_ngrams", "contained", "excess", "gross", "gt_ngrams", "minor", "minor_allowed", "misplaced", "n", "regions_scored") | {k: _shown(k) for k in ("containment", "precision_")} | {"reward_ready": "'false'"}
-_WORST = f"CASE WHEN worst_retention IS NULL THEN '' ELSE concat(',\"worst_retention\":', {_shown('worst_retention')}) END"
+_FIDELITY = _same("contained", "gt_ngrams", "n", "regions_scored") | {
+    "containment": _shown("containment"), "excess_ngrams": "CAST(excess AS VARCHAR)", "gross_region_defects": "CAST(gross AS VARCHAR)", "gross_region_retention": "'0.6'", "min_containment": "'0.95'", "min_region_retention": "'0.95'",
+    "minor_region_defects": "CAST(minor AS VARCHAR)", "minor_region_defects_allowed": "CAST(minor_allowed AS VARCHAR)", "misplaced_regions": "CAST(misplaced AS VARCHAR)", "precision": _shown("precision_"),
+    "region_defects": "CAST(gross + minor AS VARCHAR)", "reward_block_reason": "'\"the region-defect aggregate is not weighted by magnitude\"'", "reward_ready": "'false'", "worst_region_retention": _shown("worst_retention"),
+}
 _NOTES = _same("gt_notes", "notes_matched", "missing_notes", "mistyped_notes", "gt_spans", "spans_preserved", "span_defects", "spans_skipped")
-_JSON = f""", ln AS (SELECT page_id, pos, cand_pos, 1 AS len FROM ps WHERE cand_pos IS NOT NULL UNION ALL SELECT p.page_id, p.pos, p.cand_pos, l.len + 1 FROM ln l JOIN ps p ON p.page_id = l.page_id AND p.pos > l.pos AND p.cand_pos > l.cand_pos),
-  od AS (SELECT page_id, n_shared, missing, CAST(n_shared AS DOUBLE) / CAST(n_shared + missing AS DOUBLE) AS coverage, tau, CASE WHEN n_shared = 0 THEN 1.0::DOUBLE ELSE CAST(lis AS DOUBLE) / CAST(n_shared AS DOUBLE) END AS lis_ratio
-    FROM (SELECT page_id, count(cand_pos) AS n_shared, count(*) - count(cand_pos) AS missing FROM ps GROUP BY page_id) JOIN kd USING (page_id) LEFT JOIN (SELECT page_id, max(len) AS lis FROM ln GROUP BY page_id) USING (page_id)),
-  sc AS (SELECT page_id, count(*) FILTER (state <> 'skipped') AS gt_spans, count(*) FILTER (state = 'preserved') AS spans_preserved, count(*) FILTER (state IN ('missing', 'under', 'duplicated')) AS span_defects, count(*) FILTER (state = 'skipped') AS spans_skipped FROM st GROUP BY page_id),
-  ty AS (SELECT page_id, CAST(sum(fp) AS BIGINT) AS false_positives, CAST(sum(fn) AS BIGINT) AS false_negatives, CAST(sum(fp) + sum(fn) AS BIGINT) AS type_errors,
-    CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) = 0 THEN 0.0::DOUBLE ELSE CAST(2 * sum(tp) AS DOUBLE) / CAST(2 * sum(tp) + sum(fp) + sum(fn) AS DOUBLE) END AS micro_f1,
-    round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END), 12) AS macro_f1 FROM tc GROUP BY page_id),
-  js AS (SELECT page_id, 0 AS ordinal, {_object({f"{side}_{k}": _SOME.get(f"{side}_{k}", "0") for side in ("gt", "candidate") for k in contract.KINDS})} AS metrics FROM ct
-    UNION ALL SELECT page_id, 1, {_object(_FIDELITY, _WORST)} FROM tg
-    UNION ALL SELECT page_id, 2, {_object(_same("missing", "n_shared") | {k: _shown(k) for k in ("coverage", "tau", "lis_ratio")})} FROM od
-    UNION ALL SELECT page_id, 3, {_object(_NOTES)} FROM np JOIN sc USING (page_id)
-    UNION ALL SELECT page_id, 4, {_object(_same("false_positives", "false_negatives", "type_errors") | {"micro_f1": _shown("micro_f1"), "macro_f1": _shown("macro_f1")})} FROM ty)
+_ORDER = _same("missing", "n_shared") | {k: _shown(k) for k in ("coverage", "lis_ratio")} | {"kendall_tau": _shown("tau"), "gt_order_signal": "'\"indices\"'", "order_signal": "CASE WHEN page_id % 5 = 0 THEN '\"declared\"' ELSE '\"indices\"' END"}
+_TYPES = _same("false_positives", "false_negatives", "type_errors") | {k: _shown(f"round({k}, 4)") for k in ("micro_f1", "macro_f1", "body_f1", "footnote_f1", "heading_f1")}
+_JSON = f""", ln AS (SELECT page_id, pos, cand_pos, 1 AS len FROM pd WHERE cand_pos IS NOT NULL UNION ALL SELECT p.page_id, p.pos, p.cand_pos, l.len + 1 FROM ln l JOIN pd p ON p.page_id = l.page_id AND p.pos > l.pos AND p.cand_pos > l.cand_pos),
+  od AS (SELECT tq.*, CASE WHEN n_shared = 0 THEN 1.0::DOUBLE ELSE CAST(lis AS DOUBLE) / CAST(n_shared AS DOUBLE) END AS lis_ratio FROM tq LEFT JOIN (SELECT page_id, max(len) AS lis FROM ln GROUP BY page_id) USING (page_id)),
+  js AS (SELECT page_id, 0 AS ordinal, {_object({f"{side}_{k}": f"CAST({_SOME.get(f'{side}_{k}', '0')} AS VARCHAR)" for side in ("gt", "candidate") for k in contract.KINDS})} AS metrics FROM ct
+    UNION ALL SELECT page_id, 1, {_object(_FIDELITY)} FROM tg
+    UNION ALL SELECT page_id, 2, {_object(_ORDER)} FROM od
+    UNION ALL SELECT page_id, 3, {_object(_NOTES)} FROM nx
+    UNION ALL SELECT page_id, 4, {_object(_TYPES)} FROM ty)
 """
-_ORACLES[scorecard_json] = _PASSED + _JSON + """SELECT CAST(page_id AS VARCHAR) AS page_id, concat('{"passed":', bool_and(passed), ',"exit_code":', CAST(NOT bool_and(passed) AS INTEGER),
-    ',"summary":{"total":', count(*), ',"passed":', count(*) FILTER (passed), ',"hard_failures":', count(*) FILTER (NOT passed), ',"soft_failures":0,"crashed":0},"results":[',
-    string_agg(concat('{"id":"', ['structural-contract', 'text-fidelity', 'reading-order', 'footnote-anchor', 'structure-typing'][ordinal + 1], '","passed":', passed, ',"severity":"hard","crashed":false,"metrics":"', replace(metrics, '"', chr(92) || '"'), '"}'), ',' ORDER BY ordinal),
-    ']}') AS scorecard FROM v JOIN js USING (page_id, ordinal) GROUP BY page_id"""
+_ORACLES[scorecard_json] = _DOCUMENTS + _JSON + """SELECT CAST(page_id AS VARCHAR) AS page_id, concat('{"passed":', bool_and(passed), ',"exit_code":', CAST(NOT bool_and(passed) AS INTEGER),
+    ',"summary":{"total":', count(*), ',"passed":', count(*) FILTER (passed), ',"hard_failures":', count(*) FILTER (NOT passed), ',"soft_failures":0,"crashed":', count(*) FILTER (crashed), '},"results":[',
+    string_agg(concat('{"id":"', checker, '","passed":', passed, ',"severity":"hard","detail":"', detail, '","metrics":', CASE WHEN crashed THEN '{"crashed":true,"error":"MissingCandidate"}' ELSE metrics END, '}'), ',' ORDER BY ordinal),
+    ']}') AS scorecard FROM vd JOIN js USING (page_id, ordinal) GROUP BY page_id"""
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ORACLES}
 ORACLES: dict[str, str] = {f.__name__: f"WITH RECURSIVE {SQL}{sql if sql.startswith(',') else chr(10) + sql}" for f, sql in _ORACLES.items()}

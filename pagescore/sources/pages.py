@@ -11,14 +11,53 @@ from pyspark.sql import functions as F
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, doc variant): one JSON object a file; page_id is the file's name without extension.
+    """parse_pages of files: one JSON object a file; page_id is the file's name without extension."""
+    files = spark.read.format("binaryFile").load(path)  # also those that are empty or no UTF-8, whose value is null
+    return parse_pages(files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("page_id"), F.try_validate_utf8(F.col("content").cast("string")).alias("value")))
 
-    A file whose root is no object, or that holds no JSON that Spark's parser takes (NaN, repeated keys), fails the query.
+
+class RepeatedKey(ValueError):
+    """An object has a key twice."""
+
+
+class NotFinite(ValueError):
+    """NaN or Infinity, which are no JSON."""
+
+
+class NotAnObject(ValueError):
+    """The root is something else."""
+
+
+def page_error(text: str | None) -> str:
+    """The name of what keeps a text from being a page: of the exception that a strict reader raises."""
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise RepeatedKey
+        return dict(pairs)
+
+    def finite(name: str) -> float:
+        raise NotFinite(name)
+
+    try:
+        if not isinstance(json.loads(text or "", object_pairs_hook=once, parse_constant=finite), dict):
+            raise NotAnObject
+    except (ValueError, RecursionError) as raised:
+        return type(raised).__name__
+    return "Unreadable"  # the strict reader takes it, but Spark's parser doesn't: nested too deep, or too long
+
+
+def parse_pages(raw: DataFrame) -> DataFrame:
+    """(page_id, doc variant, error string) of raw (page_id, value string).
+
+    A value that is no JSON object has no doc, and the name of what is wrong as its error; all others have a null error.
+    NaN and repeated keys are no JSON. Only faulty values are read again to name their error.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("page_id"), "value")
-    parsed = raw.withColumn("doc", F.try_parse_json("value"))
+    parsed = raw.select("page_id", "value", F.try_parse_json("value").alias("doc"))
     sound = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
-    return parsed.select("page_id", F.when(sound, F.col("doc")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), "page_id")).cast("variant")).alias("doc"))
+    named = F.pandas_udf(lambda texts: texts.map(lambda t: None if t == "" else page_error(t[1:])), "string")
+    fault = named(F.when(sound, F.lit("")).otherwise(F.concat(F.lit(">"), F.coalesce("value", F.lit("")))))
+    return parsed.select("page_id", F.when(sound, F.col("doc")).alias("doc"), fault.alias("error"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -92,7 +92,8 @@ def test_changes_trip_one_check_each(spark):
     assert told["same"]["exit_code"] == 0 and told["order"]["exit_code"] == 1 and told["order"]["hard_failures"] == 1
     card = json.loads(scorecard.as_json(results).where("page_id = 'blank'").first()["scorecard"])
     assert card["summary"]["passed"] == 4 and [r["id"] for r in card["results"]] == list(scorecard.SUITE)
-    assert "4/5 passed" in scorecard.render(results, "blank")
+    assert set(card["results"][0]) == {"id", "passed", "severity", "detail", "metrics"} and card["results"][1]["metrics"]["gross"] == 1
+    assert "4/5 passed, 1 hard and 0 soft failures, exit 1" in scorecard.render(results, "blank")
 
 
 def test_flatten_and_order(spark):
@@ -199,8 +200,15 @@ def test_sources(spark, tmp_path):
     assert regions.flatten(read_pages(spark, str(tmp_path / "pages"))).count() == 4
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "p2.json").write_text("[1]")
-    with pytest.raises(Exception, match="not a JSON object"):
-        read_pages(spark, str(tmp_path / "bad")).collect()
+    (tmp_path / "bad" / "p3.json").write_text('{"a": 1, "a": 2}')
+    (tmp_path / "bad" / "p4.json").write_text('{"a": NaN}')
+    (tmp_path / "bad" / "p5.json").write_text('{"a": ')
+    (tmp_path / "bad" / "p6.json").write_text("")
+    (tmp_path / "bad" / "p7.json").write_text('{"a":' * 5000 + "1" + "}" * 5000)
+    (tmp_path / "bad" / "p8.json").write_text("{}")
+    got = {r["page_id"]: (r["doc"] is None, r["error"]) for r in read_pages(spark, str(tmp_path / "bad")).collect()}
+    assert got.pop("p7") in ((True, "RecursionError"), (True, "Unreadable"))
+    assert got == {"p2": (True, "NotAnObject"), "p3": (True, "RepeatedKey"), "p4": (True, "NotFinite"), "p5": (True, "JSONDecodeError"), "p6": (True, "JSONDecodeError"), "p8": (False, None)}
     (tmp_path / "log.jsonl").write_text('{"event":"a"}\n\n{oops\n')
     assert sorted((r["line"], r["event"] is None) for r in read_log(spark, str(tmp_path / "log.jsonl")).collect()) == [(1, False), (3, True)]
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # many splits of one file
