@@ -1,12 +1,12 @@
 """Ground-truth and candidate regions made from the table conversations, the same in Spark and in DuckDB.
 
 A conversation is a page and a turn a region; the candidate drops, relabels, blanks, garbles, renames, reorders and
-shifts regions by rules on conv_id * 31 + turn.
+shifts regions by rules on conv_id * 31 + turn, and on every ninth page neighbours have each other's text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagescore.operators.regions import block_type, is_note
@@ -28,7 +28,10 @@ def typed(rows: DataFrame) -> DataFrame:
 
 
 def cand_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = gt_regions(spark, sf_dir).withColumn("k", F.col("page_id") * 31 + F.col("turn")).where("k % 11 <> 0")
+    near = Window.partitionBy("page_id").orderBy("turn")
+    other = F.when((F.col("turn") % 2 == 0) & (F.lead("turn").over(near) == F.col("turn") + 1), F.lead("text").over(near)).when((F.col("turn") % 2 == 1) & (F.lag("turn").over(near) == F.col("turn") - 1), F.lag("text").over(near))
+    mixed = gt_regions(spark, sf_dir).withColumn("text", F.when(F.col("page_id") % 9 == 4, F.coalesce(other, "text")).otherwise(F.col("text")))
+    rows = mixed.withColumn("k", F.col("page_id") * 31 + F.col("turn")).where("k % 11 <> 0")
     swapped = F.when(F.col("label") == "text_block", "note_area").when(F.col("label") == "note_area", "text_block").otherwise(F.col("label"))
     text = F.when(F.col("k") % 17 == 0, "").when(F.col("k") % 13 == 0, F.translate("text", "e", "x")).otherwise(F.col("text"))
     changed = rows.select(
@@ -77,7 +80,7 @@ SQL = r"""
 turns AS (SELECT conv_id, turn, role, text FROM conversations),
 gt AS (SELECT conv_id AS page_id, 'r' || turn AS region_id, CASE role WHEN 'system' THEN 'section_header' WHEN 'user' THEN 'text_block' ELSE 'note_area' END AS label, text, turn AS idx,
   0.1::DOUBLE AS x0, turn * 0.5::DOUBLE AS y0, 0.9::DOUBLE AS x1, turn * 0.5::DOUBLE + 1.0::DOUBLE AS y1, turn FROM turns),
-ck AS (SELECT *, page_id * 31 + turn AS k FROM gt),
+ck AS (SELECT * REPLACE (CASE WHEN page_id % 9 = 4 THEN coalesce(CASE WHEN turn % 2 = 0 AND lead(turn) OVER o = turn + 1 THEN lead(text) OVER o WHEN turn % 2 = 1 AND lag(turn) OVER o = turn - 1 THEN lag(text) OVER o END, text) ELSE text END AS text), page_id * 31 + turn AS k FROM gt WINDOW o AS (PARTITION BY page_id ORDER BY turn)),
 cd AS (SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'c' || turn ELSE region_id END AS region_id,
   CASE WHEN k % 7 = 0 AND label = 'text_block' THEN 'note_area' WHEN k % 7 = 0 AND label = 'note_area' THEN 'text_block' ELSE label END AS label,
   CASE WHEN k % 17 = 0 THEN '' WHEN k % 13 = 0 THEN replace(text, 'e', 'x') ELSE text END AS text, CASE WHEN page_id % 5 = 0 THEN -turn ELSE turn END AS idx,
