@@ -76,7 +76,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
-def _lcs(a: str, b: str) -> int:
+def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of bits a step."""
     at: dict[str, int] = {}
     for k, c in enumerate(a):
@@ -97,7 +97,7 @@ def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
             return None
         if a == b:
             return 1.0
-        return 2 * _lcs(a, b) / (len(a) + len(b))
+        return 2 * lcs(a, b) / (len(a) + len(b))
 
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 

@@ -61,11 +61,18 @@ def overlapping(g: np.ndarray, c: np.ndarray, min_iou: float = MIN_IOU, most: in
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3)) if found else none
 
 
-def viable_pairs(gt: DataFrame, cand: DataFrame, matched: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
-    """Pass 2: (page_id, gt_id, cand_id, iou) of boxes left over on both sides that overlap by min_iou or more.
+def _boxed_pages(gt: DataFrame, cand: DataFrame, matched: DataFrame) -> DataFrame:
+    """(page_id, g, c): the boxes that are left over on both sides, as two arrays a page."""
+    left = gt.where("x0 is not null").join(matched.select("page_id", F.col("gt_id").alias("region_id")), ["page_id", "region_id"], "left_anti")
+    right = cand.where("x0 is not null").join(matched.select("page_id", F.col("cand_id").alias("region_id")), ["page_id", "region_id"], "left_anti")
+    box = F.struct("region_id", *[F.col(c).cast("double").alias(c) for c in _BOX])
+    both = left.select("page_id", box.alias("box"), F.lit(True).alias("own")).unionByName(right.select("page_id", box.alias("box"), F.lit(False).alias("own")))
+    pages = both.groupBy("page_id").agg(F.collect_list(F.when(F.col("own"), F.col("box"))).alias("g"), F.collect_list(F.when(~F.col("own"), F.col("box"))).alias("c"))
+    return pages.where("size(g) > 0 and size(c) > 0")
 
-    The boxes of a page meet as two arrays; pages go through one Arrow pass, a sweep each.
-    """
+
+def _swept(gt: DataFrame, cand: DataFrame, matched: DataFrame, min_iou: float, settled: bool) -> DataFrame:
+    """(page_id, gt_id, cand_id, iou) of overlapping boxes in one Arrow pass over pages; settled: each id once, as assign has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,17 +83,30 @@ def viable_pairs(gt: DataFrame, cand: DataFrame, matched: DataFrame, min_iou: fl
                     ids.append(rows.field("region_id"))
                     boxes.append(np.stack([rows.field(name).to_numpy() for name in _BOX], axis=1))
                 i, j, value = overlapping(*boxes, min_iou)
-                if len(i):
-                    page = batch.column("page_id").take(pa.array(np.full(len(i), k)))
-                    yield pa.RecordBatch.from_arrays([page, ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(value)], names=["page_id", "gt_id", "cand_id", "iou"])
+                if not len(i):
+                    continue
+                own, other = ids[0].take(pa.array(i)), ids[1].take(pa.array(j))
+                if settled and max(np.bincount(i).max(), np.bincount(j).max()) > 1:
+                    found = assign(pd.DataFrame({"page_id": 0, "gt_id": own.to_pylist(), "cand_id": other.to_pylist(), "iou": value}))
+                    own, other, value = (pa.array(found[c], t) for c, t in (("gt_id", own.type), ("cand_id", other.type), ("iou", pa.float64())))
+                page = batch.column("page_id").take(pa.array(np.full(len(own), k)))
+                yield pa.RecordBatch.from_arrays([page, own, other, pa.array(value)], names=["page_id", "gt_id", "cand_id", "iou"])
 
-    left = gt.where("x0 is not null").join(matched.select("page_id", F.col("gt_id").alias("region_id")), ["page_id", "region_id"], "left_anti")
-    right = cand.where("x0 is not null").join(matched.select("page_id", F.col("cand_id").alias("region_id")), ["page_id", "region_id"], "left_anti")
-    box = F.struct("region_id", *[F.col(c).cast("double").alias(c) for c in _BOX])
-    both = left.select("page_id", box.alias("box"), F.lit(True).alias("own")).unionByName(right.select("page_id", box.alias("box"), F.lit(False).alias("own")))
-    pages = both.groupBy("page_id").agg(F.collect_list(F.when(F.col("own"), F.col("box"))).alias("g"), F.collect_list(F.when(~F.col("own"), F.col("box"))).alias("c"))
     kind = {name: gt.schema[name].dataType.simpleString() for name in ("page_id", "region_id")}
-    return pages.where("size(g) > 0 and size(c) > 0").mapInArrow(run, f"page_id {kind['page_id']}, gt_id {kind['region_id']}, cand_id {kind['region_id']}, iou double")
+    return _boxed_pages(gt, cand, matched).mapInArrow(run, f"page_id {kind['page_id']}, gt_id {kind['region_id']}, cand_id {kind['region_id']}, iou double")
+
+
+def viable_pairs(gt: DataFrame, cand: DataFrame, matched: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
+    """(page_id, gt_id, cand_id, iou) of boxes left over on both sides that overlap by min_iou or more."""
+    return _swept(gt, cand, matched, min_iou, settled=False)
+
+
+def overlap_matches(gt: DataFrame, cand: DataFrame, matched: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
+    """Pass 2: a one-to-one choice (page_id, gt_id, cand_id, iou) among viable_pairs.
+
+    The sweep and the choice are one pass over a page's boxes; where no box has two partners, the pairs are the choice.
+    """
+    return _swept(gt, cand, matched, min_iou, settled=True)
 
 
 def best_assignment(profit: np.ndarray) -> np.ndarray:
@@ -234,17 +254,6 @@ def assign(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"page_id": [pairs["page_id"].iloc[0]] * len(found), "gt_id": [f[0] for f in found], "cand_id": [f[1] for f in found], "iou": [f[2] for f in found]})
 
 
-def resolve(pairs: DataFrame) -> DataFrame:
-    """A one-to-one choice among viable pairs. Pairs that share no region with another are taken as they are; only pages
-    where some are contended go to the assignment, a page a group."""
-    g = pairs.groupBy("page_id", "gt_id").agg(F.count(F.lit(1)).alias("_g"))
-    c = pairs.groupBy("page_id", "cand_id").agg(F.count(F.lit(1)).alias("_c"))
-    counted = pairs.join(g, ["page_id", "gt_id"]).join(c, ["page_id", "cand_id"])
-    free = counted.where("_g = 1 and _c = 1").select("page_id", "gt_id", "cand_id", "iou")
-    contended = counted.where("_g > 1 or _c > 1").select("page_id", "gt_id", "cand_id", "iou")
-    return free.unionByName(contended.groupBy("page_id").applyInPandas(assign, pairs.select("page_id", "gt_id", "cand_id", "iou").schema))
-
-
 def align(gt: DataFrame, cand: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
     """(page_id, gt_id, cand_id, pass): each named ground-truth region with its counterpart, null if it has none.
 
@@ -252,6 +261,6 @@ def align(gt: DataFrame, cand: DataFrame, min_iou: float = MIN_IOU) -> DataFrame
     """
     gt, cand = gt.where("region_id <> ''"), cand.where("region_id <> ''")
     same = id_matches(gt, cand)
-    boxes = resolve(viable_pairs(gt, cand, same, min_iou))
+    boxes = overlap_matches(gt, cand, same, min_iou)
     found = same.withColumn("pass", F.lit(1)).unionByName(boxes.select("page_id", "gt_id", "cand_id", F.lit(2).alias("pass")))
     return gt.select("page_id", F.col("region_id").alias("gt_id")).join(found, ["page_id", "gt_id"], "left")

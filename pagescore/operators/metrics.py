@@ -39,20 +39,22 @@ def micro_macro(by_type: DataFrame, by: list[str]) -> DataFrame:
 
 
 def error_counts(matches: DataFrame, by: list[str]) -> DataFrame:
-    """(by, error, n): the error keys of partial matches, and missed_<reason>, spurious_<reason>."""
+    """(by, error, n, first_seen): the error keys of partial matches, and missed_<reason>, spurious_<reason>. first_seen is where
+    one comes first, in the order of documents and of their matches (matching.match_elements)."""
     reason = F.coalesce(F.try_element_at("error_details", F.lit("reason")), F.lit("unknown"))
     keys = (
         F.when(F.col("match_type") == "partial", F.map_keys(F.coalesce("error_details", F.create_map().cast("map<string,string>"))))
         .when(F.col("match_type").isin("missed", "spurious"), F.array(F.concat_ws("_", "match_type", reason)))
     )
-    return matches.select(*by, F.explode(keys).alias("error")).groupBy(*by, "error").agg(F.count(F.lit(1)).alias("n"))
+    each = matches.select(*by, "doc_id", "phase", "pos", F.posexplode(keys).alias("place", "error"))
+    return each.groupBy(*by, "error").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "phase", "pos", "place")).alias("first_seen"))
 
 
-def top_errors(errors: DataFrame, k: int, first_seen: str = "error") -> DataFrame:
-    """The k most frequent errors over all types; ties by `first_seen`."""
-    order = ["error"] if first_seen == "error" else [first_seen, "error"]
-    total = errors.groupBy("error").agg(F.sum("n").alias("n"), *([F.min(first_seen).alias(first_seen)] if first_seen != "error" else []))
-    return total.orderBy(F.desc("n"), *order).limit(k).select("error", "n")
+def top_errors(errors: DataFrame, k: int, by: str = "element_type") -> DataFrame:
+    """The k most frequent errors over all types, from error_counts by type. Ties go to what was seen first: types by name, and
+    within a type by first_seen."""
+    total = errors.groupBy("error").agg(F.sum("n").alias("n"), F.min(F.struct(by, "first_seen")).alias("_seen"))
+    return total.orderBy(F.desc("n"), "_seen").limit(k).select("error", "n")
 
 
 def baseline_delta(now: DataFrame, baseline: DataFrame, by: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
@@ -65,17 +67,25 @@ def page_check(pages: DataFrame, check: Callable[[dict, dict], tuple[bool, str,
     return texts.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, passed boolean, detail string, error string, own string").withColumn("own", F.parse_json("own"))
 
 
-def run_suite(checkers: Sequence[Checker], pages: DataFrame) -> DataFrame:
+def run_suite(checkers: Sequence[Checker], pages: DataFrame, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """RESULT rows of all checkers for every page, in suite order. pages: page_id, and error, the name of what is wrong with
     a page's documents, if there is such a column.
 
     A page that a check has no row for, or whose verdict is null, fails it hard as crashed, with the error that the check or
-    else the page has ("NoVerdict" if neither). The checks are one union, which meets the pages in one join.
+    else the page has ("NoVerdict" if neither). The checks are one union, which meets the pages in one join. store: writes
+    the verdicts of a check and reads them back; each check is then planned and run by a thread of its own.
     """
-    own = None
-    for ordinal, checker in enumerate(checkers):
-        part = verdicts(checker.run(), checker.name, ordinal, checker.severity)
-        own = part if own is None else own.unionByName(part)
+
+    def part(place: tuple[int, Checker]) -> DataFrame:
+        rows = verdicts(place[1].run(), place[1].name, place[0], place[1].severity)
+        return store(rows, place[1].name) if store else rows
+
+    if store:
+        with ThreadPoolExecutor(len(checkers)) as threads:
+            parts = list(threads.map(part, enumerate(checkers)))
+    else:
+        parts = list(map(part, enumerate(checkers)))
+    own = reduce(DataFrame.unionByName, parts)
     error = F.col("error").cast("string") if "error" in pages.columns else F.lit(None).cast("string")
     names = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(c.name).alias("checker")) for k, c in enumerate(checkers)])
     every = pages.select(F.col("page_id").cast("string").alias("page_id"), error.alias("_error"), F.inline(names))

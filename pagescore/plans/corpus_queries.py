@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagescore.functions.geometry import ratio
 from pagescore.functions.text import collapse, ngrams, normalize, tokens
 from pagescore.operators import contract, eventlog, matching, metrics, regions
-from pagescore.operators.alignment import resolve, viable_pairs
+from pagescore.operators.alignment import overlap_matches
 from pagescore.streaming.scorecards import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,8 @@ def baseline_delta(spark, sf_dir):
 
 
 def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Elements made from conversations: a document of each, whole turns; predictions lose, change, shift and add some."""
+    """Elements made from conversations: a document of each, whole turns; predictions lose some, and change the text, place or
+    kind of others."""
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", collapse(F.col("text")).alias("text"))
     base = turns.select(
         "doc_id", F.col("role").alias("element_type"), F.col("turn").cast("int").alias("pos"), F.concat(F.lit("e"), F.col("turn").cast("string")).alias("element_id"),
@@ -74,27 +75,46 @@ def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     gt = base.drop("k")
     pred = base.where("k % 9 <> 0").select(
         "doc_id", "element_type", "pos", "element_id", "pages", F.when(F.col("k") % 4 == 0, F.translate("text", "eo", "xy")).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("k") % 5 == 0, F.col("char_offset") + 10).otherwise(F.col("char_offset")).alias("char_offset"), "attributes",
+        F.when(F.col("k") % 5 == 0, F.col("char_offset") + 10).otherwise(F.col("char_offset")).alias("char_offset"),
+        F.create_map(F.lit("kind"), F.concat(F.lit('"'), F.when(F.col("k") % 14 == 10, "zz").when(F.col("k") % 7 == 3, F.concat("element_type", F.lit("s"))).otherwise(F.col("element_type")), F.lit('"'))).alias("attributes"),
     )
     return gt, pred
 
 
 def element_matches(spark, sf_dir):
-    """Matches without their floats' last digits. SQL cannot tell the similarity of texts here: a rows-only query."""
+    """Matches without their floats' last digits."""
     out = matching.match_elements(*elements(spark, sf_dir))
     return out.select("doc_id", "element_type", "gt_id", "pred_id", "match_type", F.round("score", 9).alias("score"), F.to_json("error_details").alias("error_details"))
 
 
+def element_scores(spark, sf_dir):
+    """All pairs of elements that share a page, with their similarities."""
+    out = matching.scored_pairs(*elements(spark, sf_dir))
+    return out.select("doc_id", "element_type", F.col("g_element_id").alias("gt_id"), F.col("p_element_id").alias("pred_id"), *[F.round(c, 9).alias(c) for c in ("position_similarity", "text_similarity", "attribute_similarity", "score")])
+
+
+def element_greedy_match(spark, sf_dir):
+    """The greedy choice among them."""
+    out = matching.best_matches(*elements(spark, sf_dir))
+    return out.select("doc_id", "element_type", "g_pos", "p_pos", F.round("score", 9).alias("score"))
+
+
 def match_metrics(spark, sf_dir):
-    return metrics.match_metrics(matching.match_elements(*elements(spark, sf_dir)), ["element_type"])
+    out = metrics.match_metrics(matching.match_elements(*elements(spark, sf_dir)), ["element_type"])
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_text_similarity", "mean_position_similarity")})
 
 
-def match_error_counts(spark, sf_dir):
+def _match_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.error_counts(matching.match_elements(*elements(spark, sf_dir)), ["element_type"])
 
 
+def match_error_counts(spark, sf_dir):
+    return _match_errors(spark, sf_dir).select("element_type", "error", "n")
+
+
 def match_top_errors(spark, sf_dir):
-    return metrics.top_errors(match_error_counts(spark, sf_dir), 5)
+    """The five most frequent, ties by what comes first."""
+    return metrics.top_errors(_match_errors(spark, sf_dir), 5)
 
 
 def exact_strategy_matches(spark, sf_dir):
@@ -103,20 +123,50 @@ def exact_strategy_matches(spark, sf_dir):
     return out.groupBy("match_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EXACT = """
-WITH RECURSIVE t AS (SELECT conv_id AS doc_id, turn, role, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') AS text, conv_id * 31 + turn AS k FROM conversations),
-p AS (SELECT doc_id, turn, role, CASE WHEN k % 4 = 0 THEN translate(text, 'eo', 'xy') ELSE text END AS text, turn * 40 + CASE WHEN k % 5 = 0 THEN 10 ELSE 0 END AS off FROM t WHERE k % 9 <> 0),
-s AS (SELECT t.doc_id, t.role, t.turn AS g, p.turn AS p, 0.3 * greatest(0.0, 1.0 - abs(t.turn * 40 - p.off) / 50.0) + 0.5 * CASE WHEN t.text = p.text THEN 1.0 ELSE 0.0 END + 0.2 AS score
-  FROM t JOIN p ON t.doc_id = p.doc_id AND t.role = p.role AND t.turn % 3 = p.turn % 3),
-f AS (SELECT * FROM s WHERE score >= 0.5),
+#: SQL: similarity of unequal texts. A row of the longest common subsequence as bits, in words of 60; a character of the other
+#: text a step.
+_LCS = """
+h AS (SELECT a, b, CAST(ceil(length(a) / 60.0) AS BIGINT) AS limbs FROM (SELECT DISTINCT t.text AS a, p.text AS b FROM t JOIN p ON t.doc_id = p.doc_id AND t.role = p.role AND t.turn % 3 = p.turn % 3 AND t.text <> p.text AND t.text <> '' AND p.text <> '')),
+hm AS (SELECT a, c, l, CAST(sum(1::UBIGINT << (i % 60)) AS UBIGINT) AS bits FROM (SELECT a, i, a[i + 1] AS c, i // 60 AS l FROM (SELECT a, unnest(range(CAST(length(a) AS BIGINT))) AS i FROM (SELECT DISTINCT a FROM h))) GROUP BY a, c, l),
+hc AS (SELECT a, c, map_from_entries(list((l, bits))) AS m FROM hm GROUP BY a, c),
+hs AS (SELECT a, b, any_value(limbs) AS limbs, list(CASE WHEN m IS NULL THEN list_transform(range(limbs), lambda l: 0::UBIGINT) ELSE list_transform(range(limbs), lambda l: coalesce(m[l], 0::UBIGINT)) END ORDER BY j) AS steps
+  FROM (SELECT h.a, h.b, limbs, j, m FROM (SELECT a, b, limbs, unnest(range(CAST(length(b) AS BIGINT))) AS j FROM h) h LEFT JOIN hc ON hc.a = h.a AND hc.c = h.b[j + 1]) GROUP BY a, b),
+hz AS (SELECT a, b, list_reduce(list_prepend(list_transform(range(limbs), lambda l: 1152921504606846975::UBIGINT), steps), lambda v, k:
+  list_reduce(list_prepend([0::UBIGINT], list_transform(range(len(v)), lambda l: [v[l + 1] & k[l + 1], v[l + 1] & xor(k[l + 1], 1152921504606846975::UBIGINT), v[l + 1]])),
+    lambda o, e: list_concat(o[:-2], [((e[3] + e[1] + o[-1]) & 1152921504606846975::UBIGINT) | e[2], (e[3] + e[1] + o[-1]) >> 60]))[:-2]) AS v FROM hs),
+q AS (SELECT a, b, 2.0::DOUBLE * CAST(list_sum(list_transform(v, lambda x: 60 - bit_count(x))) AS DOUBLE) / CAST(length(a) + length(b) AS DOUBLE) AS r FROM hz),
+"""
+
+
+def _elements_sql(fuzzy: bool) -> str:
+    """CTEs: t and p elements of both sides, s scored pairs, r the greedy choice step by step, m matches with their errors e."""
+    similarities = _LCS if fuzzy else "\nq AS (SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b, 0.0::DOUBLE AS r),\n"
+    return r"""
+WITH RECURSIVE t AS (SELECT conv_id AS doc_id, turn, role, array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') AS text, conv_id * 31 + turn AS k FROM conversations),
+p AS (SELECT doc_id, turn, role, CASE WHEN k % 4 = 0 THEN translate(text, 'eo', 'xy') ELSE text END AS text, turn * 40 + CASE WHEN k % 5 = 0 THEN 10 ELSE 0 END AS off,
+  CASE WHEN k % 14 = 10 THEN 'zz' WHEN k % 7 = 3 THEN role || 's' ELSE role END AS kind FROM t WHERE k % 9 <> 0),""" + similarities + """
+s0 AS (SELECT t.doc_id, t.role, t.turn AS g, p.turn AS p, greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(abs(t.turn * 40 - p.off) AS DOUBLE) / 50.0::DOUBLE) AS position_similarity,
+  CASE WHEN t.text = p.text THEN 1.0::DOUBLE WHEN t.text = '' OR p.text = '' THEN 0.0::DOUBLE ELSE coalesce(q.r, 0.0::DOUBLE) END AS text_similarity, CASE WHEN p.kind = t.role THEN 1.0::DOUBLE WHEN p.kind = 'zz' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS attribute_similarity,
+  t.text AS a, p.text AS b, p.off, p.kind FROM t JOIN p ON t.doc_id = p.doc_id AND t.role = p.role AND t.turn % 3 = p.turn % 3 LEFT JOIN q ON q.a = t.text AND q.b = p.text),
+s AS (SELECT *, 0.3::DOUBLE * position_similarity + 0.5::DOUBLE * text_similarity + 0.2::DOUBLE * attribute_similarity AS score FROM s0),
+f AS (SELECT * FROM s WHERE score >= 0.5 AND score > 0),
 o AS (SELECT doc_id, role, turn, row_number() OVER (PARTITION BY doc_id, role ORDER BY turn) AS n FROM t),
-r AS (SELECT doc_id, role, 0 AS n, []::BIGINT[] AS used, NULL::DOUBLE AS score FROM (SELECT DISTINCT doc_id, role FROM o)
-  UNION ALL SELECT r.doc_id, r.role, CAST(o.n AS INTEGER), CASE WHEN b.p IS NULL THEN r.used ELSE list_append(r.used, b.p) END, b.score
+r AS (SELECT doc_id, role, 0 AS n, []::BIGINT[] AS used, NULL::BIGINT AS g, NULL::BIGINT AS p FROM (SELECT DISTINCT doc_id, role FROM o)
+  UNION ALL SELECT r.doc_id, r.role, CAST(o.n AS INTEGER), CASE WHEN b.p IS NULL THEN r.used ELSE list_append(r.used, b.p) END, o.turn, b.p
   FROM r JOIN o ON o.doc_id = r.doc_id AND o.role = r.role AND o.n = r.n + 1
-  LEFT JOIN LATERAL (SELECT p, score FROM f WHERE f.doc_id = r.doc_id AND f.role = r.role AND f.g = o.turn AND NOT list_contains(r.used, f.p) ORDER BY score DESC, p LIMIT 1) b ON true),
-m AS (SELECT CASE WHEN score IS NULL THEN 'missed' WHEN score >= 0.95 THEN 'exact' ELSE 'partial' END AS match_type FROM r WHERE n > 0),
-x AS (SELECT (SELECT count(*) FROM p) - (SELECT count(*) FROM m WHERE match_type <> 'missed') AS n)
-SELECT match_type, count(*) AS n FROM m GROUP BY match_type UNION ALL SELECT 'spurious', n FROM x WHERE n > 0
+  LEFT JOIN LATERAL (SELECT p FROM f WHERE f.doc_id = r.doc_id AND f.role = r.role AND f.g = o.turn AND NOT list_contains(r.used, f.p) ORDER BY score DESC, p LIMIT 1) b ON true),
+c AS (SELECT r.doc_id, r.role, r.g, r.p, f.* EXCLUDE (doc_id, role, g, p) FROM r LEFT JOIN f ON f.doc_id = r.doc_id AND f.role = r.role AND f.g = r.g AND f.p = r.p WHERE r.n > 0),
+d AS (SELECT *, list_min(list_filter(range(CAST(least(length(a), length(b)) AS BIGINT)), lambda i: a[i + 1] <> b[i + 1])) AS first FROM c WHERE p IS NOT NULL AND score < 0.95),
+x AS (SELECT doc_id, role, g, p, list_filter([
+    CASE WHEN text_similarity < 0.95 AND length(a) <> length(b) THEN {'k': 'text_length_diff', 'v': CAST(length(b) - length(a) AS VARCHAR)} END, CASE WHEN text_similarity < 0.95 AND a <> b THEN {'k': 'text_mismatch', 'v': 'true'} END,
+    CASE WHEN text_similarity < 0.95 AND first IS NOT NULL THEN {'k': 'first_diff_pos', 'v': CAST(first AS VARCHAR)} END,
+    CASE WHEN text_similarity < 0.95 AND first IS NOT NULL THEN {'k': 'first_diff', 'v': 'expected ''' || a[first + 1] || ''', got ''' || b[first + 1] || ''''} END,
+    CASE WHEN g * 40 <> off THEN {'k': 'position_diff', 'v': CAST(off - g * 40 AS VARCHAR)} END,
+    CASE WHEN kind <> role THEN {'k': 'attribute_diffs', 'v': '{"kind":{"expected":"' || role || '","got":"' || kind || '"}}'} END], lambda e: e IS NOT NULL) AS e FROM d),
+m AS (SELECT c.doc_id, c.role, 0 AS phase, c.g AS pos, 'e' || c.g AS gt_id, 'e' || c.p AS pred_id, CASE WHEN c.p IS NULL THEN 'missed' WHEN score >= 0.95 THEN 'exact' ELSE 'partial' END AS match_type, coalesce(score, 0.0::DOUBLE) AS score, position_similarity, text_similarity,
+    CASE WHEN c.p IS NULL THEN [{'k': 'reason', 'v': 'not_found'}] WHEN len(x.e) > 0 THEN x.e END AS e FROM c LEFT JOIN x ON x.doc_id = c.doc_id AND x.role = c.role AND x.g = c.g
+  UNION ALL SELECT doc_id, role, 1, turn, NULL, 'e' || turn, 'spurious', 0.0::DOUBLE, NULL, NULL, [{'k': 'reason', 'v': 'false_positive'}] FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = p.doc_id AND c.role = p.role AND c.p = p.turn)),
+er AS (SELECT doc_id, role, phase, pos, i, CASE WHEN match_type = 'partial' THEN e[i].k ELSE match_type || '_' || e[i].v END AS error FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM m WHERE match_type <> 'exact'))
 """
 
 
@@ -268,13 +318,14 @@ UNION ALL SELECT p, 'array', 33, md5((SELECT string_agg('d' || i, ',' ORDER BY i
 
 
 def alignment_contended(spark, sf_dir):
-    """A chain of boxes that overlap their neighbours, a page of each source nation: how many pairs, and their overlap."""
-    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("page_id"))
-    row = nations.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    box = lambda side, shift: row.select("page_id", F.format_string(f"{side}%05d", "i").alias("region_id"), F.lit(0.1).alias("x0"), (F.col("i") * 0.2 + F.lit(shift)).alias("y0"), F.lit(0.9).alias("x1"), (F.col("i") * 0.2 + F.lit(1.0 + shift)).alias("y1"))
-    none = spark.createDataFrame([], "page_id string, gt_id string, cand_id string")
-    chosen = resolve(viable_pairs(box("g", 0.0), box("c", 0.05), none))
-    return chosen.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("iou"), 9).alias("overlap"))
+    """Stacks of five boxes on each side, a page of every five customers, whose boxes overlap several of the other side, so that
+    taking the greatest overlap first loses pairs: how many pairs, and their overlap."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k")).withColumn("page_id", F.floor(F.col("k") / 5)).withColumn("i", F.col("k") % 5)
+    box = lambda side, low, high: rows.select("page_id", F.concat(F.lit(side), F.col("i").cast("string")).alias("region_id"), F.lit(0.1).alias("x0"), low.alias("y0"), F.lit(0.9).alias("x1"), high.alias("y1"))
+    k, i = F.col("k"), F.col("i").cast("double")
+    low, other = i * 0.25 + (k * 37 % 20).cast("double") / 100.0, i * 0.25 + 0.1 + (k * 53 % 20).cast("double") / 100.0
+    matches = overlap_matches(box("g", low, low + 1.0), box("c", other, other + 0.8 + (k % 3).cast("double") * 0.1), spark.createDataFrame([], "page_id long, gt_id string, cand_id string"))
+    return matches.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("iou"), 9).alias("overlap"))
 
 
 def event_windows_batch(spark, sf_dir):
@@ -300,11 +351,28 @@ _ORACLES = {
         d AS (SELECT DISTINCT array_to_string(w[s:s + 2], ' ') AS gram FROM (SELECT w, unnest(generate_series(1, len(w) - 2)) AS s FROM (SELECT {_WORDS} AS w FROM documents)))
         SELECT item_id, count(*) AS n_grams, count(d.gram) AS n_seen, CAST(count(d.gram) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS containment FROM g LEFT JOIN d USING (gram) GROUP BY item_id""",
     label_prf_by_lang: _PRF + "SELECT *, CASE WHEN f1 >= 0.9 THEN 'good' WHEN f1 >= 0.7 THEN 'ok' ELSE 'bad' END AS status FROM f",
-    # of boxes that overlap several neighbours the one at the least distance is every box's own
-    alignment_contended: "SELECT CAST(n_nationkey AS VARCHAR) AS page_id, CAST(20 AS BIGINT) AS n, round(20 * (0.95::DOUBLE / 1.05::DOUBLE), 9) AS overlap FROM nation",
+    # every one-to-one choice of a page is made, a box of the ground truth a step
+    alignment_contended: """WITH RECURSIVE b AS (SELECT c_custkey // 5 AS page_id, c_custkey % 5 AS i, (c_custkey % 5) * 0.25::DOUBLE + (c_custkey * 37 % 20) / 100.0::DOUBLE AS y, (c_custkey % 5) * 0.25::DOUBLE + 0.1::DOUBLE + (c_custkey * 53 % 20) / 100.0::DOUBLE AS z, (c_custkey % 3) * 0.1::DOUBLE AS more FROM customer),
+        w AS (SELECT g.page_id, g.i AS g, c.i AS c, greatest(least(g.y + 1.0::DOUBLE, c.z + 0.8::DOUBLE + c.more) - greatest(g.y, c.z), 0.0::DOUBLE) AS h, 1.0::DOUBLE AS a, 0.8::DOUBLE + c.more AS d FROM b g JOIN b c ON g.page_id = c.page_id),
+        v AS (SELECT page_id, g, c, h / (a + d - h) AS iou FROM w WHERE h / (a + d - h) >= 0.5),
+        r AS (SELECT page_id, 0 AS step, 0 AS used, 0 AS n, 0.0::DOUBLE AS total FROM (SELECT DISTINCT page_id FROM v)
+          UNION ALL SELECT r.page_id, r.step + 1, CASE WHEN v.c IS NULL THEN used ELSE used | (1 << CAST(v.c AS INTEGER)) END, n + CASE WHEN v.c IS NULL THEN 0 ELSE 1 END, total + coalesce(v.iou, 0.0::DOUBLE)
+          FROM r JOIN (SELECT page_id, g, c, iou FROM v UNION ALL SELECT page_id, g, NULL, NULL FROM (SELECT DISTINCT p.page_id, s.g FROM v p, range(5) s(g))) v ON v.page_id = r.page_id AND v.g = r.step AND (v.c IS NULL OR used & (1 << CAST(v.c AS INTEGER)) = 0))
+        SELECT page_id, CAST(max((n, total))[1] AS BIGINT) AS n, round(max((n, total))[2], 9) AS overlap FROM r WHERE step = 5 GROUP BY page_id""",
     baseline_delta: f"""{_PRF}, {_prf_sql("doc_id % 2 = 0 AND lang IN ('en', 'fr')", "old")}, b AS (SELECT f.lang, f.f1, old.f1 AS baseline_f1 FROM f LEFT JOIN old ON f.lang = old.lang)
         SELECT lang, f1, baseline_f1, f1 - baseline_f1 AS delta, CASE WHEN f1 > baseline_f1 THEN '+' ELSE '' END || printf('%.3f', f1 - baseline_f1) AS shown FROM b""",
-    exact_strategy_matches: _EXACT,
+    exact_strategy_matches: _elements_sql(False) + "SELECT match_type, count(*) AS n FROM m GROUP BY match_type",
+    element_scores: _elements_sql(True) + "SELECT doc_id, role AS element_type, 'e' || g AS gt_id, 'e' || p AS pred_id, round(position_similarity, 9) AS position_similarity, round(text_similarity, 9) AS text_similarity, round(attribute_similarity, 9) AS attribute_similarity, round(score, 9) AS score FROM s",
+    element_greedy_match: _elements_sql(True) + "SELECT doc_id, role AS element_type, CAST(g AS INTEGER) AS g_pos, CAST(p AS INTEGER) AS p_pos, round(score, 9) AS score FROM c WHERE p IS NOT NULL",
+    element_matches: _elements_sql(True) + """SELECT doc_id, role AS element_type, gt_id, pred_id, match_type, round(score, 9) AS score,
+        CASE WHEN e IS NOT NULL THEN '{' || array_to_string(list_transform(e, lambda z: CAST(to_json(z.k) AS VARCHAR) || ':' || CAST(to_json(z.v) AS VARCHAR)), ',') || '}' END AS error_details FROM m""",
+    match_metrics: _elements_sql(True) + """, n AS (SELECT role AS element_type, count(*) FILTER (match_type IN ('exact', 'partial')) AS tp, count(*) FILTER (match_type = 'spurious') AS fp, count(*) FILTER (match_type = 'missed') AS fn, count(*) FILTER (match_type = 'exact') AS exact, count(*) FILTER (match_type = 'partial') AS partial,
+          sum(text_similarity) FILTER (match_type IN ('exact', 'partial')) AS ts, sum(position_similarity) FILTER (match_type IN ('exact', 'partial')) AS ps FROM m GROUP BY role),
+        z AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision_, CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall FROM n)
+        SELECT element_type, tp, fp, fn, exact, partial, precision_, recall, CASE WHEN precision_ + recall = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * precision_ * recall / (precision_ + recall) END AS f1, tp + fn AS support,
+          CASE WHEN tp = 0 THEN 0.0::DOUBLE ELSE round(ts / CAST(tp AS DOUBLE), 9) END AS mean_text_similarity, CASE WHEN tp = 0 THEN 0.0::DOUBLE ELSE round(ps / CAST(tp AS DOUBLE), 9) END AS mean_position_similarity FROM z""",
+    match_error_counts: _elements_sql(True) + "SELECT role AS element_type, error, count(*) AS n FROM er GROUP BY role, error",
+    match_top_errors: _elements_sql(True) + "SELECT error, count(*) AS n FROM er GROUP BY error ORDER BY count(*) DESC, min((role, doc_id, phase, pos, i)) LIMIT 5",
     log_ref_integrity: "SELECT p.user_id AS ref, p.event_id AS line FROM events p WHERE p.event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'signup' AND d.user_id = p.user_id AND d.event_id < p.event_id)",
     log_duplicates: "SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING count(*) > 1",
     log_guardrail: _LOG + """, x AS (SELECT 'not valid JSON' AS rule, count(*) AS n FROM e WHERE event_type = 'click' UNION ALL SELECT 'unknown event', count(*) FROM e WHERE event_type NOT IN ('signup', 'purchase', 'view', 'click')
@@ -328,5 +396,5 @@ _ORACLES = {
     event_windows_batch: "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in [*_ORACLES, element_matches, match_metrics, match_error_counts, match_top_errors]}
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ORACLES}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _ORACLES.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ def text_verdicts(gt: DataFrame, cand: DataFrame, mapping: DataFrame) -> DataFra
     aligned = fidelity.aligned_text(words, other, mapping)
     kept = fidelity.retention(aligned, both=False)
     moved = fidelity.misplacement(aligned, words, fidelity.page_n(words))
-    kept, moved = stored(kept, "kept"), stored(moved, "moved")
+    with ThreadPoolExecutor(2) as threads:
+        kept, moved = threads.map(stored, (kept, moved), ("kept", "moved"))
     gate = fidelity.text_gate(fidelity.page_containment(words, other), kept, moved)
     short = kept.where(F.col("retention") < fidelity.MIN_RETENTION).groupBy("page_id").agg(listed(F.struct("retention", "region_id"), "region_id").alias("short"))
     away = moved.where(F.col("foreign_ratio") > fidelity.MAX_FOREIGN).groupBy("page_id").agg(listed(F.struct((-F.col("foreign_ratio")).alias("r"), "region_id"), "region_id").alias("away"))
@@ -103,8 +106,9 @@ def score(gt: DataFrame, cand: DataFrame) -> DataFrame:
     paired = stored(paired.select("page_id", "gt", "cand", error.alias("error")), "pages")
     sound = paired.where("error is null")
     known, made = (sound.select("page_id", F.col(c).alias("doc")) for c in ("gt", "cand"))
-    gt_tree, cand_tree = stored(regions.walk(known), "gt_tree"), stored(regions.walk(made), "cand_tree")
-    all_gt, all_cand = stored(regions.of_tree(gt_tree), "gt"), stored(regions.of_tree(cand_tree), "cand")
+    with ThreadPoolExecutor(2) as threads:  # the two sides at once
+        gt_tree, cand_tree = threads.map(lambda side: stored(regions.walk(side[0]), side[1]), ((known, "gt_tree"), (made, "cand_tree")))
+        all_gt, all_cand = threads.map(lambda side: stored(regions.of_tree(side[0]), side[1]), ((gt_tree, "gt"), (cand_tree, "cand")))
     own_gt, own_cand = regions.last_by_id(all_gt, ["page_id"]), regions.last_by_id(all_cand, ["page_id"])
     mapping = stored(align(own_gt, own_cand), "mapping")
     # a sound page without regions has no rows there, but a verdict nevertheless
@@ -118,7 +122,7 @@ def score(gt: DataFrame, cand: DataFrame) -> DataFrame:
         lambda: empty(note_verdicts(all_gt, own_cand, mapping), **NOTHING["footnote-anchor"]),
         lambda: empty(type_verdicts(all_gt, all_cand, mapping), **NOTHING["structure-typing"]),
     )
-    return scorecard.run_suite([scorecard.Checker(name, run) for name, run in zip(scorecard.SUITE, runs, strict=True)], paired.select("page_id", "error"))
+    return scorecard.run_suite([scorecard.Checker(name, run) for name, run in zip(scorecard.SUITE, runs, strict=True)], paired.select("page_id", "error"), stored)
 
 
 #: Verdicts where a page has no region to judge: nothing is wrong with it.

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """parse_pages of files: one JSON object a file; page_id is the file's name without extension."""
-    files = spark.read.format("binaryFile").load(path)  # also those that are empty or no UTF-8, whose value is null
+    """parse_pages of files: one JSON object a file; page_id is the file's name without extension. A file of no bytes at all is
+    passed over by Spark's scan, so it is no page."""
+    files = spark.read.format("binaryFile").load(path)  # so that one that is no UTF-8 has a null value
     return parse_pages(files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("page_id"), F.try_validate_utf8(F.col("content").cast("string")).alias("value")))
 
 

@@ -102,7 +102,7 @@ def test_matching(spark):
     rows = {(r["gt_id"], r["pred_id"]): r for r in got.collect()}
     assert {k: r["match_type"] for k, r in rows.items()} == {("a", "y"): "exact", ("b", "x"): "partial", ("c", None): "missed", ("d", None): "missed", (None, "z"): "spurious", (None, "q"): "spurious"}
     partial = rows["b", "x"]
-    assert partial["score"] == pytest.approx(0.3 + 0.5 * 30 / 32 + 0.0) and partial["error_details"] == {"text_mismatch": "true", "first_diff_pos": "15", "first_diff": "expected 'e', got 'o'", "attribute_diffs": "k"}
+    assert partial["score"] == pytest.approx(0.3 + 0.5 * 30 / 32 + 0.0) and partial["error_details"] == {"text_mismatch": "true", "first_diff_pos": "15", "first_diff": "expected 'e', got 'o'", "attribute_diffs": '{"k":{"expected":"v","got":"w"}}'}
     by_type = metrics.match_metrics(got, ["element_type"]).cache()
     note = by_type.where("element_type = 'note'").first()
     assert (note["tp"], note["fp"], note["fn"], note["support"]) == (2, 1, 2, 4) and note["precision_"] == pytest.approx(2 / 3) and note["recall"] == 0.5

@@ -203,7 +203,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad" / "p3.json").write_text('{"a": 1, "a": 2}')
     (tmp_path / "bad" / "p4.json").write_text('{"a": NaN}')
     (tmp_path / "bad" / "p5.json").write_text('{"a": ')
-    (tmp_path / "bad" / "p6.json").write_text("")
+    (tmp_path / "bad" / "p6.json").write_bytes(b'{"a": "\xff"}')
     (tmp_path / "bad" / "p7.json").write_text('{"a":' * 5000 + "1" + "}" * 5000)
     (tmp_path / "bad" / "p8.json").write_text("{}")
     got = {r["page_id"]: (r["doc"] is None, r["error"]) for r in read_pages(spark, str(tmp_path / "bad")).collect()}
