@@ -26,35 +26,51 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.accepted(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """A name that no column of the documents has, however it is written."""
+    taken = {c.lower() for c in docs.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, source and the whole row as a struct `_row`, so that no other column can clash with those that an operator adds."""
+    return docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the smallest doc_id stays.
 
     Equal rows stay once; rows that repeat that doc_id with another text stay. A row without doc_id takes part under a
     number made from its text, greater than the ids of the table, so that it stays only if no linked row has an id.
     """
-    number = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    numbered = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), number))
-    groups = similar_groups(numbered.select(F.col("_id").alias("doc_id"), "text"))
-    kept = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return numbered.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id", "text"]).select(*docs.columns)
+    number = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+    own = unused("id", docs)
+    groups = similar_groups(docs.select(number.alias("doc_id"), "text"))
+    kept = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct(), "kept")
+    numbered = docs.withColumn(own, number)
+    return numbered.join(kept, own, "left_semi").dropDuplicates([own, "text"]).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item's window occurs go."""
-    found = hits(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select("_doc", "_text_hash")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text_hash")), "left_anti")
+    doc, text_hash = unused("doc", docs), unused("text_hash", docs)
+    found = hits(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("_doc").alias(doc), F.col("_text_hash").alias(text_hash))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, once for each take; those not taken go. A take in part, the last of a source, stays whole."""
-    mixed = mix(docs.withColumn("_size", word_count(F.col("text"))), "doc_id", "_size")
-    return in_training_order(mixed).select(*docs.columns)
+    kept = wrapped(docs)
+    mixed = mix(kept.withColumn("_size", word_count(F.col("_row.text"))), "doc_id", "_size")
+    return in_training_order(mixed).select("_row.*")
 
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
-    placed = shard(docs.withColumn("_crc", unsigned_crc32(F.col("text"))), "doc_id", ["_crc"], N_SHARDS)
-    return placed.select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    placed = shard(wrapped(docs).withColumn("_crc", unsigned_crc32(F.col("_row.text"))), "doc_id", ["_crc"], N_SHARDS)
+    return placed.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")], "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
