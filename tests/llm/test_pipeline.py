@@ -76,5 +76,47 @@ def test_empty(spark, tables):
     assert corpus_pipeline.run(spark, tables[1]).count() == 0
 
 
-def test_catalogue_has_the_ten():
-    assert sorted(int(k[2:].split("_")[0]) for k in catalogue.QUERIES) == list(range(1, 11))
+def test_columns_of_any_name_come_through(spark, corpus):
+    """Columns named like those that stages and operators use inside keep their values; only shard and slot are replaced."""
+    names = ["_id", "_doc", "_text_hash", "_size", "_crc", "_kept", "_row", "Position", "taken", "positions", "target", "source_size", "_mix_at", "_ring_pos", "n_hit", "take"]
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("/"))
+    docs = docs.select("*", *[F.concat(key, F.lit(n)).alias(n) for n in names], F.lit("old").alias("SHARD"))
+    for k in range(5):
+        out = stage(spark, corpus, k, docs)
+        kept = [c for c in docs.columns if c != "SHARD" or k < 4]
+        assert out.columns == kept + (["shard", "slot"] if k == 4 else [])
+        rows = out.collect()
+        assert rows and all(r[n] == f"{'none' if r['doc_id'] is None else r['doc_id']}/{n}" for r in rows for n in names)
+
+
+def test_mix_and_shards_against_plain_code(spark, corpus):
+    """Sources' words by their targets, and shards of sizes at most one apart with gapless slots, from the rows alone."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    size, goal = {}, {}
+    for r in docs.collect():
+        size[r["source"]] = size.get(r["source"], 0) + len((r["text"] or "").split())
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted((s for s in size if s is not None)) + [None]) if s in size}
+    free, left = set(size), 1.5 * sum(size.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * level > 2 * size[s]}
+        goal |= {s: 2.0 * size[s] for s in full} if full else {s: weight[s] * level for s in free}
+        left -= sum(goal[s] for s in full)
+        free = free - full if full else set()
+    got = stage(spark, corpus, 3, docs)
+    words: dict = {}
+    most: dict = {}
+    for r in got.collect():
+        n = len((r["text"] or "").split())
+        words[r["source"]] = words.get(r["source"], 0) + n
+        most[r["source"]] = max(most.get(r["source"], 0), n)
+    assert words.keys() == {s for s in size if size[s]} and all(goal[s] - 1 <= words[s] <= goal[s] + most[s] for s in words)
+    slots: dict = {}
+    for r in stage(spark, corpus, 4, docs).collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == 24
+
+
+def test_catalogue_has_all():
+    assert sorted(int(k[2:].split("_")[0]) for k in catalogue.QUERIES) == list(range(1, 14))
