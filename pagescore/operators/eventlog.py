@@ -56,47 +56,51 @@ def problems(log: DataFrame, task_classes: tuple[str, ...] = ()) -> DataFrame:
     """(line, severity, rule) of every broken rule, from log rows (line, event variant; null event: no JSON).
 
     task_classes: the known ones, if they are to be checked. Each line of a repeated id but the first is a problem.
+    One pass over the log makes every line's marks: rules that it breaks by itself, and ids that another line has to settle.
+    A second one finds each id's first line; marks meet these in one join of equal ids.
     """
     kind = text("event")
-    known = log.withColumn("kind", kind)
-    delegation, disposition = known.where("kind = 'delegation'"), known.where("kind = 'disposition'")
-    review, intervention = known.where("kind = 'review-verdict'"), known.where("kind = 'intervention'")
-    found = lambda rows, rule, severity="error": rows.select("line", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"))
+    is_kind = lambda name: F.coalesce(kind == name, F.lit(False))
     outside = lambda value, words: value.isNotNull() & ~value.isin(*words)
-    ids = delegation.select(text("id").alias("id"), "line")
-    first = ids.groupBy("id").agg(F.min("line").alias("first_line"))
-    refs = disposition.unionByName(review).select(text("ref").alias("ref"), "line").unionByName(
-        intervention.select(F.explode(F.try_variant_get("event", "$.refs", "array<string>")).alias("ref"), "line")
-    )
-    own = intervention.select(text("id").alias("id"), "line", "event", (text("verdict").isNotNull() | text("diagnosis_outcome").isNotNull()).alias("closes"))
-    opened = own.where("not closes").groupBy("id").agg(F.min("line").alias("first_line"))
-    closing = own.where("closes").join(opened, "id", "left")
+    delegation, disposition, review, intervention = map(is_kind, EVENTS[:4])
+    closes = text("verdict").isNotNull() | text("diagnosis_outcome").isNotNull()
     gap, told = tier_gap(), F.coalesce(F.try_variant_get("event", "$.overfit_steps", "int"), F.lit(0))
     excused = (F.coalesce(F.trim(text("justification")), F.lit("")) != "") | F.coalesce(F.try_variant_get("event", "$.overkill_suspect", "boolean"), F.lit(False))
     layer = F.expr("transform(try_variant_get(event, '$.findings', 'array<variant>'), f -> try_variant_get(f, '$.fault_layer', 'string'))")
-    parts = [
-        found(log.where("event is null"), "not valid JSON"),
-        found(known.where(F.col("event").isNotNull() & ~F.coalesce(kind.isin(*EVENTS), F.lit(False))), "unknown event"),
-        found(ids.join(first, "id").where("line > first_line"), "duplicate delegation id"),
-        found(dangling(refs, ids), "ref to no earlier delegation"),
-        found(delegation.where(outside(text("tier_chosen.model"), MODELS) | outside(text("tier_rubric_default.model"), MODELS)), "unknown model"),
-        found(delegation.where(outside(text("tier_chosen.effort"), (*EFFORTS, "default")) | outside(text("tier_rubric_default.effort"), (*EFFORTS, "default"))), "unknown effort", "warning"),
-        found(delegation.where(told < gap), "overfit_steps understates the tier gap"),
-        found(delegation.where((F.greatest(gap, told) >= MAX_GAP) & ~excused), "tier gap without justification"),
-        found(disposition.where(outside(text("disposition"), DISPOSITIONS)), "unknown disposition"),
-        found(disposition.where((F.coalesce(text("disposition"), F.lit("")) != "cancelled") & F.try_variant_get("event", "$.actual_tokens", "long").isNull()), "no actual_tokens", "warning"),
-        found(review.where(F.exists(layer, lambda x: outside(x, FAULT_LAYERS))), "unknown fault_layer"),
-        found(own.where(~F.col("closes") & F.try_variant_get("event", "$.predicted_signal", "variant").isNull()), "opening without predicted_signal"),
-        found(closing.where("first_line is null or first_line >= line"), "closing without an earlier opening"),
-        found(closing.where(text("diagnosis_outcome").isNull()), "closing without diagnosis_outcome", "warning"),
-        found(closing.where(outside(text("diagnosis_outcome"), OUTCOMES)), "unknown diagnosis_outcome"),
+    # a mark: need 'none' holds as it is, 'earlier' unless the id has an earlier line, 'first' if it has one
+    mark = lambda rule, severity="error", space=None, name=None, need="none": F.struct(
+        F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(space).cast("string").alias("space"), (F.lit(None) if name is None else name).cast("string").alias("id"), F.lit(need).alias("need")
+    )
+    dangling_ref = lambda ref: mark("ref to no earlier delegation", space="delegation", name=ref, need="earlier")
+    told_of = [
+        (F.col("event").isNull(), mark("not valid JSON")),
+        (F.col("event").isNotNull() & ~F.coalesce(kind.isin(*EVENTS), F.lit(False)), mark("unknown event")),
+        (delegation & text("id").isNotNull(), mark("duplicate delegation id", space="delegation", name=text("id"), need="first")),
+        (disposition | review, dangling_ref(text("ref"))),
+        (delegation & (outside(text("tier_chosen.model"), MODELS) | outside(text("tier_rubric_default.model"), MODELS)), mark("unknown model")),
+        (delegation & (outside(text("tier_chosen.effort"), (*EFFORTS, "default")) | outside(text("tier_rubric_default.effort"), (*EFFORTS, "default"))), mark("unknown effort", "warning")),
+        (delegation & (told < gap), mark("overfit_steps understates the tier gap")),
+        (delegation & (F.greatest(gap, told) >= MAX_GAP) & ~excused, mark("tier gap without justification")),
+        (disposition & outside(text("disposition"), DISPOSITIONS), mark("unknown disposition")),
+        (disposition & (F.coalesce(text("disposition"), F.lit("")) != "cancelled") & F.try_variant_get("event", "$.actual_tokens", "long").isNull(), mark("no actual_tokens", "warning")),
+        (review & F.exists(layer, lambda x: outside(x, FAULT_LAYERS)), mark("unknown fault_layer")),
+        (intervention & ~closes & F.try_variant_get("event", "$.predicted_signal", "variant").isNull(), mark("opening without predicted_signal")),
+        (intervention & closes, mark("closing without an earlier opening", space="opening", name=text("id"), need="earlier")),
+        (intervention & closes & text("diagnosis_outcome").isNull(), mark("closing without diagnosis_outcome", "warning")),
+        (intervention & closes & outside(text("diagnosis_outcome"), OUTCOMES), mark("unknown diagnosis_outcome")),
     ]
     if task_classes:
-        parts.append(found(delegation.where(outside(text("task_class"), task_classes)), "unknown task_class"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        told_of.append((delegation & outside(text("task_class"), task_classes), mark("unknown task_class")))
+    own = F.filter(F.array(*[F.when(holds, what) for holds, what in told_of]), lambda x: x.isNotNull())
+    refs = F.when(intervention, F.transform(F.try_variant_get("event", "$.refs", "array<string>"), dangling_ref))
+    marks = log.select("line", F.inline(F.concat(own, F.coalesce(refs, F.slice(own, 1, 0)))))
+    # a mark without an id meets nothing, and goes where its line's number sends it
+    marks = marks.withColumn("space", F.coalesce("space", F.lit(""))).withColumn("id", F.coalesce("id", F.concat(F.lit("\x00"), F.col("line").cast("string"))))
+    space = F.when(delegation, "delegation").when(intervention & ~closes, "opening")
+    first = log.where(space.isNotNull() & text("id").isNotNull()).groupBy(space.alias("space"), text("id").alias("id")).agg(F.min("line").alias("first_line"))
+    earlier = F.coalesce(F.col("first_line") < F.col("line"), F.lit(False))
+    broken = (F.col("need") == "none") | ((F.col("need") == "earlier") & ~earlier) | ((F.col("need") == "first") & earlier)
+    return marks.join(first, ["space", "id"], "left").where(broken).select("line", "severity", "rule")
 
 
 def audit(log: DataFrame) -> DataFrame:

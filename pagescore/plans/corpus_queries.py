@@ -186,25 +186,43 @@ def log_duplicates(spark, sf_dir):
     return eventlog.repeated(_log(spark, sf_dir)[0])
 
 
+#: The task classes that the made log may name.
+_CLASSES = ("extract", "verify")
+
+
 def _as_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full event log made from events: delegations, dispositions, reviews and interventions by event type."""
+    """A full event log made from events: delegations, dispositions, reviews, interventions and broken lines by event type, with
+    every rule of the log broken by some event ids."""
     e = _table(spark, sf_dir, "events")
-    ref = F.concat(F.lit("D-"), F.col("user_id").cast("string"))
-    tier = lambda k: F.struct(F.element_at(F.array(*map(F.lit, eventlog.MODELS)), (k % 3 + 1).cast("int")).alias("model"), F.element_at(F.array(*map(F.lit, eventlog.EFFORTS)), (k % 5 + 1).cast("int")).alias("effort"))
-    i = F.col("event_id")
+    i, kind = F.col("event_id"), F.col("event_type")
+    user = F.col("user_id").cast("string")
+    ref = F.concat(F.lit("D-"), user)
+    by_number = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    tier = lambda k, model=None, effort=None: F.struct((model if model is not None else by_number(eventlog.MODELS[:3], k)).alias("model"), (effort if effort is not None else by_number(eventlog.EFFORTS, k)).alias("effort"))
+    chosen = tier(i, F.when(i % 11 == 5, "abacus").otherwise(by_number(eventlog.MODELS[:3], i)), F.when(i % 13 == 6, "heroic").otherwise(by_number(eventlog.EFFORTS, i)))
+    delegation = F.struct(
+        F.lit("delegation").alias("event"), ref.alias("id"), F.when(i % 29 == 7, "picnic").otherwise("extract").alias("task_class"), chosen.alias("tier_chosen"), tier(i + 1).alias("tier_rubric_default"),
+        F.when(i % 4 == 1, 2).otherwise(0).alias("overfit_steps"), F.when(i % 6 == 1, "a proof is asked for").alias("justification"), F.when(i % 10 == 3, True).alias("overkill_suspect"), F.struct((i % 7 * 1000 + 1000).alias("tokens")).alias("predicted"),
+    )
+    outcome = F.when(i % 17 == 3, "mislaid").when(i % 23 == 5, "cancelled").when(i % 3 == 0, "rework").otherwise("accepted")
+    disposition = F.struct(F.lit("disposition").alias("event"), ref.alias("ref"), outcome.alias("disposition"), F.when(i % 19 != 4, i % 5 * 1000 + 500).alias("actual_tokens"))
+    findings = F.array(F.struct(F.when(i % 7 == 2, "weather").otherwise("contract").alias("fault_layer")))
+    review = F.struct(F.lit("review-verdict").alias("event"), ref.alias("ref"), tier(i + 2).alias("retrospectively_sufficient_tier"), findings.alias("findings"))
+    opens = i % 4 == 1
+    intervention = F.struct(
+        F.lit("intervention").alias("event"), F.concat(F.lit("I-"), user).alias("id"), F.array(ref).alias("refs"), F.when(opens & (i % 9 != 2), "a share").alias("predicted_signal"),
+        F.when(~opens, F.when(i % 3 == 0, "Corroborated").otherwise("Refuted")).alias("verdict"), F.when(~opens & (i % 5 > 0), by_number(("", "confirmed", "refuted", "underdetermined", "vibes"), i)).alias("diagnosis_outcome"),
+    )
     body = (
-        F.when(F.col("event_type") == "signup", F.to_json(F.struct(F.lit("delegation").alias("event"), ref.alias("id"), tier(i).alias("tier_chosen"), tier(i + 1).alias("tier_rubric_default"), F.lit(0).alias("overfit_steps"), F.struct((i % 7 * 1000 + 1000).alias("tokens")).alias("predicted"))))
-        .when(F.col("event_type") == "purchase", F.to_json(F.struct(F.lit("disposition").alias("event"), ref.alias("ref"), F.when(i % 3 == 0, "rework").otherwise("accepted").alias("disposition"), (i % 5 * 1000 + 500).alias("actual_tokens"))))
-        .when(F.col("event_type") == "view", F.to_json(F.struct(F.lit("review-verdict").alias("event"), ref.alias("ref"), tier(i + 2).alias("retrospectively_sufficient_tier"))))
-        .when(F.col("event_type") == "click", F.lit("{not json"))
-        .otherwise(F.to_json(F.struct(F.lit("mystery").alias("event"))))
+        F.when(kind == "signup", F.to_json(delegation)).when(kind == "purchase", F.to_json(disposition)).when(kind == "view", F.to_json(review))
+        .when((kind == "click") & (i % 2 == 1), F.to_json(intervention)).when(kind == "click", F.lit("{not json")).otherwise(F.to_json(F.struct(F.lit("mystery").alias("event"))))
     )
     return e.select(i.alias("line"), F.try_parse_json(body).alias("event"))
 
 
 def log_guardrail(spark, sf_dir):
-    """Broken rules of the made log, counted."""
-    return eventlog.problems(_as_log(spark, sf_dir)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+    """Broken rules of the made log, counted: all that there are."""
+    return eventlog.problems(_as_log(spark, sf_dir), _CLASSES).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def log_audit(spark, sf_dir):
@@ -213,9 +231,11 @@ def log_audit(spark, sf_dir):
 
 _LOG = """
 WITH e AS (SELECT event_id AS line, user_id, event_type FROM events),
-d AS (SELECT line, user_id, line % 3 AS m, line % 5 AS f, (line + 1) % 3 AS dm, (line + 1) % 5 AS df FROM e WHERE event_type = 'signup'),
+d AS (SELECT line, user_id, CASE WHEN line % 11 <> 5 THEN line % 3 END AS m, CASE WHEN line % 13 <> 6 THEN line % 5 END AS f, (line + 1) % 3 AS dm, (line + 1) % 5 AS df, CASE WHEN line % 4 = 1 THEN 2 ELSE 0 END AS told FROM e WHERE event_type = 'signup'),
 first AS (SELECT user_id, min(line) AS l FROM d GROUP BY user_id),
-gap AS (SELECT line, greatest(m - dm, 0) + greatest(f - df, 0) AS g FROM d)
+gap AS (SELECT line, told, greatest(coalesce(m - dm, 0), 0) + greatest(coalesce(f - df, 0), 0) AS g FROM d),
+i AS (SELECT line, user_id, line % 4 = 1 AS opens FROM e WHERE event_type = 'click' AND line % 2 = 1),
+opened AS (SELECT user_id, min(line) AS l FROM i WHERE opens GROUP BY user_id)
 """
 
 
@@ -375,18 +395,24 @@ _ORACLES = {
     match_top_errors: _elements_sql(True) + "SELECT error, count(*) AS n FROM er GROUP BY error ORDER BY count(*) DESC, min((role, doc_id, phase, pos, i)) LIMIT 5",
     log_ref_integrity: "SELECT p.user_id AS ref, p.event_id AS line FROM events p WHERE p.event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'signup' AND d.user_id = p.user_id AND d.event_id < p.event_id)",
     log_duplicates: "SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING count(*) > 1",
-    log_guardrail: _LOG + """, x AS (SELECT 'not valid JSON' AS rule, count(*) AS n FROM e WHERE event_type = 'click' UNION ALL SELECT 'unknown event', count(*) FROM e WHERE event_type NOT IN ('signup', 'purchase', 'view', 'click')
+    log_guardrail: _LOG + """, x AS (SELECT 'not valid JSON' AS rule, count(*) AS n FROM e WHERE event_type = 'click' AND line % 2 = 0 UNION ALL SELECT 'unknown event', count(*) FROM e WHERE event_type NOT IN ('signup', 'purchase', 'view', 'click')
         UNION ALL SELECT 'duplicate delegation id', count(*) FROM d JOIN first USING (user_id) WHERE line > l
-        UNION ALL SELECT 'ref to no earlier delegation', count(*) FROM e LEFT JOIN first USING (user_id) WHERE event_type IN ('purchase', 'view') AND (l IS NULL OR l >= line)
-        UNION ALL SELECT 'overfit_steps understates the tier gap', count(*) FROM gap WHERE g > 0 UNION ALL SELECT 'tier gap without justification', count(*) FROM gap WHERE g >= 2)
-        SELECT rule, 'error' AS severity, n FROM x WHERE n > 0""",
-    log_audit: _LOG + """, o AS (SELECT user_id, arg_min(m, line) AS m, arg_min(f, line) AS f, arg_min(line % 7 * 1000 + 1000, line) AS tok FROM d GROUP BY user_id),
-        r AS (SELECT user_id, arg_max((line + 2) % 3, line) AS m, arg_max((line + 2) % 5, line) AS f FROM e WHERE event_type = 'view' GROUP BY user_id),
-        p AS (SELECT user_id, arg_max(line % 3 = 0, line) AS rework, arg_max(line % 5 * 1000 + 500, line) AS tok FROM e WHERE event_type = 'purchase' GROUP BY user_id),
-        j AS (SELECT o.*, r.m AS rm, r.f AS rf, p.rework, p.tok AS ptok FROM o LEFT JOIN r USING (user_id) LEFT JOIN p USING (user_id))
+        UNION ALL SELECT 'ref to no earlier delegation', count(*) FROM e LEFT JOIN first USING (user_id) WHERE (event_type IN ('purchase', 'view') OR event_type = 'click' AND line % 2 = 1) AND (l IS NULL OR l >= line)
+        UNION ALL SELECT 'unknown model', count(*) FROM d WHERE line % 11 = 5 UNION ALL SELECT 'unknown effort', count(*) FROM d WHERE line % 13 = 6 UNION ALL SELECT 'unknown task_class', count(*) FROM d WHERE line % 29 = 7
+        UNION ALL SELECT 'overfit_steps understates the tier gap', count(*) FROM gap WHERE told < g UNION ALL SELECT 'tier gap without justification', count(*) FROM gap WHERE greatest(g, told) >= 2 AND line % 6 <> 1 AND line % 10 <> 3
+        UNION ALL SELECT 'unknown disposition', count(*) FROM e WHERE event_type = 'purchase' AND line % 17 = 3 UNION ALL SELECT 'no actual_tokens', count(*) FROM e WHERE event_type = 'purchase' AND line % 19 = 4 AND NOT (line % 17 <> 3 AND line % 23 = 5)
+        UNION ALL SELECT 'unknown fault_layer', count(*) FROM e WHERE event_type = 'view' AND line % 7 = 2 UNION ALL SELECT 'opening without predicted_signal', count(*) FROM i WHERE opens AND line % 9 = 2
+        UNION ALL SELECT 'closing without an earlier opening', count(*) FROM i LEFT JOIN opened USING (user_id) WHERE NOT opens AND (l IS NULL OR l >= line)
+        UNION ALL SELECT 'closing without diagnosis_outcome', count(*) FROM i WHERE NOT opens AND line % 5 = 0 UNION ALL SELECT 'unknown diagnosis_outcome', count(*) FROM i WHERE NOT opens AND line % 5 = 4)
+        SELECT rule, CASE WHEN rule IN ('unknown effort', 'no actual_tokens', 'closing without diagnosis_outcome') THEN 'warning' ELSE 'error' END AS severity, n FROM x WHERE n > 0""",
+    log_audit: _LOG + """, o AS (SELECT user_id, arg_min({'m': m, 'f': f, 'tok': line % 7 * 1000 + 1000}, line) AS d FROM d GROUP BY user_id),
+        r AS (SELECT user_id, arg_max({'m': (line + 2) % 3, 'f': (line + 2) % 5}, line) AS r FROM e WHERE event_type = 'view' GROUP BY user_id),
+        p AS (SELECT user_id, arg_max({'rework': line % 17 <> 3 AND line % 23 <> 5 AND line % 3 = 0, 'tok': CASE WHEN line % 19 <> 4 THEN line % 5 * 1000 + 500 END}, line) AS p FROM e WHERE event_type = 'purchase' GROUP BY user_id),
+        j AS (SELECT d.m AS m, d.f AS f, d.tok AS tok, r.m AS rm, r.f AS rf, p.rework AS rework, p.tok AS ptok FROM o LEFT JOIN r USING (user_id) LEFT JOIN p USING (user_id))
         SELECT count(*) AS delegations, CAST(count(*) FILTER (rm < m OR (rm = m AND rf < f)) AS DOUBLE) / count(rm) AS overshoot_rate, CAST(count(*) FILTER (rm > m OR (rm = m AND rf > f)) AS DOUBLE) / count(rm) AS undershoot_rate,
           CAST(count(*) FILTER (rework) AS DOUBLE) / count(rework) AS rework_rate, CAST(count(rm) AS DOUBLE) / count(*) AS review_linkage_fraction,
-          CAST(sum(ptok) AS DOUBLE) / CAST(sum(tok) FILTER (ptok IS NOT NULL) AS DOUBLE) AS token_prediction_calibration, CAST(NULL AS DOUBLE) AS intervention_success_rate, CAST(NULL AS DOUBLE) AS diagnosis_hit_rate FROM j""",
+          CAST(sum(ptok) AS DOUBLE) / CAST(sum(tok) FILTER (ptok IS NOT NULL) AS DOUBLE) AS token_prediction_calibration,
+          (SELECT CAST(count(*) FILTER (line % 3 = 0) AS DOUBLE) / count(*) FROM i WHERE NOT opens) AS intervention_success_rate, (SELECT CAST(count(*) FILTER (line % 5 = 1) AS DOUBLE) / count(*) FROM i WHERE NOT opens AND line % 5 IN (1, 2)) AS diagnosis_hit_rate FROM j""",
     flatten_hierarchy: """WITH t AS (SELECT conv_id, turn, role, turn // 3 AS run, row_number() OVER (PARTITION BY conv_id, turn // 3 ORDER BY turn) - 1 AS depth, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 3) - 1 AS root FROM conversations)
         SELECT conv_id AS page_id, 'r' || turn AS region_id, coalesce(lag('r' || turn) OVER (PARTITION BY conv_id, run ORDER BY turn), '') AS parent_id, CAST(depth AS INTEGER) AS depth, root || repeat('.0', depth) AS path,
           CASE WHEN role = 'user' THEN 'body' ELSE 'footnote' END AS block_type FROM t""",
