@@ -38,6 +38,21 @@ def micro_macro(by_type: DataFrame, by: list[str]) -> DataFrame:
     return summed.select(*by, "tp", "fp", "fn", p.alias("micro_precision"), r.alias("micro_recall"), f.alias("micro_f1"), "macro_precision", "macro_recall", "macro_f1")
 
 
+def by_level(rows: DataFrame, run: str, kind: str, hit: str, extra: str, lost: str) -> DataFrame:
+    """(run, type, tp, fp, fn, precision_, recall, f1, macro_precision, macro_recall, macro_f1) of rows with three flags, at two levels of
+    one grouping: a row for each run and type, with null macro means, and one for each run (type null), whose rates are micro.
+
+    The rows are read and shuffled once, by grouping sets; the means over types come from the first level's few rows.
+    """
+    counts = [F.count_if(F.col(c)).alias(name) for c, name in ((hit, "tp"), (extra, "fp"), (lost, "fn"))]
+    levels = rows.groupingSets([[F.col(run), F.col(kind)], [F.col(run)]], F.col(run), F.col(kind)).agg(*counts, F.grouping(F.col(kind)).alias("_whole"))
+    p, r, f = rates(F.col("tp"), F.col("fp"), F.col("fn"))
+    rated = levels.select(F.col(run).alias("run"), F.col(kind).alias("type"), "_whole", "tp", "fp", "fn", p.alias("precision_"), r.alias("recall"), f.alias("f1"))
+    types = Window.partitionBy("run")
+    mean = lambda c: F.when(F.col("_whole") == 1, F.coalesce(F.avg(F.when(F.col("_whole") == 0, F.col(c))).over(types), F.lit(0.0)))
+    return rated.select("run", "type", "tp", "fp", "fn", "precision_", "recall", "f1", mean("precision_").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("f1").alias("macro_f1"))
+
+
 def error_counts(matches: DataFrame, by: list[str]) -> DataFrame:
     """(by, error, n, first_seen): the error keys of partial matches, and missed_<reason>, spurious_<reason>. first_seen is where
     one comes first, in the order of documents and of their matches (matching.match_elements)."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagescore.functions.geometry import ratio
 from pagescore.functions.text import collapse, ngrams, normalize, tokens
 from pagescore.operators import contract, eventlog, matching, metrics, regions
 from pagescore.operators.alignment import overlap_matches
+from pagescore.sources.pages import on_page
 from pagescore.streaming.scorecards import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,24 @@ def baseline_delta(spark, sf_dir):
     return metrics.baseline_delta(_prf_by_lang(verdicts).select("lang", "f1"), old.select("lang", "f1"), "lang")
 
 
+def position_pages(spark, sf_dir):
+    """The page of every 97th character of a conversation, whose turns are its pages, one after the other; every 11th is left out."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("turn"))
+    spans = turns.select("doc_id", F.col("turn").alias("page"), (upto - F.col("n")).alias("start"), upto.alias("end")).where((F.col("doc_id") + F.col("page")) % 11 != 0)
+    whole = turns.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return on_page(whole.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "n", F.lit(97).cast("long"))).alias("offset")), spans)
+
+
+def label_prf_by_run(spark, sf_dir):
+    """Counts and rates by run and language and by run, in one grouping: a run is a source of the labelled documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("run"))
+    verdicts = _verdicts(spark, sf_dir).join(docs, "doc_id")
+    hit = verdicts.select("run", F.col("lang").alias("type"), (F.col("truth") & F.col("guess")).alias("hit"), (~F.col("truth") & F.col("guess")).alias("extra"), (F.col("truth") & ~F.col("guess")).alias("lost"))
+    out = metrics.by_level(hit, "run", "type", "hit", "extra", "lost")
+    return out.withColumns({c: F.round(c, 12) for c in ("macro_precision", "macro_recall", "macro_f1")})
+
+
 def elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Elements made from conversations: a document of each, whole turns; predictions lose some, and change the text, place or
     kind of others."""
@@ -381,6 +400,16 @@ _ORACLES = {
         SELECT page_id, CAST(max((n, total))[1] AS BIGINT) AS n, round(max((n, total))[2], 9) AS overlap FROM r WHERE step = 5 GROUP BY page_id""",
     baseline_delta: f"""{_PRF}, {_prf_sql("doc_id % 2 = 0 AND lang IN ('en', 'fr')", "old")}, b AS (SELECT f.lang, f.f1, old.f1 AS baseline_f1 FROM f LEFT JOIN old ON f.lang = old.lang)
         SELECT lang, f1, baseline_f1, f1 - baseline_f1 AS delta, CASE WHEN f1 > baseline_f1 THEN '+' ELSE '' END || printf('%.3f', f1 - baseline_f1) AS shown FROM b""",
+    position_pages: """WITH t AS (SELECT conv_id AS doc_id, turn, length(coalesce(text, '')) AS n, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
+        s AS (SELECT doc_id, turn AS page, e - n AS b, e FROM t WHERE (doc_id + turn) % 11 <> 0),
+        o AS (SELECT doc_id, unnest(generate_series(0, CAST(max(e) AS BIGINT), 97)) AS "offset" FROM t GROUP BY doc_id)
+        SELECT o.doc_id, o."offset", s.page FROM o LEFT JOIN s ON s.doc_id = o.doc_id AND o."offset" >= s.b AND o."offset" < s.e""",
+    label_prf_by_run: f"""WITH v AS (SELECT doc_id, lang, coalesce(source, 'none') AS run, quality = 0 AS truth, len({_WORDS}) < 200 AS guess FROM documents JOIN labels USING (doc_id)),
+        g AS (SELECT run, lang AS type, grouping(lang) AS whole, count(*) FILTER (truth AND guess) AS tp, count(*) FILTER (NOT truth AND guess) AS fp, count(*) FILTER (truth AND NOT guess) AS fn FROM v GROUP BY GROUPING SETS ((run, lang), (run))),
+        r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision_, CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall FROM g),
+        f AS (SELECT *, CASE WHEN precision_ + recall = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * precision_ * recall / (precision_ + recall) END AS f1 FROM r)
+        SELECT run, type, tp, fp, fn, precision_, recall, f1, CASE WHEN whole = 1 THEN round(avg(precision_) FILTER (whole = 0) OVER p, 12) END AS macro_precision, CASE WHEN whole = 1 THEN round(avg(recall) FILTER (whole = 0) OVER p, 12) END AS macro_recall,
+          CASE WHEN whole = 1 THEN round(avg(f1) FILTER (whole = 0) OVER p, 12) END AS macro_f1 FROM f WINDOW p AS (PARTITION BY run)""",
     exact_strategy_matches: _elements_sql(False) + "SELECT match_type, count(*) AS n FROM m GROUP BY match_type",
     element_scores: _elements_sql(True) + "SELECT doc_id, role AS element_type, 'e' || g AS gt_id, 'e' || p AS pred_id, round(position_similarity, 9) AS position_similarity, round(text_similarity, 9) AS text_similarity, round(attribute_similarity, 9) AS attribute_similarity, round(score, 9) AS score FROM s",
     element_greedy_match: _elements_sql(True) + "SELECT doc_id, role AS element_type, CAST(g AS INTEGER) AS g_pos, CAST(p AS INTEGER) AS p_pos, round(score, 9) AS score FROM c WHERE p IS NOT NULL",

@@ -135,10 +135,20 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, f"source string, position int, {ELEMENT}")
 
 
-def _on_page(rows: DataFrame, page_spans: DataFrame) -> DataFrame:
-    """Rows (doc_id, offset, ...) with the page whose span, start <= offset < end, holds the offset, else null."""
-    spans = page_spans.select(F.col("doc_id").alias("_doc"), "page", "start", "end")
-    return rows.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("end")), "left").drop("_doc", "start", "end")
+def on_page(rows: DataFrame, page_spans: DataFrame) -> DataFrame:
+    """Rows (doc_id, offset, ...) with the page whose span, start <= offset < end, holds the offset, else null. Where spans
+    overlap, the row comes once for each. Empty spans hold nothing.
+
+    A join of equal documents and bins: a bin is as wide as a document's spans are on average, so its spans lie in twice as
+    many bins as there are spans at most, and an offset in one. A document's offsets and spans do not all meet.
+    """
+    spans = page_spans.where(F.col("end") > F.col("start")).select(F.col("doc_id").alias("_doc"), "page", F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end"))
+    width = spans.groupBy("_doc").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("_end") - F.col("_start")) / F.count(F.lit(1)))).cast("long").alias("_width"))
+    bin_of = lambda at: F.floor(at / F.col("_width"))
+    binned = spans.join(width, "_doc").withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_start")), bin_of(F.col("_end") - 1)))).drop("_width")
+    placed = rows.join(width.withColumnRenamed("_doc", "_of"), F.col("doc_id") == F.col("_of"), "left").withColumn("_at", bin_of(F.col("offset")))
+    inside = (F.col("doc_id") == F.col("_doc")) & (F.col("_at") == F.col("_bin")) & (F.col("offset") >= F.col("_start")) & (F.col("offset") < F.col("_end"))
+    return placed.join(binned, inside, "left").select(*rows.columns, "page")
 
 
 def _pages_of() -> Column:
@@ -153,7 +163,7 @@ def from_notes(notes: DataFrame, references: DataFrame, page_spans: DataFrame) -
     page_spans (doc_id, page, start, end): a reference outside of all has no page, and marker_page -1.
     """
     last = notes.groupBy("doc_id", "label").agg(F.max_by(F.struct("text", "note_type"), "position").alias("note"))
-    return _on_page(references, page_spans).join(last, ["doc_id", "label"], "left").select(
+    return on_page(references, page_spans).join(last, ["doc_id", "label"], "left").select(
         "doc_id", F.concat(F.lit("fn_"), "label").alias("element_id"), F.coalesce("note.text", F.lit("")).alias("text"), _pages_of().alias("pages"),
         F.col("label").alias("marker_text"), F.coalesce("page", F.lit(-1)).alias("marker_page"), F.col("offset").alias("char_offset"), F.length("label").alias("char_length"),
         F.create_map(F.lit("note_type"), F.concat(F.lit('"'), F.coalesce("note.note_type", F.lit("author")), F.lit('"')), F.lit("is_multi_page"), F.lit("false")).alias("attributes"),
@@ -164,7 +174,7 @@ def from_citations(citations: DataFrame, page_spans: DataFrame) -> DataFrame:
     """Citation elements of a pipeline document: doc_id, element_id, text, pages, char_offset, char_length, attributes.
 
     citations (doc_id, offset, raw, parsed): parsed is a map of JSON values, null if the citation wasn't parsed."""
-    return _on_page(citations, page_spans).select(
+    return on_page(citations, page_spans).select(
         "doc_id", F.concat(F.lit("cite_"), F.col("offset").cast("string")).alias("element_id"), F.col("raw").alias("text"), _pages_of().alias("pages"),
         F.col("offset").alias("char_offset"), F.length("raw").alias("char_length"), F.coalesce("parsed", F.create_map().cast("map<string,string>")).alias("attributes"),
     )
