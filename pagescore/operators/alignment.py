@@ -254,6 +254,17 @@ def assign(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"page_id": [pairs["page_id"].iloc[0]] * len(found), "gt_id": [f[0] for f in found], "cand_id": [f[1] for f in found], "iou": [f[2] for f in found]})
 
 
+def resolve(pairs: DataFrame) -> DataFrame:
+    """The one-to-one choice among pairs (page_id, gt_id, cand_id, iou) that are at hand. Those that share no region with another
+    are taken as they are; only pages where some are contended go to the assignment, a page a group."""
+    g = pairs.groupBy("page_id", "gt_id").agg(F.count(F.lit(1)).alias("_g"))
+    c = pairs.groupBy("page_id", "cand_id").agg(F.count(F.lit(1)).alias("_c"))
+    counted = pairs.join(g, ["page_id", "gt_id"]).join(c, ["page_id", "cand_id"])
+    free = counted.where("_g = 1 and _c = 1").select("page_id", "gt_id", "cand_id", "iou")
+    contended = counted.where("_g > 1 or _c > 1").select("page_id", "gt_id", "cand_id", "iou")
+    return free.unionByName(contended.groupBy("page_id").applyInPandas(assign, pairs.select("page_id", "gt_id", "cand_id", "iou").schema))
+
+
 def align(gt: DataFrame, cand: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
     """(page_id, gt_id, cand_id, pass): each named ground-truth region with its counterpart, null if it has none.
 
