@@ -61,6 +61,14 @@ def first_copies(pages: DataFrame, page: str, payload: Column) -> DataFrame:
     return joined.withColumn("_first", F.when(F.length("_payload") >= LEAST_REVISIT, F.coalesce("_first", page))).drop("_s", "_sha")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, by the file system under which Spark reads it, as pyarrow.fs takes it: a path without one
+    is then not the machine's own disk by chance."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{full.getScheme().replace('s3a', 's3')}://{full.getAuthority() or ''}{full.getPath()}"
+
+
 def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write a record for every row, and return the manifest: path, bytes and records of each archive.
 
@@ -69,6 +77,7 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
     has its payload. An archive's name belongs to one attempt of a task, so that one that is lost or runs twice leaves
     files that the manifest doesn't name. Columns but these three are ignored.
     """
+    folder = qualified(pages.sparkSession, folder)
     rows = first_copies(pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.col(html), "utf-8").alias("html")), "page_id", F.col("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
