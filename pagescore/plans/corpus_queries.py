@@ -302,8 +302,8 @@ def contract_violations(spark, sf_dir):
 
 
 def contract_offenders(spark, sf_dir):
-    """The offenders themselves, sorted, of the flawed pages' duplicate, unknown and omitted ids."""
-    rows = contract.sorted_offenders(contract.violations(_flawed(spark, sf_dir))).where(F.col("kind").isin("duplicate_region_ids", "duplicate_order_entries", "order_refs_no_region", "order_omits_regions"))
+    """The flawed pages' offenders themselves, sorted, of every kind."""
+    rows = contract.sorted_offenders(contract.violations(_flawed(spark, sf_dir)))
     return rows.select(F.col("page_id").cast("long").alias("page_id"), "kind", "n", F.array_join("offenders", ",").alias("offenders"))
 
 
@@ -345,7 +345,11 @@ UNION ALL SELECT p, 'regions_below_depth_cap', 1 FROM deep
 """
 _OFFENDERS = _FLAWED + """, x AS (SELECT p, 'duplicate_region_ids' AS kind, id FROM ids WHERE n > 1 UNION ALL SELECT p, 'duplicate_order_entries', id FROM once WHERE n > 1
   UNION ALL SELECT o.p, 'order_refs_no_region', o.id FROM once o WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.p = o.p AND i.id = o.id)
-  UNION ALL SELECT i.p, 'order_omits_regions', i.id FROM ids i WHERE i.z <> 6 AND NOT EXISTS (SELECT 1 FROM once o WHERE i.p = o.p AND i.id = o.id))
+  UNION ALL SELECT i.p, 'order_omits_regions', i.id FROM ids i WHERE i.z <> 6 AND NOT EXISTS (SELECT 1 FROM once o WHERE i.p = o.p AND i.id = o.id)
+  UNION ALL SELECT p, 'non_object_regions', 'depth 0 index ' || turn || ': STRING' FROM g WHERE id IS NULL UNION ALL SELECT p, 'regions_without_id', 'depth 0 index ' || turn FROM g WHERE id = ''
+  UNION ALL SELECT DISTINCT p, 'non_integer_reading_order_index', id || ': DECIMAL' FROM g WHERE z = 3 AND id <> '' UNION ALL SELECT p, 'reading_order_not_a_list', 'VOID' FROM pages WHERE z = 6
+  UNION ALL SELECT p, 'non_string_order_entries', 'index 1: BIGINT' FROM pages WHERE z = 9 UNION ALL SELECT p, 'order_breaks_block_structure', 'the declared list does not keep root blocks together' FROM broken
+  UNION ALL SELECT p, 'order_contradicts_indices', id FROM bth WHERE a <> b UNION ALL SELECT p, 'regions_below_depth_cap', 'd32' FROM deep)
 SELECT p AS page_id, kind, CAST(count(*) AS INTEGER) AS n, string_agg(id, ',' ORDER BY id) AS offenders FROM x GROUP BY p, kind
 """
 # the fixture's roots all have an integer index, but for z = 3, whose declared order is whole; so order is by list or by turn

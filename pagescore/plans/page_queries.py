@@ -178,7 +178,7 @@ def mutate_smear(spark, sf_dir):
 
 
 def mutate_corrupt(spark, sf_dir):
-    """Every 20th letter of body regions replaced: how many letters changed, and containment after it."""
+    """Every 20th letter of body regions replaced: how many letters changed."""
     gt = gt_regions(spark, sf_dir)
     changed = mutate.corrupt_letters(gt, 0.05, "#")
     return changed.select("page_id", "region_id", (F.length("text") - F.length(F.replace("text", F.lit("#"), F.lit("")))).alias("replaced"))
