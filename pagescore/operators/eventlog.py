@@ -59,45 +59,53 @@ def problems(log: DataFrame, task_classes: tuple[str, ...] = ()) -> DataFrame:
     One pass over the log makes every line's marks: rules that it breaks by itself, and ids that another line has to settle.
     A second one finds each id's first line; marks meet these in one join of equal ids.
     """
-    kind = text("event")
+    member = lambda path, kind: F.try_variant_get("event", f"$.{path}", kind)
+    layer = F.expr("transform(try_variant_get(event, '$.findings', 'array<variant>'), f -> try_variant_get(f, '$.fault_layer', 'string'))")
+    tiers = {f"{side}_{what}": text(f"{path}.{what}") for side, path in (("chosen", "tier_chosen"), ("default", "tier_rubric_default")) for what in ("model", "effort")}
+    # every member is taken out of the event once; rules are on these columns
+    lines = log.select(
+        "line", F.col("event").isNull().alias("no_json"), text("event").alias("kind"), *[text(c).alias(c) for c in ("id", "ref", "disposition", "verdict", "diagnosis_outcome", "task_class")], *[v.alias(k) for k, v in tiers.items()],
+        tier_gap().alias("gap"), F.coalesce(member("overfit_steps", "int"), F.lit(0)).alias("told"), F.trim(text("justification")).alias("why"), member("overkill_suspect", "boolean").alias("overkill"),
+        member("actual_tokens", "long").isNull().alias("no_tokens"), member("predicted_signal", "variant").isNull().alias("no_signal"), layer.alias("layers"), member("refs", "array<string>").alias("refs"),
+    )
+    kind = F.col("kind")
     is_kind = lambda name: F.coalesce(kind == name, F.lit(False))
     outside = lambda value, words: value.isNotNull() & ~value.isin(*words)
     delegation, disposition, review, intervention = map(is_kind, EVENTS[:4])
-    closes = text("verdict").isNotNull() | text("diagnosis_outcome").isNotNull()
-    gap, told = tier_gap(), F.coalesce(F.try_variant_get("event", "$.overfit_steps", "int"), F.lit(0))
-    excused = (F.coalesce(F.trim(text("justification")), F.lit("")) != "") | F.coalesce(F.try_variant_get("event", "$.overkill_suspect", "boolean"), F.lit(False))
-    layer = F.expr("transform(try_variant_get(event, '$.findings', 'array<variant>'), f -> try_variant_get(f, '$.fault_layer', 'string'))")
+    closes = F.col("verdict").isNotNull() | F.col("diagnosis_outcome").isNotNull()
+    gap, told = F.col("gap"), F.col("told")
+    excused = (F.coalesce("why", F.lit("")) != "") | F.coalesce("overkill", F.lit(False))
     # a mark: need 'none' holds as it is, 'earlier' unless the id has an earlier line, 'first' if it has one
     mark = lambda rule, severity="error", space=None, name=None, need="none": F.struct(
         F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(space).cast("string").alias("space"), (F.lit(None) if name is None else name).cast("string").alias("id"), F.lit(need).alias("need")
     )
     dangling_ref = lambda ref: mark("ref to no earlier delegation", space="delegation", name=ref, need="earlier")
     told_of = [
-        (F.col("event").isNull(), mark("not valid JSON")),
-        (F.col("event").isNotNull() & ~F.coalesce(kind.isin(*EVENTS), F.lit(False)), mark("unknown event")),
-        (delegation & text("id").isNotNull(), mark("duplicate delegation id", space="delegation", name=text("id"), need="first")),
-        (disposition | review, dangling_ref(text("ref"))),
-        (delegation & (outside(text("tier_chosen.model"), MODELS) | outside(text("tier_rubric_default.model"), MODELS)), mark("unknown model")),
-        (delegation & (outside(text("tier_chosen.effort"), (*EFFORTS, "default")) | outside(text("tier_rubric_default.effort"), (*EFFORTS, "default"))), mark("unknown effort", "warning")),
+        (F.col("no_json"), mark("not valid JSON")),
+        (~F.col("no_json") & ~F.coalesce(kind.isin(*EVENTS), F.lit(False)), mark("unknown event")),
+        (delegation & F.col("id").isNotNull(), mark("duplicate delegation id", space="delegation", name=F.col("id"), need="first")),
+        (disposition | review, dangling_ref(F.col("ref"))),
+        (delegation & (outside(F.col("chosen_model"), MODELS) | outside(F.col("default_model"), MODELS)), mark("unknown model")),
+        (delegation & (outside(F.col("chosen_effort"), (*EFFORTS, "default")) | outside(F.col("default_effort"), (*EFFORTS, "default"))), mark("unknown effort", "warning")),
         (delegation & (told < gap), mark("overfit_steps understates the tier gap")),
         (delegation & (F.greatest(gap, told) >= MAX_GAP) & ~excused, mark("tier gap without justification")),
-        (disposition & outside(text("disposition"), DISPOSITIONS), mark("unknown disposition")),
-        (disposition & (F.coalesce(text("disposition"), F.lit("")) != "cancelled") & F.try_variant_get("event", "$.actual_tokens", "long").isNull(), mark("no actual_tokens", "warning")),
-        (review & F.exists(layer, lambda x: outside(x, FAULT_LAYERS)), mark("unknown fault_layer")),
-        (intervention & ~closes & F.try_variant_get("event", "$.predicted_signal", "variant").isNull(), mark("opening without predicted_signal")),
-        (intervention & closes, mark("closing without an earlier opening", space="opening", name=text("id"), need="earlier")),
-        (intervention & closes & text("diagnosis_outcome").isNull(), mark("closing without diagnosis_outcome", "warning")),
-        (intervention & closes & outside(text("diagnosis_outcome"), OUTCOMES), mark("unknown diagnosis_outcome")),
+        (disposition & outside(F.col("disposition"), DISPOSITIONS), mark("unknown disposition")),
+        (disposition & (F.coalesce("disposition", F.lit("")) != "cancelled") & F.col("no_tokens"), mark("no actual_tokens", "warning")),
+        (review & F.exists("layers", lambda x: outside(x, FAULT_LAYERS)), mark("unknown fault_layer")),
+        (intervention & ~closes & F.col("no_signal"), mark("opening without predicted_signal")),
+        (intervention & closes, mark("closing without an earlier opening", space="opening", name=F.col("id"), need="earlier")),
+        (intervention & closes & F.col("diagnosis_outcome").isNull(), mark("closing without diagnosis_outcome", "warning")),
+        (intervention & closes & outside(F.col("diagnosis_outcome"), OUTCOMES), mark("unknown diagnosis_outcome")),
     ]
     if task_classes:
-        told_of.append((delegation & outside(text("task_class"), task_classes), mark("unknown task_class")))
+        told_of.append((delegation & outside(F.col("task_class"), task_classes), mark("unknown task_class")))
     own = F.filter(F.array(*[F.when(holds, what) for holds, what in told_of]), lambda x: x.isNotNull())
-    refs = F.when(intervention, F.transform(F.try_variant_get("event", "$.refs", "array<string>"), dangling_ref))
-    marks = log.select("line", F.inline(F.concat(own, F.coalesce(refs, F.slice(own, 1, 0)))))
+    refs = F.when(intervention, F.transform("refs", dangling_ref))
+    marks = lines.select("line", F.inline(F.concat(own, F.coalesce(refs, F.slice(own, 1, 0)))))
     # a mark without an id meets nothing, and goes where its line's number sends it
     marks = marks.withColumn("space", F.coalesce("space", F.lit(""))).withColumn("id", F.coalesce("id", F.concat(F.lit("\x00"), F.col("line").cast("string"))))
     space = F.when(delegation, "delegation").when(intervention & ~closes, "opening")
-    first = log.where(space.isNotNull() & text("id").isNotNull()).groupBy(space.alias("space"), text("id").alias("id")).agg(F.min("line").alias("first_line"))
+    first = lines.where(space.isNotNull() & F.col("id").isNotNull()).groupBy(space.alias("space"), "id").agg(F.min("line").alias("first_line"))
     earlier = F.coalesce(F.col("first_line") < F.col("line"), F.lit(False))
     broken = (F.col("need") == "none") | ((F.col("need") == "earlier") & ~earlier) | ((F.col("need") == "first") & earlier)
     return marks.join(first, ["space", "id"], "left").where(broken).select("line", "severity", "rule")
