@@ -71,6 +71,17 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b).cast("double") / longer)
 
 
+def in_places(numbers: Column, places: int) -> Column:
+    """Each number of an array as text with so many decimals: its exact value rounded, halves to even, as printf does.
+    format_string rounds the shortest digits that tell a double from its neighbours, halves up."""
+
+    @F.pandas_udf("array<string>")
+    def shown(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: None if row is None else [None if x is None or x != x else f"{x:.{places}f}" for x in row])
+
+    return shown(numbers)
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space, of any script, as one space; trimmed."""
     return F.trim(F.regexp_replace(text, SPACES, " "))

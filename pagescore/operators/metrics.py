@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagescore.functions.geometry import ratio
+from pagescore.functions.text import in_places
 
 
 def rates(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
@@ -76,7 +77,7 @@ def baseline_delta(now: DataFrame, baseline: DataFrame, by: str) -> DataFrame:
     """(by, f1, baseline_f1, delta, shown): delta only where the baseline has the type; shown with its sign."""
     old = baseline.select(by, F.col("f1").alias("baseline_f1"))
     delta = F.col("f1") - F.col("baseline_f1")
-    shown = F.when(delta > 0, F.format_string("+%.3f", delta)).otherwise(F.format_string("%.3f", delta))
+    shown = F.concat(F.when(delta > 0, "+").otherwise(""), in_places(F.array(delta), 3)[0])
     return now.select(by, "f1").join(old, by, "left").select(by, "f1", "baseline_f1", delta.alias("delta"), F.when(delta.isNotNull(), shown).alias("shown"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescore.functions.geometry import ratio
+from pagescore.functions.text import in_places
 from pagescore.operators import contract, fidelity, metrics, mutate, order, regions, scorecard, structure
 from pagescore.operators.alignment import align
 from pagescore.plans import documents
@@ -69,7 +70,8 @@ def region_misplacement(spark, sf_dir):
 
 
 def _listed(rows, name):
-    return rows.select("page_id", F.array_join(F.transform("offenders", lambda x: F.concat(x["region_id"], F.lit(":"), F.format_string("%.6f", x["value"]))), ",").alias(name))
+    shown = F.zip_with(F.transform("offenders", lambda x: x["region_id"]), in_places(F.transform("offenders", lambda x: x["value"]), 6), lambda r, v: F.concat(r, F.lit(":"), v))
+    return rows.select("page_id", F.array_join(shown, ",").alias(name))
 
 
 def worst_retentions(spark, sf_dir):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 
 import duckdb
+import pytest
 
+from pagescore.functions.text import in_places
 from pagescore.plans import page_queries as Q
 
 
@@ -24,3 +26,19 @@ def test_declared_order_of_one_region(spark, tmp_path):
     got = {r["page_id"]: r["scorecard"] for r in Q.scorecard_json(spark, str(tmp_path)).collect()}
     assert got == want
     assert [json.loads(got[p])["results"][2]["metrics"]["order_signal"] for p in ("7", "28", "35")] == ["indices", "indices", "declared"]
+
+
+def test_decimals_of_ties(spark, tmp_path):
+    # seven of 128 letters changed: 0.9453125, which six decimals halve
+    con = conversations(spark, tmp_path, [(26, 0, "user", " ".join(["ae"] * 7 + ["b" * 107]))])
+    want = con.execute(Q.ORACLES["worst_retentions"]).fetchall()
+    assert [tuple(r) for r in Q.worst_retentions(spark, str(tmp_path)).collect()] == want == [(26, "r0:0.945312")]
+
+
+@pytest.mark.parametrize("places", [3, 6])
+def test_decimals_as_printf(spark, places):
+    numbers = [k / n for n in (128, 640, 3200, 16000, 7) for k in range(0, n, 3)]
+    got = spark.createDataFrame([(numbers,), ([],), (None,)], "x array<double>").select(in_places("x", places)).collect()
+    con = duckdb.connect()
+    assert got[0][0] == [r[0] for r in con.execute(f"SELECT printf('%.{places}f', x) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [numbers]).fetchall()]
+    assert got[1][0] == [] and got[2][0] is None
