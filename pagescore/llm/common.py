@@ -66,9 +66,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What lower() may change beside A-Z, characters that only a newer Unicode knows included.
+_OTHER_UPPER = r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}\p{Cn}]]"
+
+
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z; other letters stay."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z to a-z; other letters stay. translate() looks up each character, so only texts go through it that lower() would
+    change beside A-Z."""
+    return F.when(text.rlike(_OTHER_UPPER), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
 def unsigned_crc32(value: Column) -> Column:

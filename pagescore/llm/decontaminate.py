@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pagescore.llm.common import ascii_lower, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased, which changes no word's place or length.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window, and of the shingles that stand for it in the join.
 WINDOW, SHINGLE = 10, 3
 #: A side of a join is broadcast while its measured rows take no more bytes than this; beyond it both sides are shuffled.
@@ -27,6 +29,16 @@ def shingles(words: str, most: int) -> Column:
     ) if most > 1 else F.when(n > 0, F.transform(words, lambda w: F.xxhash64(w)))
 
 
+def positions(keyed: DataFrame, width: int) -> DataFrame:
+    """_doc, _text_hash, _words_n, _at, _token: shingles("_words", width) of each row of keyed, one a row.
+
+    Words are exploded and hashed with those that follow them, in generated code; a lambda over the array isn't compiled.
+    """
+    at = keyed.select("_doc", "_text_hash", "_words", F.size("_words").alias("_words_n"), F.posexplode("_words").alias("_at", "_word"))
+    follow = [F.get("_words", F.col("_at") + k) for k in range(1, width)]
+    return at.where(F.col("_at") + width <= F.col("_words_n")).select("_doc", "_text_hash", "_words_n", "_at", F.xxhash64("_word", *follow).alias("_token"))
+
+
 def item_windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
     """Distinct windows of all items: _win array<string>, _n int, _items array of item ids as strings."""
     words = items.select(F.col(item).cast("string").alias("_item"), words_of(F.col(text)).alias("_words")).where("size(_words) > 0")
@@ -70,7 +82,7 @@ def hits(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item
     found = None
     for width in widths:
         own = bare.where(F.col("_width") == width)
-        at = keyed.select("_doc", "_text_hash", F.size("_words").alias("_words_n"), F.posexplode(shingles("_words", width)).alias("_at", "_token"))
+        at = positions(keyed, width)
         part = at.join(F.broadcast(own) if small(token_bytes) else own, "_token").where("_at >= _offset and _at - _offset + _n <= _words_n")
         part = part.select("_doc", "_text_hash", F.struct((F.col("_at") - F.col("_offset")).alias("start"), F.col("_n").alias("n")).alias("_span"))
         found = part if found is None else found.unionByName(part)
@@ -103,7 +115,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
     """
     found = hits(docs, doc, text, items, item, item_text, window).withColumnRenamed("_doc", "_d").withColumnRenamed("_text_hash", "_h")
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "item_ids")]
-    counted = docs.select(*kept, F.xxhash64(text).alias("_text_hash"), F.coalesce(F.regexp_count(ascii_lower(F.col(text)), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select(*kept, F.xxhash64(text).alias("_text_hash"), F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = counted.join(found, F.col(doc).eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left")
     return joined.select(*kept, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
