@@ -10,7 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-NOT_WORD = r"[^\p{L}\p{Nd}]+"
+#: [^\p{L}\p{Nd}]+, with the ASCII characters one by one, which Java looks up in a table.
+NOT_WORD = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{Nd}]]]++"
+#: Characters of texts that normalize_text may get wrong: all but ASCII, the letters and signs to U+017E whose case folding is
+#: their lower case (the micro sign's, dotted I's and n with apostrophe's is not), general punctuation and currency signs.
+UNUSUAL = r"[\x{80}-\x{9F}\xB5\u0130\u0149\u017F-\u1FFF\u2070-\u209F\u20C0-\x{10FFFF}]"
 SPACES = r"(?U)\s+"
 
 
@@ -23,17 +27,23 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), NOT_WORD, " "))
 
 
+def _any_text(text: str | None) -> str | None:
+    if text is None:
+        return None
+    folded = unicodedata.normalize("NFC", text).casefold()
+    return " ".join("".join(c if c.isalpha() or c.isdecimal() else " " for c in folded).split())
+
+
 @F.pandas_udf(StringType())
 def normalize_any_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """normalize_text for any text: canonical composition and full case folding, in Arrow batches."""
     for part in texts:
-        folded = part.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
-        yield folded.map(lambda t: None if t is None else " ".join("".join(c if c.isalpha() or c.isdecimal() else " " for c in t).split()))
+        yield part.map(_any_text)
 
 
 def normalize(text: Column) -> Column:
-    """normalize_any_text, by the plain expression where a text is all ASCII."""
-    other = normalize_any_text(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+    """normalize_any_text, by the plain expression where a text has no unusual characters; only the others go to Python."""
+    other = normalize_any_text(F.when(text.rlike(UNUSUAL), text))
     return F.coalesce(other, normalize_text(text))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,13 @@ def test_resolve_keeps_free_pairs_out_of_groups(spark):
     pairs = spark.createDataFrame([("p", "a", "x", 0.9), ("p", "b", "y", 0.8), ("p", "b", "z", 0.7), ("p", "c", "y", 0.6)], "page_id string, gt_id string, cand_id string, iou double")
     assert {(r["gt_id"], r["cand_id"]) for r in resolve(pairs).collect()} == {("a", "x"), ("b", "z"), ("c", "y")}
     assert len(assign(pairs.toPandas())) == 3
+
+
+def test_normalize_is_the_same_in_python_and_expressions(spark):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame(pd.DataFrame({"t": [f"Zb{chr(c)}Q" for c in points]}))
+    assert rows.where(~T.normalize(F.col("t")).eqNullSafe(T.normalize_any_text("t"))).count() == 0
+    # texts of Western European languages stay out of Python
+    usual = spark.createDataFrame([("École – Straße, naïve… 5 €",), ("plain",), ("Łódź ž",)], "t string")
+    assert usual.where(F.col("t").rlike(T.UNUSUAL)).count() == 0
+    assert [r[0] for r in usual.select(T.normalize(F.col("t"))).collect()] == ["école strasse naïve 5", "plain", "łódź ž"]
