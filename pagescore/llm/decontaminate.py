@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, ascii_lowercase, digits
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagescore.llm.common import ascii_lower, table, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Every character but the ASCII ones that are neither digits nor small letters. Java looks single characters up in a table,
+#: which is ten times as fast as the same class by its complement; + takes whole runs and never gives any back.
+WORD = f"[{digits}{ascii_lowercase}\\x{{80}}-\\x{{10FFFF}}]++"
 #: The same words before A-Z are lower-cased, which changes no word's place or length.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_CASE_WORD = f"[{digits}{ascii_letters}\\x{{80}}-\\x{{10FFFF}}]++"
 #: Words of a window, and of the shingles that stand for it in the join.
 WINDOW, SHINGLE = 10, 3
 #: A side of a join is broadcast while its measured rows take no more bytes than this; beyond it both sides are shuffled.
