@@ -40,13 +40,19 @@ def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.concatenate(([True], text[1:n] != text[: n - 1])) if n else np.zeros(0, bool)
     use = full | first  # fewer than five words: the whole sequence, at the first word
     text, value = text[:n][use], value[use]
-    order = np.lexsort((value, text))
+    order = np.argsort(value)  # equal ones of a text are one shingle, so it need not be stable
+    order = order[by_text(text[order], len(bounds) - 1)]
     text, value = text[order], value[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     return text[new], value[new]
 
 
+def by_text(text: np.ndarray, n_texts: int) -> np.ndarray:
+    """The stable order by text number; 16-bit numbers are sorted by their digits."""
+    return np.argsort(text.astype(np.uint16) if n_texts <= 1 << 16 else text, kind="stable")
+
+
 def set_ids(text: np.ndarray, value: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, size, first shingle) of each text's set; id 0 for an empty one. Equal sets have equal ids."""
     size = np.bincount(text, minlength=n_texts)
@@ -136,12 +142,16 @@ def postings(docs: DataFrame, order) -> DataFrame:
                 fresh = unseen(ids)[text]
                 text, value = text[fresh], value[fresh]
                 often = counts[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                by = np.lexsort((value, often, text))
-                text, value, often = text[by], value[by], often[by]
+                # those in no other set stand first, and need no order among themselves
+                lone = np.bincount(text[often <= 1], minlength=len(size))
+                text, value, often = text[often > 1], value[often > 1], often[often > 1]
+                by = np.argsort(often, kind="stable")  # a text's shingles come in order of their hashes
+                by = by[by_text(text[by], len(size))]
+                text, value = text[by], value[by]
                 start = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
-                at = np.arange(len(text)) - np.repeat(start, np.diff(np.append(start, len(text))))
+                at = np.arange(len(text)) - np.repeat(start, np.diff(np.append(start, len(text)))) + lone[text]
                 own = size[text]
-                use = (at < own - -(-THRESHOLD * own // 100) + 1) & (often > 1)
+                use = at < own - -(-THRESHOLD * own // 100) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(value[use].view(np.int64)), pa.array(ids[text[use]]), pa.array((own[use] << 32) | at[use])], names=["token", "set_id", "size_at"])
 
     return docs.select("text").mapInArrow(run, "token long, set_id long, size_at long")
