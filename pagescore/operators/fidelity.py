@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +107,79 @@ def misplacement(aligned: DataFrame, gt: DataFrame, sizes: DataFrame) -> DataFra
     return summed.where(total > 0).withColumn("foreign_ratio", F.col("foreign_").cast("double") / total.cast("double"))
 
 
+def bag(words: list[str], n: int) -> Counter:
+    """How often each n-gram of the words occurs."""
+    return Counter(zip(*(words[k:] for k in range(n)), strict=False))
+
+
+def compared_page(regions: list[dict], cand: list[str], n: int = N) -> tuple[int, int, int, int, list[tuple]]:
+    """(n, gt_ngrams, contained, cand_ngrams, regions) of one page: regions (region_id, norm, c_norm) of the ground truth that
+    have words, with their counterparts' texts, and the norms of all candidate regions. For each region_id: its grams at the
+    regions' own n, those of them that are kept, own_matched and foreign_ as in misplacement. Rows of one id count together."""
+    split = [(r["region_id"], r["norm"].split(), r["c_norm"].split()) for r in regions]
+    page_n = max([1, *(min(n, len(words)) for _, words, _ in split)])
+    bags: dict[str, tuple[Counter, ...]] = {}  # the region's and its counterpart's, at the regions' own n and at the page's
+    for name, words, other in split:
+        size = min(n, len(words))
+        a, b = bag(words, size), bag(other, size)
+        c, d = (a, b) if size == page_n else (bag(words, page_n), bag(other, page_n))
+        bags[name] = tuple(x + y for x, y in zip(bags[name], (a, b, c, d), strict=True)) if name in bags else (a, b, c, d)
+    page: Counter = Counter()
+    for _, _, own, _ in bags.values():
+        page.update(own)
+    made: Counter = Counter()
+    for text in cand:
+        made.update(bag(text.split(), page_n))
+    told = []
+    for name, (grams, other, own, theirs) in bags.items():
+        mine = sum(min(c, own[g]) for g, c in theirs.items()) if name is not None else 0
+        foreign = sum(c for g, c in theirs.items() if g in page) - mine
+        told.append((name, grams.total(), sum(min(c, other[g]) for g, c in grams.items()), mine, foreign))
+    return page_n, page.total(), sum(min(c, made[g]) for g, c in page.items()), made.total(), told
+
+
+def compared(gt: DataFrame, aligned: DataFrame, cand: DataFrame, n: int = N) -> DataFrame:
+    """One row for each ground-truth page: page_id, n, gt_ngrams, contained, cand_ngrams, and regions, which has what retention
+    and misplacement count of each region_id: array<struct<region_id, grams, kept, own_matched, foreign_>>.
+
+    A page's normalised texts meet as one row, and its grams are counted in one Arrow pass: they are never shuffled. gt and
+    cand need page_id and norm; aligned is what aligned_text gives.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region = pa.struct([("region_id", pa.string()), *((c, pa.int64()) for c in ("grams", "kept", "own_matched", "foreign_"))])
+        for batch in batches:
+            own, other = batch.column("regions"), batch.column("cand")
+            told = [compared_page(own[k].as_py() or [], other[k].as_py() or [], n) for k in range(batch.num_rows)]
+            rows = [[dict(zip(region.names, r, strict=True)) for r in t[4]] for t in told]
+            counts = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *counts, pa.array(rows, pa.list_(region))], names=["page_id", "n", "gt_ngrams", "contained", "cand_ngrams", "regions"])
+
+    texts = aligned.groupBy("page_id").agg(F.collect_list(F.struct("region_id", "norm", "c_norm")).alias("regions"))
+    made = cand.groupBy("page_id").agg(F.collect_list("norm").alias("cand"))
+    pages = gt.select("page_id").distinct().join(texts, "page_id", "left").join(made, "page_id", "left").select("page_id", "regions", "cand")
+    kind = gt.schema["page_id"].dataType.simpleString()
+    return pages.mapInArrow(run, f"page_id {kind}, n int, gt_ngrams long, contained long, cand_ngrams long, regions array<struct<region_id: string, grams: long, kept: long, own_matched: long, foreign_: long>>")
+
+
+def page_figures(counted: DataFrame) -> DataFrame:
+    """The rows of page_containment, from compared."""
+    return counted.select(
+        "page_id", "n", "gt_ngrams", "contained", ratio(F.col("contained"), F.col("gt_ngrams"), 1.0).alias("containment"), "cand_ngrams",
+        ratio(F.col("contained"), F.col("cand_ngrams"), 1.0).alias("precision_"), (F.col("cand_ngrams") - F.col("contained")).alias("excess"),
+    )
+
+
+def region_figures(counted: DataFrame, aligned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of retention, with by_chars only where by_ngram is less than 1, and of misplacement, from compared."""
+    each = counted.select("page_id", F.inline("regions"))
+    graded = aligned.select("page_id", "region_id", "norm", "c_norm").join(each.select("page_id", "region_id", ratio(F.col("kept"), F.col("grams"), 0.0).alias("by_ngram")), ["page_id", "region_id"])
+    graded = graded.withColumn("by_chars", F.when(F.col("by_ngram") < 1, edit_similarity(F.col("norm"), F.col("c_norm"))))
+    total = F.col("own_matched") + F.col("foreign_")
+    moved = each.where(total > 0).select("page_id", "region_id", "own_matched", "foreign_", (F.col("foreign_").cast("double") / total.cast("double")).alias("foreign_ratio"))
+    return graded.select("page_id", "region_id", "by_ngram", "by_chars", F.greatest("by_ngram", "by_chars").alias("retention")), moved
+
+
 def text_gate(pages: DataFrame, retained: DataFrame, misplaced: DataFrame) -> DataFrame:
     """One row for each page of page_containment: its figures, region defects, worst_retention (null if none was scored), passed."""
     graded = retained.groupBy("page_id").agg(
@@ -121,4 +198,5 @@ def text_fidelity(gt: DataFrame, cand: DataFrame, mapping: DataFrame, n: int = N
     """The whole check over regions with text; cand has one row for each id that counts."""
     gt, cand = worded(gt), worded(cand)
     aligned = aligned_text(gt, cand, mapping)
-    return text_gate(page_containment(gt, cand, n), retention(aligned, n, both=False), misplacement(aligned, gt, page_n(gt, n)))
+    counted = compared(gt, aligned, cand, n)
+    return text_gate(page_figures(counted), *region_figures(counted, aligned))

@@ -43,12 +43,11 @@ def _more(label: str, column: str) -> Column:
 def text_verdicts(gt: DataFrame, cand: DataFrame, mapping: DataFrame) -> DataFrame:
     """Text fidelity under its metrics' names, with the regions that fail in detail."""
     words, other = fidelity.worded(gt), fidelity.worded(cand)
-    aligned = fidelity.aligned_text(words, other, mapping)
-    kept = fidelity.retention(aligned, both=False)
-    moved = fidelity.misplacement(aligned, words, fidelity.page_n(words))
-    with ThreadPoolExecutor(2) as threads:
-        kept, moved = threads.map(stored, (kept, moved), ("kept", "moved"))
-    gate = fidelity.text_gate(fidelity.page_containment(words, other), kept, moved)
+    aligned = stored(fidelity.aligned_text(words, other, mapping).select("page_id", "region_id", "norm", "c_norm"), "aligned")
+    counted = stored(fidelity.compared(words, aligned, other), "counted")
+    kept, moved = fidelity.region_figures(counted, aligned)
+    kept = stored(kept, "kept")
+    gate = fidelity.text_gate(fidelity.page_figures(counted), kept, moved)
     short = kept.where(F.col("retention") < fidelity.MIN_RETENTION).groupBy("page_id").agg(listed(F.struct("retention", "region_id"), "region_id").alias("short"))
     away = moved.where(F.col("foreign_ratio") > fidelity.MAX_FOREIGN).groupBy("page_id").agg(listed(F.struct((-F.col("foreign_ratio")).alias("r"), "region_id"), "region_id").alias("away"))
     said = F.concat(
@@ -108,7 +107,7 @@ def score(gt: DataFrame, cand: DataFrame) -> DataFrame:
     known, made = (sound.select("page_id", F.col(c).alias("doc")) for c in ("gt", "cand"))
     with ThreadPoolExecutor(2) as threads:  # the two sides at once
         gt_tree, cand_tree = threads.map(lambda side: stored(regions.walk(side[0]), side[1]), ((known, "gt_tree"), (made, "cand_tree")))
-        all_gt, all_cand = threads.map(lambda side: stored(regions.of_tree(side[0]), side[1]), ((gt_tree, "gt"), (cand_tree, "cand")))
+        all_gt, all_cand = threads.map(lambda side: stored(fidelity.worded(regions.of_tree(side[0])), side[1]), ((gt_tree, "gt"), (cand_tree, "cand")))
     own_gt, own_cand = regions.last_by_id(all_gt, ["page_id"]), regions.last_by_id(all_cand, ["page_id"])
     mapping = stored(align(own_gt, own_cand), "mapping")
     # a sound page without regions has no rows there, but a verdict nevertheless
