@@ -143,15 +143,16 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: str, modulus: int
                 bucket, count, start = counted(data, bounds, bits)
                 cut, n = np.append(start, len(bucket)).tolist(), len(bounds) - 1
                 packed = [zlib.compress(np.concatenate((np.diff(bucket[i:j], prepend=0), count[i:j])).astype(np.int32).tobytes(), 1) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), b.column("_label").slice(row, n).cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "label", "packed"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), b.column("_label").slice(row, n).cast(pa.int32()), pa.array(np.diff(cut), pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "label", "n", "packed"])
 
     found = sampled(docs, labels, label, modulus, held, rows).select("doc_id", "text", F.col("_label").cast("int").alias("_label"))
-    got = found.mapInArrow(run, "doc_id long, label int, packed binary").orderBy("doc_id").toArrow()
-    parts = [np.frombuffer(zlib.decompress(x.as_py()), np.int32) for x in got.column("packed")]
-    sizes = np.array([len(x) // 2 for x in parts], np.int64)
+    got = found.mapInArrow(run, "doc_id long, label int, n long, packed binary").orderBy("doc_id").toArrow()
+    sizes = got.column("n").to_numpy()
     bucket, count = np.empty(int(sizes.sum()), np.int32), np.empty(int(sizes.sum()), np.int32)
     start = np.cumsum(sizes) - sizes
-    for at, n, part in zip(start.tolist(), sizes.tolist(), parts, strict=True):
+    for at, n, packed in zip(start.tolist(), sizes.tolist(), got.column("packed"), strict=True):
+        # one text at a time: small pieces that live side by side would keep the driver's memory after they are gone
+        part = np.frombuffer(zlib.decompress(packed.as_py(), bufsize=8 * n), np.int32)
         bucket[at : at + n] = np.cumsum(part[:n])
         count[at : at + n] = part[n:]
     return Rows(bucket, count, start, (got.column("label").to_numpy() == 1).astype(np.int64))
