@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 #: [^\p{L}\p{Nd}]+, with the ASCII characters one by one, which Java looks up in a table.
 NOT_WORD = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{Nd}]]]++"
@@ -74,11 +74,36 @@ def occurrences(text: Column, marker: Column) -> Column:
     return F.when(marker == "", F.length(text) + 1).otherwise((removed / F.length(marker)).cast("int"))
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """1 - Levenshtein distance / longer length, in code points; 1 for two empty texts. The distance, whose cost is the
-    product of the lengths, is worked out only for texts that differ and of which neither is empty."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b).cast("double") / longer)
+def distance(a: str, b: str) -> int:
+    """Levenshtein distance, a column of bits a step: those where the distance grows and those where it falls by one."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    end, full = len(a) - 1, (1 << len(a)) - 1
+    grows, falls, out = full, 0, len(a)
+    for c in b:
+        hit = at.get(c, 0)
+        level = ((((hit & grows) + grows) ^ grows) | hit | falls) & full
+        more, less = falls | full ^ (level | grows), level & grows
+        out += (more >> end) - (less >> end)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        grows, falls = less | full ^ (level | more), more & level
+    return out
+
+
+@F.pandas_udf(LongType())
+def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    """distance of two texts that are not empty, in Arrow batches; null if either is null."""
+    return pd.Series([None if a is None or b is None else distance(a, b) for a, b in zip(left, right, strict=True)], dtype="Int64")
+
+
+def edit_similarity(a: Column, b: Column, asked: Column | None = None) -> Column:
+    """1 - Levenshtein distance / longer length, in code points; 1 for two empty texts, null where it is not asked for. The
+    distance, whose cost is the product of the lengths, is worked out only for texts that differ and of which neither is empty."""
+    longer, asked = F.greatest(F.length(a), F.length(b)), F.lit(True) if asked is None else asked
+    apart = asked & (a != b) & (a != "") & (b != "")
+    found = F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.lit(1.0) - edit_distance(F.when(apart, a), F.when(apart, b)).cast("double") / longer)
+    return F.when(asked, found)
 
 
 def in_places(numbers: Column, places: int) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_IOU = 0.5
+#: Pairs after which a pass over pages hands its rows on.
+BATCH_ROWS = 1 << 14
 
 _BOX = ["x0", "y0", "x1", "y1"]
 
@@ -74,8 +76,13 @@ def _boxed_pages(gt: DataFrame, cand: DataFrame, matched: DataFrame) -> DataFram
 def _swept(gt: DataFrame, cand: DataFrame, matched: DataFrame, min_iou: float, settled: bool) -> DataFrame:
     """(page_id, gt_id, cand_id, iou) of overlapping boxes in one Arrow pass over pages; settled: each id once, as assign has it."""
 
+    def told(parts: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names=["page_id", "gt_id", "cand_id", "iou"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts: list[tuple] = []
+            many = 0
             for k in range(batch.num_rows):
                 ids, boxes = [], []
                 for side in ("g", "c"):
@@ -88,9 +95,15 @@ def _swept(gt: DataFrame, cand: DataFrame, matched: DataFrame, min_iou: float, s
                 own, other = ids[0].take(pa.array(i)), ids[1].take(pa.array(j))
                 if settled and max(np.bincount(i).max(), np.bincount(j).max()) > 1:
                     found = assign(pd.DataFrame({"page_id": 0, "gt_id": own.to_pylist(), "cand_id": other.to_pylist(), "iou": value}))
-                    own, other, value = (pa.array(found[c], t) for c, t in (("gt_id", own.type), ("cand_id", other.type), ("iou", pa.float64())))
+                    own, other, value = (pa.array(found[c].tolist(), t) for c, t in (("gt_id", own.type), ("cand_id", other.type), ("iou", pa.float64())))
                 page = batch.column("page_id").take(pa.array(np.full(len(own), k)))
-                yield pa.RecordBatch.from_arrays([page, own, other, pa.array(value)], names=["page_id", "gt_id", "cand_id", "iou"])
+                parts.append((page, own, other, pa.array(value, pa.float64())))
+                many += len(own)
+                if many >= BATCH_ROWS:
+                    yield told(parts)
+                    parts, many = [], 0
+            if parts:
+                yield told(parts)
 
     kind = {name: gt.schema[name].dataType.simpleString() for name in ("page_id", "region_id")}
     return _boxed_pages(gt, cand, matched).mapInArrow(run, f"page_id {kind['page_id']}, gt_id {kind['region_id']}, cand_id {kind['region_id']}, iou double")

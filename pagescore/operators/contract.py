@@ -77,9 +77,9 @@ def violations(pages: DataFrame, tree: DataFrame | None = None) -> DataFrame:
 def block_violations(pages: DataFrame, listed: DataFrame, tree: DataFrame) -> DataFrame:
     """(page_id, kind, offender) where a declared list is not made of whole blocks: the ids in it that are inside a block, or
     the list itself if there is none. listed (page_id): the pages that declare a list."""
-    regions = of_tree(tree)
+    regions, pages = (rows.join(listed.select("page_id"), "page_id", "left_semi") for rows in (of_tree(tree), pages))
     own = blocks(regions).groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("ids"), F.collect_set("root_id").alias("roots"))
-    broken = canonical(pages, regions).where("not canonical").join(listed.select("page_id"), "page_id", "left_semi").join(own, "page_id", "left")
+    broken = canonical(pages, regions).where("not canonical").join(own, "page_id", "left")
     none = F.array().cast("array<string>")
     inner = F.array_distinct(F.array_except(F.array_intersect("declared", F.coalesce("ids", none)), F.coalesce("roots", none)))
     whole = F.array(F.lit("the declared list does not keep root blocks together"))

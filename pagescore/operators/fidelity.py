@@ -75,9 +75,9 @@ def retention(aligned: DataFrame, n: int = N, both: bool = True) -> DataFrame:
     )
     kept = bag("words", "g").join(bag("c_words", "k"), ["page_id", "region_id", "gram"], "left")
     contained = kept.groupBy("page_id", "region_id").agg(ratio(F.sum(F.least("g", F.coalesce("k", F.lit(0)))), F.sum("g"), 0.0).alias("by_ngram"))
-    chars = edit_similarity(F.col("norm"), F.col("c_norm"))
+    chars = edit_similarity(F.col("norm"), F.col("c_norm"), None if both else F.col("by_ngram") < 1)
     graded = sized.select("page_id", "region_id", "norm", "c_norm").join(contained, ["page_id", "region_id"])
-    graded = graded.withColumn("by_chars", chars if both else F.when(F.col("by_ngram") < 1, chars))
+    graded = graded.withColumn("by_chars", chars)
     return graded.select("page_id", "region_id", "by_ngram", "by_chars", F.greatest("by_ngram", "by_chars").alias("retention"))
 
 
@@ -115,26 +115,33 @@ def bag(words: list[str], n: int) -> Counter:
 def compared_page(regions: list[dict], cand: list[str], n: int = N) -> tuple[int, int, int, int, list[tuple]]:
     """(n, gt_ngrams, contained, cand_ngrams, regions) of one page: regions (region_id, norm, c_norm) of the ground truth that
     have words, with their counterparts' texts, and the norms of all candidate regions. For each region_id: its grams at the
-    regions' own n, those of them that are kept, own_matched and foreign_ as in misplacement. Rows of one id count together."""
-    split = [(r["region_id"], r["norm"].split(), r["c_norm"].split()) for r in regions]
-    page_n = max([1, *(min(n, len(words)) for _, words, _ in split)])
+    regions' own n, those of them that are kept, own_matched and foreign_ as in misplacement. Rows of one id count together; a
+    text that occurs again, as most do on the other side, is counted once."""
+    known: dict[tuple[str, int], Counter] = {}
+
+    def counted(text: str, size: int) -> Counter:
+        if (text, size) not in known:
+            known[text, size] = bag(text.split(), size)
+        return known[text, size]
+
+    split = [(r["region_id"], r["norm"], r["c_norm"], min(n, len(r["norm"].split()))) for r in regions]
+    page_n = max([1, *(size for *_, size in split)])
     bags: dict[str, tuple[Counter, ...]] = {}  # the region's and its counterpart's, at the regions' own n and at the page's
-    for name, words, other in split:
-        size = min(n, len(words))
-        a, b = bag(words, size), bag(other, size)
-        c, d = (a, b) if size == page_n else (bag(words, page_n), bag(other, page_n))
+    for name, text, other, size in split:
+        a, b, c, d = counted(text, size), counted(other, size), counted(text, page_n), counted(other, page_n)
         bags[name] = tuple(x + y for x, y in zip(bags[name], (a, b, c, d), strict=True)) if name in bags else (a, b, c, d)
     page: Counter = Counter()
     for _, _, own, _ in bags.values():
         page.update(own)
     made: Counter = Counter()
     for text in cand:
-        made.update(bag(text.split(), page_n))
+        made.update(counted(text, page_n))
     told = []
     for name, (grams, other, own, theirs) in bags.items():
-        mine = sum(min(c, own[g]) for g, c in theirs.items()) if name is not None else 0
-        foreign = sum(c for g, c in theirs.items() if g in page) - mine
-        told.append((name, grams.total(), sum(min(c, other[g]) for g, c in grams.items()), mine, foreign))
+        kept = grams.total() if other is grams else sum(min(c, other[g]) for g, c in grams.items())
+        mine = 0 if name is None else own.total() if theirs is own else sum(min(c, own[g]) for g, c in theirs.items())
+        foreign = (theirs.total() if theirs is own else sum(c for g, c in theirs.items() if g in page)) - mine
+        told.append((name, grams.total(), kept, mine, foreign))
     return page_n, page.total(), sum(min(c, made[g]) for g, c in page.items()), made.total(), told
 
 
@@ -174,7 +181,7 @@ def region_figures(counted: DataFrame, aligned: DataFrame) -> tuple[DataFrame, D
     """The rows of retention, with by_chars only where by_ngram is less than 1, and of misplacement, from compared."""
     each = counted.select("page_id", F.inline("regions"))
     graded = aligned.select("page_id", "region_id", "norm", "c_norm").join(each.select("page_id", "region_id", ratio(F.col("kept"), F.col("grams"), 0.0).alias("by_ngram")), ["page_id", "region_id"])
-    graded = graded.withColumn("by_chars", F.when(F.col("by_ngram") < 1, edit_similarity(F.col("norm"), F.col("c_norm"))))
+    graded = graded.withColumn("by_chars", edit_similarity(F.col("norm"), F.col("c_norm"), F.col("by_ngram") < 1))
     total = F.col("own_matched") + F.col("foreign_")
     moved = each.where(total > 0).select("page_id", "region_id", "own_matched", "foreign_", (F.col("foreign_").cast("double") / total.cast("double")).alias("foreign_ratio"))
     return graded.select("page_id", "region_id", "by_ngram", "by_chars", F.greatest("by_ngram", "by_chars").alias("retention")), moved

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Deepest level that is seen; children below it are a violation, never flattened. Fixed value.
 DEPTH_CAP = 32
+#: Rows and characters of documents after which walk hands its rows on: several pages make a batch, large ones one each.
+BATCH_ROWS, BATCH_CHARS = 4096, 1 << 22
 #: Vocabulary of region labels. Fixed values.
 NOTE_SEMANTICS = ("note", "footnote", "endnote")
 NOTE_LABELS = ("note_area", "note_continuation", "marginal_note", "footnote_area", "endnote_area")
@@ -53,27 +55,37 @@ def walk(pages: DataFrame, path: str = "regions") -> DataFrame:
     that is no list, at the path of its owner. Null lists are passed over.
     """
 
+    kinds = (pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_(), pa.string())
+
+    def told(rows: list[tuple], page: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (page, *kinds), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["page_id", "path", "parent_id", "part", "below", "json"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                open_lists = [((), "", json.loads(text))]
+            rows: list[tuple] = []
+            length = 0
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                open_lists = [((), "", json.loads(text.as_py()))]
                 while open_lists:
                     owner, parent, entries = open_lists.pop()
                     if not isinstance(entries, list):
                         if entries is not None:
-                            rows.append((owner, parent, "list", False, json.dumps(entries)))
+                            rows.append((page, owner, parent, "list", False, json.dumps(entries)))
                         continue
                     for place, entry in enumerate(entries):
                         at, children = (*owner, place), entry.pop("children", None) if isinstance(entry, dict) else None
                         below = children is not None and len(at) > DEPTH_CAP
-                        rows.append((at, parent, "entry", below, json.dumps(entry)))
+                        rows.append((page, at, parent, "entry", below, json.dumps(entry)))
                         if children is not None and not below:
                             name = entry.get("id")
                             open_lists.append((at, name if isinstance(name, str) else "", children))
-                if rows:
-                    own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_(), pa.string()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * len(rows), batch.column(0).type), *own], names=["page_id", "path", "parent_id", "part", "below", "json"])
+                length += len(text.as_py())
+                if rows and (len(rows) >= BATCH_ROWS or length >= BATCH_CHARS):
+                    yield told(rows, batch.column(0).type)
+                    rows, length = [], 0
+            if rows:
+                yield told(rows, batch.column(0).type)
 
     kind_of_page = pages.schema["page_id"].dataType.simpleString()
     lists = pages.select("page_id", F.to_json(member("doc", path)).alias("json")).where("json is not null")
@@ -141,11 +153,13 @@ def blocks(regions: DataFrame) -> DataFrame:
 def canonical(pages: DataFrame, regions: DataFrame) -> DataFrame:
     """(page_id, declared, canonical): whether the declared order names whole blocks of named roots, each once, and all regions.
 
-    The blocks, in the order in which the list names their roots, must spell the list.
+    The blocks, in the order in which the list names their roots, must spell the list; they are built only for pages that
+    declare one.
     """
     named = declared(pages)
+    listed = regions.join(named.where(F.size("declared") > 0).select("page_id"), "page_id", "left_semi")
     # of roots that share an id the last one's block counts
-    root = blocks(regions).where("root_id <> ''").groupBy("page_id", "root_id").agg(F.max_by("block", "root_pos").alias("block"))
+    root = blocks(listed).where("root_id <> ''").groupBy("page_id", "root_id").agg(F.max_by("block", "root_pos").alias("block"))
     placed = named.select("page_id", F.posexplode("declared").alias("at", "root_id")).groupBy("page_id", "root_id").agg(F.min("at").alias("at"))
     spelled = root.join(placed, ["page_id", "root_id"]).groupBy("page_id").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "block"))), lambda x: x["block"])).alias("spelled")

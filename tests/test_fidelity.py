@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
+from pagescore.functions.text import edit_similarity
 from pagescore.operators import fidelity
 
 GT = [
@@ -36,3 +40,26 @@ def test_grams_are_not_shuffled(spark):
     mapping = spark.createDataFrame([("a", "r1", "c1")], "page_id string, gt_id string, cand_id string")
     plan = fidelity.text_fidelity(gt, cand, mapping)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"\bgram#", plan)
+
+
+def test_a_text_is_counted_once(monkeypatch):
+    asked, plain = [], fidelity.bag
+    monkeypatch.setattr(fidelity, "bag", lambda words, n: asked.append(tuple(words)) or plain(words, n))
+    texts = ["a b c d", "a b c e f", "g h i j"]
+    rows = [{"region_id": f"r{k}", "norm": t, "c_norm": c} for k, (t, c) in enumerate(zip(texts, ["a b c d", "g h i j", "a b c e f"], strict=True))]
+    assert fidelity.compared_page(rows, texts) == (3, 7, 7, 7, [("r0", 2, 2, 2, 0), ("r1", 3, 0, 0, 2), ("r2", 2, 0, 0, 3)])
+    assert len(asked) == 3
+
+
+def test_edit_distance_in_batches(spark):
+    draw = random.Random(3)
+    some = lambda: "".join(draw.choice("abé𝒳 ") for _ in range(draw.randint(0, 120)))
+    rows = [(some(), some()) for _ in range(300)] + [("", ""), ("", "a"), ("ab", ""), ("a", "a"), ("e" * 700, "e" * 350 + "x" * 350), ("kitten", "sitting")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    longer = F.greatest(F.length("a"), F.length("b"))
+    want = F.when(longer == 0, 1.0).otherwise(F.lit(1.0) - F.levenshtein("a", "b") / longer)
+    got = df.select("a", "b", edit_similarity(F.col("a"), F.col("b")).alias("all"), edit_similarity(F.col("a"), F.col("b"), F.length("a") % 2 == 0).alias("some"), want.alias("want"))
+    for r in got.collect():
+        assert r["all"] == r["want"] and r["some"] == (None if len(r["a"]) % 2 else r["want"]), r
+    # the JVM's distance takes some 3 ms for texts of 500 letters, several times what a column of bits a step does
+    assert "levenshtein" not in df.select(edit_similarity(F.col("a"), F.col("b")))._jdf.queryExecution().toString()
