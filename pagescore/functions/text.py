@@ -79,16 +79,14 @@ def distance(a: str, b: str) -> int:
     at: dict[str, int] = {}
     for k, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << k
-    end, full = len(a) - 1, (1 << len(a)) - 1
-    grows, falls, out = full, 0, len(a)
+    full = (1 << len(a)) - 1
+    grows, falls = full, 0
     for c in b:
         hit = at.get(c, 0)
         level = ((((hit & grows) + grows) ^ grows) | hit | falls) & full
-        more, less = falls | full ^ (level | grows), level & grows
-        out += (more >> end) - (less >> end)
-        more, less = (more << 1 | 1) & full, less << 1 & full
+        more, less = ((falls | full ^ (level | grows)) << 1 | 1) & full, (level & grows) << 1 & full
         grows, falls = less | full ^ (level | more), more & level
-    return out
+    return len(b) + grows.bit_count() - falls.bit_count()
 
 
 @F.pandas_udf(LongType())

@@ -28,11 +28,10 @@ def tree_violations(tree: DataFrame) -> DataFrame:
     what, depth = kind(F.col("value")), F.size("path") - 1
     name, index = string_member("value", "id"), member("value", "reading_order_index")
     at = F.concat(F.lit("depth "), depth.cast("string"), F.lit(" index "), F.element_at("path", -1).cast("string"))
-    is_entry, is_object = F.col("part") == "entry", what == "OBJECT"
-    own = is_entry & is_object
+    is_entry, own = F.col("part") == "entry", F.col("object")
     return tree.select("page_id", _told(
         (~is_entry, "non_object_regions", F.concat(F.lit("depth "), F.size("path").cast("string"), F.lit(": "), what)),
-        (is_entry & ~is_object, "non_object_regions", F.concat(at, F.lit(": "), what)),
+        (is_entry & ~own, "non_object_regions", F.concat(at, F.lit(": "), what)),
         (own & (name == ""), "regions_without_id", at),
         (own & (name != "") & index.isNotNull() & ~kind(index).isin(*_WHOLE), "non_integer_reading_order_index", F.concat(name, F.lit(": "), kind(index))),
         (own & F.col("below"), "regions_below_depth_cap", F.when(name == "", "None").otherwise(name)),
@@ -56,7 +55,7 @@ def violations(pages: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     ).select("page_id", "v.*")
     once = entry.where(what == "STRING").groupBy("page_id", F.variant_get("entry", "$", "string").alias("region_id")).agg(F.count(F.lit(1)).alias("listed"), F.max("at").alias("at"))
     root_index = F.when((F.size("path") == 1) & kind(member("value", "reading_order_index")).isin(*_WHOLE), F.struct("path", F.try_variant_get("value", "$.reading_order_index", "bigint").alias("index")))
-    named = tree.where((F.col("part") == "entry") & (kind(F.col("value")) == "OBJECT")).select("page_id", string_member("value", "id").alias("region_id"), root_index.alias("root"))
+    named = tree.where("object").select("page_id", string_member("value", "id").alias("region_id"), root_index.alias("root"))
     ids = named.where("region_id <> ''").groupBy("page_id", "region_id").agg(F.count(F.lit(1)).alias("found"), F.max("root")["index"].alias("index"))
     has_list = order.where(is_list).select("page_id", F.lit(True).alias("has_list"))
     met = ids.join(once, ["page_id", "region_id"], "full").join(has_list, "page_id", "left")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,10 +16,18 @@ from pagescore.functions.text import backed_off, edit_similarity, ngrams, normal
 #: Thresholds of the gate. Fixed values.
 N, MIN_CONTAINMENT, MIN_RETENTION, GROSS_RETENTION, MINOR_RATE, MAX_FOREIGN, MAX_MISPLACED = 3, 0.95, 0.95, 0.6, 0.05, 0.5, 0
 
+#: Pages whose texts are Python strings at once.
+BATCH_PAGES = 128
+
+
+def normed(regions: DataFrame) -> DataFrame:
+    """Add norm to regions (page_id, region_id, text), if it is not there."""
+    return regions if "norm" in regions.columns else regions.withColumn("norm", normalize(F.coalesce("text", F.lit(""))))
+
 
 def worded(regions: DataFrame) -> DataFrame:
     """Add norm and words to regions (page_id, region_id, text), if they are not there."""
-    return regions if "words" in regions.columns else regions.withColumn("norm", normalize(F.coalesce("text", F.lit("")))).withColumn("words", tokens(F.col("norm")))
+    return regions if "words" in regions.columns else normed(regions).withColumn("words", tokens(F.col("norm")))
 
 
 def page_n(gt: DataFrame, n: int = N) -> DataFrame:
@@ -64,6 +73,13 @@ def aligned_text(gt: DataFrame, cand: DataFrame, mapping: DataFrame) -> DataFram
     )
 
 
+def aligned_norm(gt: DataFrame, cand: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(page_id, region_id, norm, c_norm) of aligned_text, for regions that are not split into words."""
+    other = cand.select("page_id", F.col("region_id").alias("cand_id"), F.col("norm").alias("c_norm"))
+    mapped = gt.where("norm <> ''").select("page_id", "region_id", "norm").join(mapping.select("page_id", F.col("gt_id").alias("region_id"), "cand_id"), ["page_id", "region_id"], "left")
+    return mapped.join(other, ["page_id", "cand_id"], "left").select("page_id", "region_id", "norm", F.coalesce("c_norm", F.lit("")).alias("c_norm"))
+
+
 def retention(aligned: DataFrame, n: int = N, both: bool = True) -> DataFrame:
     """(page_id, region_id, by_ngram, by_chars, retention): the better of containment at the region's own n and edit similarity.
 
@@ -115,34 +131,71 @@ def bag(words: list[str], n: int) -> Counter:
 def compared_page(regions: list[dict], cand: list[str], n: int = N) -> tuple[int, int, int, int, list[tuple]]:
     """(n, gt_ngrams, contained, cand_ngrams, regions) of one page: regions (region_id, norm, c_norm) of the ground truth that
     have words, with their counterparts' texts, and the norms of all candidate regions. For each region_id: its grams at the
-    regions' own n, those of them that are kept, own_matched and foreign_ as in misplacement. Rows of one id count together; a
-    text that occurs again, as most do on the other side, is counted once."""
+    regions' own n, those of them that are kept, own_matched and foreign_ as in misplacement. Rows of one id count together.
+
+    A text that both sides have adds as many grams to both bags, and so its number of grams to what they share: only other texts
+    are counted gram by gram, each once."""
+    words: dict[str, list[str]] = {}
     known: dict[tuple[str, int], Counter] = {}
 
+    def split(text: str) -> list[str]:
+        if text not in words:
+            words[text] = text.split()
+        return words[text]
+
     def counted(text: str, size: int) -> Counter:
         if (text, size) not in known:
-            known[text, size] = bag(text.split(), size)
+            known[text, size] = bag(split(text), size)
         return known[text, size]
 
-    split = [(r["region_id"], r["norm"], r["c_norm"], min(n, len(r["norm"].split()))) for r in regions]
-    page_n = max([1, *(size for *_, size in split)])
-    bags: dict[str, tuple[Counter, ...]] = {}  # the region's and its counterpart's, at the regions' own n and at the page's
-    for name, text, other, size in split:
-        a, b, c, d = counted(text, size), counted(other, size), counted(text, page_n), counted(other, page_n)
-        bags[name] = tuple(x + y for x, y in zip(bags[name], (a, b, c, d), strict=True)) if name in bags else (a, b, c, d)
-    page: Counter = Counter()
-    for _, _, own, _ in bags.values():
-        page.update(own)
-    made: Counter = Counter()
-    for text in cand:
-        made.update(counted(text, page_n))
+    def many(text: str, size: int) -> int:
+        return max(0, len(split(text)) - size + 1) if size else 0
+
+    def summed(texts: Iterable[tuple[str, int]]) -> Counter:
+        out: Counter = Counter()
+        for text, size in texts:
+            if many(text, size):
+                out.update(counted(text, size))
+        return out
+
+    by_id: dict[str, list[tuple[str, str, int]]] = {}
+    for r in regions:
+        by_id.setdefault(r["region_id"], []).append((r["norm"], r["c_norm"], min(n, len(split(r["norm"])))))
+    page_n = max([1, *(size for rows in by_id.values() for *_, size in rows)])
+    own_texts, made = Counter(r["norm"] for r in regions), Counter(cand)
+    page: set | None = None  # its grams, asked for only where a counterpart has another text
     told = []
-    for name, (grams, other, own, theirs) in bags.items():
-        kept = grams.total() if other is grams else sum(min(c, other[g]) for g, c in grams.items())
-        mine = 0 if name is None else own.total() if theirs is own else sum(min(c, own[g]) for g, c in theirs.items())
-        foreign = (theirs.total() if theirs is own else sum(c for g, c in theirs.items() if g in page)) - mine
-        told.append((name, grams.total(), kept, mine, foreign))
-    return page_n, page.total(), sum(min(c, made[g]) for g, c in page.items()), made.total(), told
+    for name, rows in by_id.items():
+        grams, theirs = sum(many(text, size) for text, _, size in rows), sum(many(other, page_n) for _, other, _ in rows)
+        if all(text == other for text, other, _ in rows):
+            mine = 0 if name is None else theirs
+            told.append((name, grams, grams, mine, theirs - mine))
+            continue
+        b = summed((other, size) for _, other, size in rows)
+        kept = sum(min(c, b[g]) for g, c in summed((text, size) for text, _, size in rows).items()) if b else 0
+        mine = foreign = 0
+        if theirs:
+            own, other = summed((text, page_n) for text, *_ in rows), summed((other, page_n) for _, other, _ in rows)
+            page = set().union(*(counted(text, page_n) for text in own_texts)) if page is None else page
+            mine = 0 if name is None else sum(min(c, own[g]) for g, c in other.items())
+            foreign = sum(c for g, c in other.items() if g in page) - mine
+        told.append((name, grams, kept, mine, foreign))
+    total = lambda texts: sum(k * many(text, page_n) for text, k in texts.items())
+    both = own_texts & made
+    left, right = (summed((text, page_n) for text in (side - both).elements()) for side in (own_texts, made)) if own_texts != both and made != both else (Counter(), Counter())
+    return page_n, total(own_texts), total(both) + sum(min(c, right[g]) for g, c in left.items()), total(made), told
+
+
+def lists(column: pa.ListArray) -> list[list]:
+    """The lists of an Arrow column, null ones empty; structs as dicts."""
+    entries = column.flatten()
+    if pa.types.is_struct(entries.type):
+        names = [f.name for f in entries.type]
+        flat: list = [dict(zip(names, row, strict=True)) for row in zip(*(c.to_pylist() for c in entries.flatten()), strict=True)]
+    else:
+        flat = entries.to_pylist()
+    ends = [0, *accumulate(n or 0 for n in column.value_lengths().to_pylist())]
+    return [flat[i:j] for i, j in pairwise(ends)]
 
 
 def compared(gt: DataFrame, aligned: DataFrame, cand: DataFrame, n: int = N) -> DataFrame:
@@ -156,11 +209,15 @@ def compared(gt: DataFrame, aligned: DataFrame, cand: DataFrame, n: int = N) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region = pa.struct([("region_id", pa.string()), *((c, pa.int64()) for c in ("grams", "kept", "own_matched", "foreign_"))])
         for batch in batches:
-            own, other = batch.column("regions"), batch.column("cand")
-            told = [compared_page(own[k].as_py() or [], other[k].as_py() or [], n) for k in range(batch.num_rows)]
-            rows = [[dict(zip(region.names, r, strict=True)) for r in t[4]] for t in told]
+            told: list[tuple] = []
+            for part in (batch.slice(k, BATCH_PAGES) for k in range(0, batch.num_rows, BATCH_PAGES)):
+                told += [compared_page(a, b, n) for a, b in zip(lists(part.column("regions")), lists(part.column("cand")), strict=True)]
             counts = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *counts, pa.array(rows, pa.list_(region))], names=["page_id", "n", "gt_ngrams", "contained", "cand_ngrams", "regions"])
+            each = [r for t in told for r in t[4]]
+            fields = [pa.array([r[k] for r in each], region[k].type) for k in range(len(region))]
+            ends = pa.array([0, *accumulate(len(t[4]) for t in told)], pa.int32())
+            rows = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, fields=list(region)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *counts, rows], names=["page_id", "n", "gt_ngrams", "contained", "cand_ngrams", "regions"])
 
     texts = aligned.groupBy("page_id").agg(F.collect_list(F.struct("region_id", "norm", "c_norm")).alias("regions"))
     made = cand.groupBy("page_id").agg(F.collect_list("norm").alias("cand"))
@@ -203,7 +260,7 @@ def text_gate(pages: DataFrame, retained: DataFrame, misplaced: DataFrame) -> Da
 
 def text_fidelity(gt: DataFrame, cand: DataFrame, mapping: DataFrame, n: int = N) -> DataFrame:
     """The whole check over regions with text; cand has one row for each id that counts."""
-    gt, cand = worded(gt), worded(cand)
-    aligned = aligned_text(gt, cand, mapping)
+    gt, cand = normed(gt), normed(cand)
+    aligned = aligned_norm(gt, cand, mapping)
     counted = compared(gt, aligned, cand, n)
     return text_gate(page_figures(counted), *region_figures(counted, aligned))

@@ -50,37 +50,37 @@ def integer_member(value: str, path: str) -> Column:
 def walk(pages: DataFrame, path: str = "regions") -> DataFrame:
     """Every entry of the region tree of pages (page_id, doc variant), in one pass over each document, whatever its depth.
 
-    page_id, path array<int>, parent_id, part, below boolean, value variant. part entry: one list entry, without its
-    children; below tells that it has children deeper than DEPTH_CAP, which are not entered. part list: a list of regions
-    that is no list, at the path of its owner. Null lists are passed over.
+    page_id, path array<int>, parent_id, part, object boolean, below boolean, value variant. part entry: one list entry, without
+    its children; object tells that it is one; below tells that it has children deeper than DEPTH_CAP, which are not entered.
+    part list: a list of regions that is no list, at the path of its owner. Null lists are passed over.
     """
 
-    kinds = (pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_(), pa.string())
+    kinds = (pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string())
 
     def told(rows: list[tuple], page: pa.DataType) -> pa.RecordBatch:
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (page, *kinds), strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["page_id", "path", "parent_id", "part", "below", "json"])
+        return pa.RecordBatch.from_arrays(columns, names=["page_id", "path", "parent_id", "part", "object", "below", "json"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             length = 0
-            for page, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                open_lists = [((), "", json.loads(text.as_py()))]
+            for page, text in zip(batch.column(0).to_pylist(), (text.as_py() for text in batch.column(1)), strict=True):
+                open_lists = [((), "", json.loads(text))]
                 while open_lists:
                     owner, parent, entries = open_lists.pop()
                     if not isinstance(entries, list):
                         if entries is not None:
-                            rows.append((page, owner, parent, "list", False, json.dumps(entries)))
+                            rows.append((page, owner, parent, "list", False, False, json.dumps(entries)))
                         continue
                     for place, entry in enumerate(entries):
                         at, children = (*owner, place), entry.pop("children", None) if isinstance(entry, dict) else None
                         below = children is not None and len(at) > DEPTH_CAP
-                        rows.append((page, at, parent, "entry", below, json.dumps(entry)))
+                        rows.append((page, at, parent, "entry", isinstance(entry, dict), below, json.dumps(entry)))
                         if children is not None and not below:
                             name = entry.get("id")
                             open_lists.append((at, name if isinstance(name, str) else "", children))
-                length += len(text.as_py())
+                length += len(text)
                 if rows and (len(rows) >= BATCH_ROWS or length >= BATCH_CHARS):
                     yield told(rows, batch.column(0).type)
                     rows, length = [], 0
@@ -89,7 +89,7 @@ def walk(pages: DataFrame, path: str = "regions") -> DataFrame:
 
     kind_of_page = pages.schema["page_id"].dataType.simpleString()
     lists = pages.select("page_id", F.to_json(member("doc", path)).alias("json")).where("json is not null")
-    rows = lists.mapInArrow(run, f"page_id {kind_of_page}, path array<int>, parent_id string, part string, below boolean, json string")
+    rows = lists.mapInArrow(run, f"page_id {kind_of_page}, path array<int>, parent_id string, part string, object boolean, below boolean, json string")
     return rows.withColumn("value", F.parse_json("json")).drop("json")
 
 
@@ -106,7 +106,7 @@ def block_type(label: Column, semantic: Column) -> Column:
 def project(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Region columns of object entries; fields of a wrong kind count as absent."""
     box = F.array(*[F.try_variant_get(F.col("value"), f"$.bbox.{c}", "double") for c in ("x0", "y0", "x1", "y1")])
-    sound = (kind(member("value", "bbox")) == "OBJECT") & ~F.exists(box, lambda x: x.isNull())
+    sound = ~F.exists(box, lambda x: x.isNull())  # only an object has members
     typed = rows.select(
         *keep, string_member("value", "id").alias("region_id"), F.lower(string_member("value", "label")).alias("label"), string_member("value", "text").alias("text"),
         F.transform(strings_member("value", "semantic_labels"), F.lower).alias("semantic_labels"), strings_member("value", "text_anchors").alias("text_anchors"),
@@ -126,7 +126,7 @@ def flatten(pages: DataFrame) -> DataFrame:
 
 def of_tree(tree: DataFrame) -> DataFrame:
     """flatten, of a tree that was walked before."""
-    objects = tree.where((F.col("part") == "entry") & (kind(F.col("value")) == "OBJECT")).withColumn("depth", F.size("path") - 1)
+    objects = tree.where("object").withColumn("depth", F.size("path") - 1)
     return project(objects, ["page_id", "depth", "path", "parent_id"])
 
 

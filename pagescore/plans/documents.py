@@ -43,9 +43,9 @@ def _more(label: str, column: str) -> Column:
 
 def text_verdicts(gt: DataFrame, cand: DataFrame, mapping: DataFrame) -> DataFrame:
     """Text fidelity under its metrics' names, with the regions that fail in detail."""
-    words, other = fidelity.worded(gt), fidelity.worded(cand)
-    aligned = stored(fidelity.aligned_text(words, other, mapping).select("page_id", "region_id", "norm", "c_norm"), "aligned")
-    counted = stored(fidelity.compared(words, aligned, other), "counted")
+    own, other = fidelity.normed(gt), fidelity.normed(cand)
+    aligned = stored(fidelity.aligned_norm(own, other, mapping), "aligned")
+    counted = stored(fidelity.compared(own, aligned, other), "counted")
     kept, moved = fidelity.region_figures(counted, aligned)
     kept = stored(kept, "kept")
     gate = fidelity.text_gate(fidelity.page_figures(counted), kept, moved)
@@ -98,7 +98,7 @@ def score(gt: DataFrame, cand: DataFrame) -> DataFrame:
     error, the name of what is wrong with a page (sources.pages.parse_pages), if there is such a column.
 
     A page with an error on either side, or without a candidate (MissingCandidate), crashes every check and touches no
-    other page; candidates without ground truth take no part. Documents, region trees and the alignment are written once.
+    other page; candidates without ground truth take no part. Documents, region trees, regions and the alignment are written once.
     """
     side = lambda df, name: df.select("page_id", F.col("doc").alias(name), (F.col("error") if "error" in df.columns else F.lit(None).cast("string")).alias(f"{name}_error"))
     paired = side(gt, "gt").join(side(cand, "cand").withColumn("_found", F.lit(True)), "page_id", "left")
@@ -108,8 +108,8 @@ def score(gt: DataFrame, cand: DataFrame) -> DataFrame:
     known, made = (sound.select("page_id", F.col(c).alias("doc")) for c in ("gt", "cand"))
     with ThreadPoolExecutor(2) as threads:  # the two sides at once
         gt_tree, cand_tree = threads.map(lambda side: stored(regions.walk(side[0]), side[1]), ((known, "gt_tree"), (made, "cand_tree")))
-        all_gt, all_cand = threads.map(lambda side: stored(fidelity.worded(regions.of_tree(side[0])), side[1]), ((gt_tree, "gt"), (cand_tree, "cand")))
-    own_gt, own_cand = regions.last_by_id(all_gt, ["page_id"]), regions.last_by_id(all_cand, ["page_id"])
+        all_gt, all_cand = threads.map(lambda side: stored(fidelity.normed(regions.of_tree(side[0])), side[1]), ((gt_tree, "gt"), (cand_tree, "cand")))
+    own_gt, own_cand = regions.last_by_id(all_gt, ["page_id"]), stored(regions.last_by_id(all_cand, ["page_id"]), "own_cand")
     mapping = stored(align(own_gt, own_cand), "mapping")
     # a sound page without regions has no rows there, but a verdict nevertheless
     empty = lambda rows, **values: known.select("page_id").join(rows, "page_id", "left").select(

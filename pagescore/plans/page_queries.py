@@ -20,13 +20,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Pages:
-    """Both sides' regions and their alignment. once: they are written with their words, for checks that use them again
+    """Both sides' regions and their alignment. once: they are written with their normalised texts, for checks that use them again
     and again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False) -> None:
         self.gt, self.cand = gt_regions(spark, sf_dir), cand_regions(spark, sf_dir)
         if once:
-            self.gt, self.cand = stored(fidelity.worded(self.gt), "gt"), stored(fidelity.worded(self.cand), "cand")
+            self.gt, self.cand = stored(fidelity.normed(self.gt), "gt"), stored(fidelity.normed(self.cand), "cand")
         self.mapping = align(self.gt, self.cand)
         if once:
             self.mapping = stored(self.mapping, "mapping")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -63,3 +64,32 @@ def test_edit_distance_in_batches(spark):
         assert r["all"] == r["want"] and r["some"] == (None if len(r["a"]) % 2 else r["want"]), r
     # the JVM's distance takes some 3 ms for texts of 500 letters, several times what a column of bits a step does
     assert "levenshtein" not in df.select(edit_similarity(F.col("a"), F.col("b")))._jdf.queryExecution().toString()
+
+
+def plain_page(rows, cand, n=3):
+    """compared_page, gram by gram."""
+    grams = lambda text, size: Counter(zip(*(text.split()[k:] for k in range(size)), strict=False))
+    page_n = max([1, *(min(n, len(r["norm"].split())) for r in rows)])
+    page, made = (sum((grams(t, page_n) for t in texts), Counter()) for texts in ([r["norm"] for r in rows], cand))
+    told = []
+    for name in dict.fromkeys(r["region_id"] for r in rows):
+        own = [(r["norm"], r["c_norm"], min(n, len(r["norm"].split()))) for r in rows if r["region_id"] == name]
+        a, b, c, d = (sum((grams(x[side], size or x[2]) for x in own), Counter()) for side, size in ((0, 0), (1, 0), (0, page_n), (1, page_n)))
+        mine = 0 if name is None else (c & d).total()
+        told.append((name, a.total(), (a & b).total(), mine, sum(k for g, k in d.items() if g in page) - mine))
+    return page_n, page.total(), (page & made).total(), made.total(), told
+
+
+def test_only_texts_that_differ_are_counted(monkeypatch):
+    draw = random.Random(5)
+    some = lambda: " ".join(draw.choice("abc") for _ in range(draw.choice((1, 2, 3, 9))))
+    for _ in range(300):
+        texts = [some() for _ in range(draw.randint(0, 6))]
+        rows = [{"region_id": draw.choice(("r1", "r2", f"r{k + 3}", "", None)), "norm": t, "c_norm": draw.choice((t, t, t, "", some(), *texts))} for k, t in enumerate(texts)]
+        cand = [draw.choice((t, t, t, "", some())) for t in texts] + [some()] * draw.randint(0, 2)
+        assert fidelity.compared_page(rows, cand) == plain_page(rows, cand)
+    asked = []
+    monkeypatch.setattr(fidelity, "bag", lambda words, n: asked.append(tuple(words)) or Counter())
+    texts = ["a b c d", "a b c e f", "g h i j"]
+    rows = [{"region_id": f"r{k}", "norm": t, "c_norm": "" if k == 2 else t} for k, t in enumerate(texts)]
+    assert fidelity.compared_page(rows, texts[:2])[:4] == (3, 7, 5, 5) and asked == []

@@ -79,3 +79,20 @@ def test_rates_of_large_pages(spark):
     mapping = gt.select("page_id", F.col("region_id").alias("gt_id")).join(cand.select(F.col("region_id").alias("gt_id"), F.col("region_id").alias("cand_id")), "gt_id", "left")
     row = documents.type_verdicts(gt, cand, mapping).first()
     assert (row["micro_f1"], row["macro_f1"], row["body_f1"]) == (0.0712, 0.0712, 0.0712)
+
+
+def test_suite_writes_what_it_reads(spark, tmp_path, monkeypatch):
+    # split words are a second copy of each text that no check of the suite reads; candidates' last rows by id are sorted out once
+    conversations(spark, tmp_path, [(page, turn, "user", f"turn {turn} of page {page}") for page in range(3) for turn in range(2)])
+    wrote, plain = {}, documents.stored
+
+    def stored(df, label):
+        wrote.setdefault(label, []).append(df)
+        return plain(df, label)
+
+    monkeypatch.setattr(documents, "stored", stored)
+    out = Q.results(spark, str(tmp_path))
+    assert out.count() == 15 and not [label for label, rows in wrote.items() for df in rows if "words" in df.columns]
+    sorts = [label for label, rows in wrote.items() for df in rows if "_last" in df._jdf.queryExecution().analyzed().toString()]
+    assert sorted(sorts) == ["mapping", "own_cand"]
+    assert wrote["own_cand"][0]._jdf.queryExecution().analyzed().toString().count("row_number") == 1
