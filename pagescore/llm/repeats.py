@@ -24,7 +24,9 @@ from pagescore.llm.runindex import END, RunIndex
 
 LENGTH = 50
 #: Bytes of the grams by which windows are dealt out: at first, and for seeds that have too many segments at the step before.
-GRAMS = (16, 32, LENGTH)
+GRAMS = (24, 36, LENGTH)
+#: Windows hashed at a time, so that the arrays stay in a processor's cache.
+BLOCK = 1 << 15
 #: Bytes of different segments that are indexed together; a seed is never split over two indexes.
 INDEX_BYTES = 1 << 20
 #: Most different segments of one seed in an index; those of a seed with more are dealt out again by the next longer gram.
@@ -35,21 +37,27 @@ REMEMBERED = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each `gram` bytes, the same wherever they stand; not mixed."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=prefix[1:])
+    return (prefix[gram:] - prefix[:-gram]) * powers(pow(_BASE, -1, 1 << 64), len(data))[: len(data) - gram + 1]
+
+
 def seeds(data: np.ndarray, bounds: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, seed) of each segment: a run of windows of one seed, as many as a window has grams at most.
     No window spans texts."""
     n, grams = len(data) - LENGTH + 1, LENGTH - gram + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=prefix[1:])
-    inverse = powers(pow(_BASE, -1, 1 << 64), len(data))
-    least = mix64((prefix[gram:] - prefix[:-gram]) * inverse[: len(data) - gram + 1])
-    width = 1
-    while width * 2 <= grams:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])[:n]
+    least = np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK):
+        own = mix64(gram_hashes(data[at : at + BLOCK + LENGTH - 1], gram))
+        width = 1
+        while width * 2 <= grams:
+            own = np.minimum(own[:-width], own[width:])
+            width *= 2
+        least[at : at + BLOCK] = np.minimum(own[: len(own) - (grams - width)], own[grams - width :])
     inside = np.ones(n, bool)
     for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         inside[max(end - LENGTH, start) : end] = False  # a text ends one byte before the next bound
@@ -71,7 +79,7 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
             for row, data, bounds in pieces(b.column("text")):
                 first, _, seed = seeds(data, bounds)
                 text = np.searchsorted(bounds, first, side="right") - 1
-                order = np.lexsort((seed, text))
+                order = np.argsort(seed ^ mix64(np.arange(len(bounds) - 1, dtype=np.uint64))[text])  # equal seeds of a text together
                 seed, text = seed[order], text[order]
                 new = np.ones(len(seed), bool)
                 new[1:] = (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])
@@ -79,7 +87,7 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(seed[new].view(np.int64)), ids.take(pa.array(text[new]))], names=["seed", "doc_id"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_seed, held_doc, many = None, None, False  # the last row so far, and whether its seed has other documents
+        held_seed, held_doc, many = None, None, False  # the last seed so far, a document of it, and whether it has others
         for b in batches:
             if not b.num_rows:
                 continue
@@ -87,20 +95,18 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
             if held_seed is not None:
                 seed, doc = np.append(held_seed, seed), np.append(held_doc, doc)
             start = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
-            end = np.append(start[1:], len(seed))
-            several = doc[start] != doc[end - 1]  # sorted by document
+            size = np.diff(np.append(start, len(seed)))
+            several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
             several[0] |= many
-            use = np.repeat(several, end - start)
-            use[-1] = False  # goes on in the next batch
-            if held_seed is not None and many and len(start) == 1:
-                use[:-1] = True
+            use = np.repeat(several, size)
+            # the last seed goes on in the next batch: one row of it is held, as others are of the same document or leave now
+            held_seed, held_doc, many = seed[-1], doc[-1], bool(several[-1])
+            use[-1] = False
             yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(seed[use])], names=["doc_id", "seed"])
-            open_many = bool(several[-1])
-            held_seed, held_doc, many = seed[-1], doc[-1], open_many
         if held_seed is not None and many:
             yield pa.RecordBatch.from_arrays([pa.array([held_doc]), pa.array([held_seed])], names=["doc_id", "seed"])
 
-    dealt = docs.mapInArrow(deal, "seed long, doc_id long").repartition("seed").sortWithinPartitions("seed", "doc_id")
+    dealt = docs.mapInArrow(deal, "seed long, doc_id long").repartition("seed").sortWithinPartitions("seed")  # one long, which Spark sorts by radix
     return dealt.mapInArrow(several, "doc_id long, seed long").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
 
 
@@ -115,6 +121,8 @@ def later_copies(docs: DataFrame) -> DataFrame:
     return keyed.join(first, "md5").where("doc_id > least").select("doc_id", "place", F.lit(0).cast("long").alias("start"), "end")
 
 
+#: Of rows with later copies' marks in the column gone: the text is none of them.
+NOT_GONE = "gone is null or not array_contains(gone, mark)"
 SEGMENT = "seed long, whole long, doc_id long, place long, bytes binary"
 
 
@@ -193,7 +201,7 @@ def segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array((end - first)[gone]), pa.array(doc[gone]), pa.array(place[gone]), pa.nulls(int(gone.sum()), pa.binary())], names=["seed", "whole", "doc_id", "place", "bytes"])
                 yield _segment_rows(data, *(x[~gone] for x in (first, windows, seed, whole, doc, place)))
 
-    joined = docs.withColumn("mark", mark_of("text")).join(shared, "doc_id").where("gone is null or not array_contains(gone, mark)")
+    joined = docs.withColumn("mark", mark_of("text")).join(shared, "doc_id").where(NOT_GONE)
     return joined.select("doc_id", "text", "mark", "seeds").mapInArrow(run, SEGMENT)
 
 
@@ -245,6 +253,31 @@ def kinds(seed: np.ndarray, whole: np.ndarray, offsets: np.ndarray, data: np.nda
     return new
 
 
+def alike(offsets: np.ndarray, data: np.ndarray, rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hold, ask) of some rows: whether a window's hash is in a row of larger least too, and whether in one of smaller.
+
+    Rows without either have no window in common with a row of another document, so the index can do without them.
+    """
+    data, starts, sizes = _gather(offsets, data, rows, False)
+    windows = sizes - LENGTH + 1
+    row = np.repeat(np.arange(len(rows)), windows)
+    at = np.arange(len(row)) + np.repeat(starts - (np.cumsum(windows) - windows), windows)
+    hashes = gram_hashes(data, LENGTH)[at]
+    by = np.argsort(hashes)
+    hashes, row = hashes[by], row[by]
+    start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    size = np.diff(np.append(start, len(hashes)))
+    many = np.flatnonzero(np.repeat(size > 1, size))
+    size = size[size > 1]
+    hold, ask = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+    if len(size):
+        row = row[many]
+        own, start = least[row], np.cumsum(size) - size
+        hold[row[own < np.repeat(np.maximum.reduceat(own, start), size)]] = True
+        ask[row[own > np.repeat(np.minimum.reduceat(own, start), size)]] = True
+    return hold, ask
+
+
 FOUND = "doc_id long, place long, start long, end long, bytes binary"
 
 
@@ -256,7 +289,8 @@ def _found(doc: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarra
 def match(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     """Removed byte ranges of the segments of whole seeds, of each kind its earliest document's, sorted by seed and whole.
 
-    Where a seed has several kinds, their windows are looked for in the other kinds, of smaller documents.
+    Where a seed has several kinds, their windows are looked for in the other kinds, of smaller documents. Kinds that by
+    their windows' hashes have nothing in common with another are neither indexed nor looked for.
     """
     seed, whole, doc, place, offsets, data = rows
     kind_new = kinds(seed, whole, offsets, data)
@@ -264,11 +298,12 @@ def match(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     kind = np.cumsum(kind_new) - 1
     least, start = doc[kind_start], place >> 32
     kind_seed = seed[kind_start]
-    order = np.lexsort((least, kind_seed))
-    first = np.concatenate(([True], kind_seed[order][1:] != kind_seed[order][:-1]))
-    last = np.append(first[1:], True)
-    ask = order[~first]
-    hold = order[~last]
+    same = kind_seed[1:] == kind_seed[:-1]  # sorted by seed
+    several = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+    if not len(several):
+        return
+    holds, asks = alike(offsets, data, kind_start[several], least[several])
+    hold, ask = several[holds], several[asks]
     if not len(ask):
         return
     text, starts, _ = _gather(offsets, data, kind_start[hold], True)
@@ -277,15 +312,19 @@ def match(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     pattern, offset = index.long_matches(body, starts, sizes, least[ask])
     if not len(pattern):
         return
-    # windows of a kind, for each of its rows
+    # ranges of a kind, for each of its rows
     hit_kind = ask[pattern]
     by = np.lexsort((offset, hit_kind))
     hit_kind, offset = hit_kind[by], offset[by]
+    new = np.concatenate(([True], (hit_kind[1:] != hit_kind[:-1]) | (offset[1:] > offset[:-1] + LENGTH)))
+    size = (offset[np.append(np.flatnonzero(new)[1:], len(offset)) - 1] - offset[new]) + LENGTH
+    hit_kind, offset = hit_kind[new], offset[new]
     own = np.arange(len(doc))
     lo, hi = np.searchsorted(hit_kind, kind), np.searchsorted(hit_kind, kind, side="right")
     row = np.repeat(own, hi - lo)
-    at = offset[np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
-    yield _found(doc[row], place[row], start[row] + at, start[row] + at + LENGTH)
+    hit = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+    first = start[row] + offset[hit]
+    yield _found(doc[row], place[row], first, first + size[hit])
 
 
 def earliest(b: pa.RecordBatch, last: tuple[pa.RecordBatch, int] | None) -> tuple[pa.RecordBatch, pa.RecordBatch, tuple[pa.RecordBatch, int]]:
@@ -375,7 +414,8 @@ def remove_repeats(docs: DataFrame, most: int = MOST_SEGMENTS, index_bytes: int
     real = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     copies = written(later_copies(real), "copies")
     gone = copies.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
-    shared = written(shared_seeds(real).join(gone, "doc_id", "left"), "seeds")
+    first = real.withColumn("mark", mark_of("text")).join(gone, "doc_id", "left").where(NOT_GONE).select("doc_id", "text")
+    shared = written(shared_seeds(first).join(gone, "doc_id", "left"), "seeds")
     ranges, todo = copies, segments(real, shared)
     for gram in GRAMS:
         dealt = todo.repartition("seed").sortWithinPartitions("seed", "whole", "doc_id")
