@@ -230,15 +230,14 @@ def _rows(held: list) -> tuple[np.ndarray, ...]:
     return (*(whole.column(c).to_numpy() for c in ("seed", "whole", "doc_id", "place")), offsets, data)
 
 
-def _gather(offsets: np.ndarray, data: np.ndarray, rows: np.ndarray, end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of some rows, one after another (with END if asked): bytes, starts, sizes."""
-    size = offsets[rows + 1] - offsets[rows]
+def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray, end: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some spans, one after another (with END if asked): bytes, starts."""
     full = size + int(end)
     starts = np.cumsum(full) - full
     out = np.full(int(full.sum()), END, np.uint8)
     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[at + np.repeat(starts, size)] = data[at + np.repeat(offsets[rows], size)]
-    return out, starts, size
+    out[at + np.repeat(starts, size)] = data[at + np.repeat(begin, size)]
+    return out, starts
 
 
 def kinds(seed: np.ndarray, whole: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -253,29 +252,34 @@ def kinds(seed: np.ndarray, whole: np.ndarray, offsets: np.ndarray, data: np.nda
     return new
 
 
-def alike(offsets: np.ndarray, data: np.ndarray, rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hold, ask) of some rows: whether a window's hash is in a row of larger least too, and whether in one of smaller.
+def alike(data: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(row, first byte, bytes) of the parts of rows to hold, and to ask for: from the first to the last window whose hash is
+    in a row of larger least too, or in one of smaller.
 
-    Rows without either have no window in common with a row of another document, so the index can do without them.
+    What has neither has no window in common with a row of another document, so the index can do without it.
     """
-    data, starts, sizes = _gather(offsets, data, rows, False)
-    windows = sizes - LENGTH + 1
-    row = np.repeat(np.arange(len(rows)), windows)
-    at = np.arange(len(row)) + np.repeat(starts - (np.cumsum(windows) - windows), windows)
-    hashes = gram_hashes(data, LENGTH)[at]
+    data, starts = _gather(data, begin, size, False)
+    windows = size - LENGTH + 1
+    row = np.repeat(np.arange(len(size)), windows)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hashes = gram_hashes(data, LENGTH)[at + starts[row]]
     by = np.argsort(hashes)
-    hashes, row = hashes[by], row[by]
-    start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    size = np.diff(np.append(start, len(hashes)))
-    many = np.flatnonzero(np.repeat(size > 1, size))
-    size = size[size > 1]
-    hold, ask = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-    if len(size):
-        row = row[many]
-        own, start = least[row], np.cumsum(size) - size
-        hold[row[own < np.repeat(np.maximum.reduceat(own, start), size)]] = True
-        ask[row[own > np.repeat(np.minimum.reduceat(own, start), size)]] = True
-    return hold, ask
+    new = np.concatenate(([True], hashes[by[1:]] != hashes[by[:-1]]))
+    many = np.diff(np.append(np.flatnonzero(new), len(by)))
+    by, many = by[np.repeat(many > 1, many)], many[many > 1]
+    own, first = least[row[by]], np.cumsum(many) - many
+    none = np.zeros(0, np.int64)
+    if not len(by):
+        return (none,) * 3, (none,) * 3
+
+    def parts(use: np.ndarray) -> tuple[np.ndarray, ...]:
+        window = np.sort(by[use])
+        of = row[window]
+        last = np.flatnonzero(np.append(of[1:] != of[:-1], True)) if len(of) else none
+        one = np.append(0, last[:-1] + 1) if len(of) else none
+        return of[last], at[window[one]], at[window[last]] - at[window[one]] + LENGTH
+
+    return parts(own < np.repeat(np.maximum.reduceat(own, first), many)), parts(own > np.repeat(np.minimum.reduceat(own, first), many))
 
 
 FOUND = "doc_id long, place long, start long, end long, bytes binary"
@@ -289,8 +293,8 @@ def _found(doc: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarra
 def match(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     """Removed byte ranges of the segments of whole seeds, of each kind its earliest document's, sorted by seed and whole.
 
-    Where a seed has several kinds, their windows are looked for in the other kinds, of smaller documents. Kinds that by
-    their windows' hashes have nothing in common with another are neither indexed nor looked for.
+    Where a seed has several kinds, their windows are looked for in the other kinds, of smaller documents. Parts of
+    them that by their windows' hashes have nothing in common with another are neither indexed nor looked for.
     """
     seed, whole, doc, place, offsets, data = rows
     kind_new = kinds(seed, whole, offsets, data)
@@ -302,18 +306,18 @@ def match(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     several = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
     if not len(several):
         return
-    holds, asks = alike(offsets, data, kind_start[several], least[several])
-    hold, ask = several[holds], several[asks]
+    begin = offsets[kind_start[several]]
+    (hold, hold_at, hold_size), (ask, ask_at, ask_size) = alike(data, begin, offsets[kind_start[several] + 1] - begin, least[several])
     if not len(ask):
         return
-    text, starts, _ = _gather(offsets, data, kind_start[hold], True)
-    index = RunIndex(text, starts, least[hold], LENGTH)
-    body, starts, sizes = _gather(offsets, data, kind_start[ask], False)
-    pattern, offset = index.long_matches(body, starts, sizes, least[ask])
+    text, starts = _gather(data, begin[hold] + hold_at, hold_size, True)
+    index = RunIndex(text, starts, least[several[hold]], LENGTH)
+    body, starts = _gather(data, begin[ask] + ask_at, ask_size, False)
+    pattern, offset = index.long_matches(body, starts, ask_size, least[several[ask]])
     if not len(pattern):
         return
     # ranges of a kind, for each of its rows
-    hit_kind = ask[pattern]
+    hit_kind, offset = several[ask[pattern]], offset + ask_at[pattern]
     by = np.lexsort((offset, hit_kind))
     hit_kind, offset = hit_kind[by], offset[by]
     new = np.concatenate(([True], (hit_kind[1:] != hit_kind[:-1]) | (offset[1:] > offset[:-1] + LENGTH)))
