@@ -2,9 +2,10 @@
 
 Every LENGTH-byte window has a seed: the least hash of its grams. Equal windows have equal seeds, so windows are brought
 together by seed, a run of neighbouring windows of one seed as one segment. First only seeds are dealt out, to find those
-that several documents have; then the segments of these, but for texts that are copies as a whole. Of segments that are
-equal as a whole only the earliest document's are kept, by each task before they are dealt out and again after it. The
-different segments of a seed are indexed (all but the latest), and streamed through the index (all but the earliest).
+that several documents have; then the segments of these, both but for texts that are copies as a whole. Of segments that
+are equal as a whole only the earliest document's are kept, by each task before they are dealt out and again after it. Of
+the different segments of a seed those parts are indexed that by their windows' hashes a later document has too, and those
+streamed through the index that an earlier one has.
 A seed with too many for one index is cut up by longer grams, so that equal windows still meet, in smaller groups.
 """
 
@@ -24,6 +25,7 @@ from pagescore.llm.runindex import END, RunIndex
 
 LENGTH = 50
 #: Bytes of the grams by which windows are dealt out: at first, and for seeds that have too many segments at the step before.
+#: The shorter the first, the more windows share it by chance, and the more so in larger tables.
 GRAMS = (24, 36, LENGTH)
 #: Windows hashed at a time, so that the arrays stay in a processor's cache.
 BLOCK = 1 << 15
